@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import canonical_names, groups, leakage, lookalikes, packing, residue, shared_spans, spam
+from bidloom.llm import canonical_names, groups, leakage, lookalikes, packing, residue, scan_repair, shared_spans, spam
 from bidloom.llm.sql import ORACLES
 from bidloom.session import read, ship_package
 
@@ -19,6 +19,24 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "matches").select("match_id", "text").unionByName(inner)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose text, or one of whose identity numbers, bears a trace of scanning."""
+    texts = scan_repair.repaired_texts(read(spark, d, "summarize_file"), "file_id", "text").where("damaged")
+    numbers = scan_repair.repaired_numbers(read(spark, d, "personnel"), "person_id", "id_numbers").where("damaged")
+    found = texts.select(F.lit("summarize_file").alias("src"), F.col("file_id").alias("rec_id")).unionByName(numbers.select(F.lit("personnel").alias("src"), F.col("person_id").alias("rec_id")))
+    return found.where("rec_id is not null").distinct()
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all files in continuous paragraphs."""
+    return scan_repair.repaired_texts(read(spark, d, "summarize_file"), "file_id", "text").select("file_id", "repaired").distinct()
+
+
+def p1_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """All identity numbers in whole."""
+    return scan_repair.repaired_numbers(read(spark, d, "personnel"), "person_id", "id_numbers").select("person_id", "value", "repaired").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of segments with at least 50 successive characters in common."""
     segments = _segments(spark, d)
@@ -125,7 +143,7 @@ def _shipped(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     all_of = (
-        p2_found, p2_shared, p2_passages, p3_found, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_forms,
+        p1_found, p1_texts, p1_numbers, p2_found, p2_shared, p2_passages, p3_found, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_forms,
         p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores,
     )
     return {q.__name__: _shipped(q) for q in all_of}
