@@ -11,9 +11,10 @@ classifier alone.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -71,10 +72,13 @@ def clauses(text: str | None, level: str | None) -> list[tuple[str, str]]:
     return out + [("level", level)] * bool(level)
 
 
-def features(kind: str, clause: str) -> np.ndarray:
-    """Distinct hashed features of a clause: n-grams of 1 to 5 characters, n-grams of its shape, its length, and its
+def reduced(kind: str, clause: str) -> str:
+    return simplified(clause if kind == "text" else clause.lower()).strip()
+
+
+def features(kind: str, t: str) -> np.ndarray:
+    """Distinct hashed features of a reduced clause: n-grams of 1 to 5 characters, n-grams of its shape, its length, and its
     title, that is how it begins and ends. Levels and text have features of their own."""
-    t = simplified(clause if kind == "text" else clause.lower()).strip()
     out, salt = [], 1 if kind == "text" else 101
     with np.errstate(over="ignore"):
         for part, (s, sizes) in enumerate(((t, (1, 2, 3, 4, 5)), (shape(t), (1, 2, 3, 4, 5)))):
@@ -91,10 +95,17 @@ def features(kind: str, clause: str) -> np.ndarray:
 class Linear:
     weights: np.ndarray
     bias: float
+    known: dict[tuple[str, str], float] = field(default_factory=dict)
 
-    def probability(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = np.array([self.weights[r].sum() for r in rows]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def probability(self, kind: str, clause: str) -> float:
+        """Of one clause; clauses that differ only in serial and other numbers are the same and computed once a task."""
+        key = (kind, reduced(kind, clause))
+        if key not in self.known:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            z = float(self.weights[features(*key)].sum()) + self.bias
+            self.known[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.known[key]
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-6, rate: float = 0.3, epochs: int = 30, seed: int = 1) -> Linear:
@@ -144,8 +155,8 @@ def fitted(records: DataFrame, key: str, text: str, level: str, host: str, most_
     for r, h in zip(rows, held.tolist(), strict=True):
         if not h:
             for kind, c in clauses(r["t"], r["v"]):
-                distinct.setdefault((kind, simplified(c) if kind == "text" else c.lower()), (kind, c))
-    sample = [(features(*c), label) for c in distinct.values() if (label := weak_label(*c)) >= 0]
+                distinct.setdefault((kind, reduced(kind, c)), (kind, c))
+    sample = [(features(*key), label) for key, c in distinct.items() if (label := weak_label(*c)) >= 0]
     model = train([x for x, _ in sample], np.array([v for _, v in sample], np.int64))
     if not held.any():
         return model, {}
@@ -156,8 +167,7 @@ def fitted(records: DataFrame, key: str, text: str, level: str, host: str, most_
 
 def record_probability(model: Linear, text: str | None, level: str | None) -> float:
     """That of the clause most like residue; 0 if there is none."""
-    parts = clauses(text, level)
-    return float(model.probability([features(*c) for c in parts]).max()) if parts else 0.0
+    return max((model.probability(*c) for c in clauses(text, level)), default=0.0)
 
 
 def residue_scores(records: DataFrame, key: str, text: str, level: str, host: str, most_rows: int = 12_000) -> DataFrame:
