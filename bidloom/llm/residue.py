@@ -35,7 +35,8 @@ FILLER = re.compile(r"lorem ipsum|dolor sit amet|占位|示例文字|请替换|
 # Response-status wording: a page that answers with an error, a refusal or a demand instead of its content.
 STATUS = re.compile(
     r"HTTP \d{3}|^\W*\d{3} (?:Not Found|Forbidden|Bad Gateway|Internal)|not found[: ]|access denied|internal error|backend not reachable|(?:null\w*|\w+exception) at line|was moved$|session (?:has )?expired"
-    r"|(?:enable|switch on|turn on|needs?|requires?) (?:java)?script|页面(?:已失效|不存在)|无权限(?:查看|访问)|(?:会话|登录)已(?:过期|失效)|(?:网关|连接|数据库)\w{0,6}超时(?!阈值|后|须|应)|未能加载|转换失败|系统维护中|无法载入|脚本(?:功能|被拦截|后才能)|启用脚本|允许\s?(?:JS|JavaScript|脚本)运行|稍后(?:重试|再试)",
+    r"|(?:enable|switch on|turn on|needs?|requires?) (?:java)?script|页面(?:已失效|不存在)|无权限(?:查看|访问)|(?:会话|登录)已(?:过期|失效)|(?:网关|连接|数据库)\w{0,6}超时(?!阈值|后|须|应)|未能加载|转换失败|系统维护中|无法载入|脚本(?:功能|被拦截|后才能)|启用脚本|允许\s?(?:JS|JavaScript|脚本)运行|稍后(?:重试|再试)|校验浏览器|(?:开启|启用|打开)\s?(?:JS|JavaScript|Cookie|脚本)"
+    r"|(?:服务|系统)器?(?:繁忙|错误|异常)(?!时|后|须|应)|请(?:刷新|稍候|重新登录)|排队编号|(?:人机|安全)验证|加载(?:中|失败)|网络(?:异常|错误)|访问(?:受限|被拒)|service unavailable|bad gateway|too many requests|please (?:log ?in|try again|refresh|wait)|captcha",
     re.I,
 )
 # A sentence that speaks of such things as a requirement, a setting or a record:
