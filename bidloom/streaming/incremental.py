@@ -11,9 +11,9 @@ from bidloom.operators.pairs import sharing_pairs, tidy_pools
 POOLS = {"phones": "phone", "id_numbers": "id_number", "emails": "email", "bank_accounts": "bank_account"}
 
 
-def new_links(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def new_links(batch: DataFrame, stored: DataFrame, pools: dict[str, str] = POOLS) -> DataFrame:
     """(left, right, kind, value): shared contacts in which at least one side is of the batch."""
-    fresh, old = tidy_pools(batch, "bid_group", POOLS), tidy_pools(stored, "bid_group", POOLS)
+    fresh, old = tidy_pools(batch, "bid_group", pools), tidy_pools(stored, "bid_group", pools)
     kept = old.join(fresh.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
     pairs = sharing_pairs(fresh.unionByName(kept).distinct())
     groups = fresh.select("group").distinct()
