@@ -64,7 +64,7 @@ def mobile(c: Column) -> Column:
     """A mobile number in eleven figures, null if it is none; without Python."""
     digits = F.regexp_replace(c, "[^0-9]", "")
     digits = F.when((F.length(digits) == 13) & digits.startswith("86"), F.substring(digits, 3, 11)).otherwise(digits)
-    return F.when(digits.rlike("^1[3-9][0-9]{9}$"), digits)
+    return F.when(digits.rlike(r"^1[3-9][0-9]{9}\z"), digits)
 
 
 # Frequent family names, single and double, and words that look like names but are none.
@@ -76,9 +76,9 @@ NO_NAME = "公司|单位|项目|部门|经理|工程|投标|招标|代表|委托
 def is_person_name(c: Column) -> Column:
     """Whether a value can be the name of a person: two to four ideographs with a known family name in front, a name
     with a middle dot, or two to forty Latin letters in words; words of business are none."""
-    han = c.rlike(r"^[\x{4E00}-\x{9FFF}]{2,4}$") & (F.substring(c, 1, 1).rlike(f"[{FAMILY}]") | c.rlike(f"^({DOUBLE})"))
-    dotted = c.rlike(r"^[\x{4E00}-\x{9FFF}]{1,10}[·•・][\x{4E00}-\x{9FFF}]{1,10}$")
-    latin = c.rlike(r"^[A-Za-z][A-Za-z .'-]{1,39}$")
+    han = c.rlike(r"^[\x{4E00}-\x{9FFF}]{2,4}\z") & (F.substring(c, 1, 1).rlike(f"[{FAMILY}]") | c.rlike(f"^({DOUBLE})"))
+    dotted = c.rlike(r"^[\x{4E00}-\x{9FFF}]{1,10}[·•・][\x{4E00}-\x{9FFF}]{1,10}\z")
+    latin = c.rlike(r"^[A-Za-z][A-Za-z .'-]{1,39}\z")
     return (han | dotted | latin) & ~c.rlike(NO_NAME)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,27 @@ ANNOUNCEMENT = "投标人须知|招标文件的获取|招标文件获取方式|
 LEGAL = "《中华人民共和国招标投标法》|《中华人民共和国政府采购法》|符合《政府采购法》|《中华人民共和国招标投标法实施条例》|《招标投标法实施条例》|信用中国|中国政府采购网|失信被执行人|重大税收违法案件当事人|政府采购严重违法失信行为记录名单|信用信息查询|信用记录查询|行贿犯罪档案查询|无行贿犯罪记录|招标项目|招标编号"
 DECLARATION = "我公司郑重承诺|我单位郑重承诺|本公司郑重声明|具有独立承担民事责任的能力|具有良好的商业信誉和健全的财务会计制度|具有履行合同所必需的设备和专业技术能力|有依法缴纳税收和社会保障资金的良好记录|近三年内在经营活动中没有重大违法记录|在参加政府采购活动前三年内|法律、行政法规规定的其他条件|具有独立法人资格|独立承担民事责任|不是联合体投标|非联合体投标|单位负责人为同一人或者存在直接控股|管理关系的不同供应商|不得同时参加本项目|中小企业声明函|残疾人福利性单位声明函|监狱企业证明文件"
 NUMBERING = "(项目|采购|招标|工程|标段)[ \t]*(编号|代码|名称)[：:]|(包号|标段|包件|分包)[ \t]*[：:]|^第.{1,4}[章节条款]"
-FURNITURE = "^[ \t]*(目[ \t]*录|TOC|Table of Contents)[ \t]*$|^[ \t]*[0-9IVX]+[ \t]*$|^[-=＿.]{5,}$"
+FURNITURE = r"^[ \t]*(目[ \t]*录|TOC|Table of Contents)[ \t]*\z|^[ \t]*[0-9IVX]+[ \t]*\z|^[-=＿.]{5,}\z"
 FORMAL = ["应当", "必须", "不得", "严禁", "应具备", "须具备", "承诺", "保证", "确保", "遵守", "递交", "送达", "提交", "受理", "备案", "规定", "要求", "条件", "资格"]
 FORMAL_SCORE = ["应当", "必须", "不得", "严禁", "遵守", "执行", "保证", "承诺", "确保", "承担", "履行", "提供", "规定", "要求", "条件", "标准", "规范", "递交", "送达", "提交"]
-WORDING = "|".join((SIGNATURE, ANNOUNCEMENT, LEGAL, DECLARATION))
+
+
+def any_word(words: list[str]) -> str:
+    """A pattern for any of the words that looks at each character of a text once: words are grouped by how they begin,
+    so a place that no word begins at costs one test instead of one for each word."""
+    if "" in words:
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + (f"(?:{rest})" if (rest := any_word(sorted(set(tails)))) and "|" in rest else rest) for c, tails in sorted(by.items())]
+    if len(parts) > 4 and len(words) > 20:  # the first character of any word, before the words are tried
+        return f"(?=[{''.join(sorted(by))}])(?:{'|'.join(parts)})"
+    return "|".join(parts)
+
+
+WORDS = [w for group in (SIGNATURE, ANNOUNCEMENT, LEGAL, DECLARATION) for w in group.split("|")]
+WORDING = any_word(WORDS).replace("\\ ", " ")
 # Shapes of technical terms and of numbers. Each pattern counts by itself.
 TECHNICAL = ["[A-Z]{2,}[-–][0-9]{2,}", "[A-Z][A-Z0-9-]{3,}", "[0-9]+[×xX][0-9]+", r"[0-9]+(?:\.[0-9]+)?[mMkK]?[WwVvAaHhZz]", "毫米|厘米|米|千米|克|千克|吨|升|毫升|平方米|立方米|公顷", "台|套|件|个|组|批|项|次|人|天|月|年"]
 NUMERIC = [r"[0-9]{2,}\.[0-9]{2,}", r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?", r"[¥￥][ \t]*[0-9][0-9,.]*", r"[0-9]+\.[0-9]+%", "20[0-9]{2}[-/年][0-9]{1,2}[-/月][0-9]{1,2}", "[0-9]{4,}"]

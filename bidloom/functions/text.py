@@ -97,8 +97,8 @@ def display_name(c: Column) -> Column:
 
 def group_name(c: Column) -> Column:
     """A bidder's name from a file name: without extension, volume number and marks at the end."""
-    c = F.regexp_replace(c, r"\.[A-Za-z0-9]+$", "")
-    return F.regexp_replace(c, r"[_\-\s]*[0-9]*$", "")
+    c = F.regexp_replace(c, r"\.[A-Za-z0-9]+\z", "")
+    return F.regexp_replace(c, r"[_\-\t ]*[0-9]*\z", "")
 
 
 def item_name(c: Column) -> Column:
@@ -118,4 +118,4 @@ def meaningful(c: Column) -> Column:
 
 
 def extension(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]+)$", 1))
+    return F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]+)\z", 1))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.text import item_name
+from bidloom.session import is_empty, materialize
 
 
 def ex_tax(total: Column, rate: Column) -> Column:
@@ -45,7 +45,7 @@ def plausible_items(items: DataFrame, name: str, unit_price: str, total: str, le
     """Items whose name is no sum, number or long sentence, whose total is not negligible and whose unit price is not
     above 1.5 times the total."""
     n = F.trim(F.col(name))
-    named = n.isNotNull() & (F.length(n).between(2, 15)) & ~n.rlike("[0-9]{4,}|合计|总计|小计|^[-/.]+$|税金")
+    named = n.isNotNull() & (F.length(n).between(2, 15)) & ~n.rlike(r"[0-9]{4,}|合计|总计|小计|^[-/. \t\n]+\z|税金")
     priced = (F.col(total) >= least) & (F.col(unit_price).isNull() | (F.col(unit_price) <= 1.5 * F.col(total)))
     return items.where(named & priced)
 
@@ -60,59 +60,68 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def similar_names(names: DataFrame, name_id: str, name: str, least: float = 0.55, most_per_gram: int | None = None) -> DataFrame:
-    """(id1, id2, jaccard), id1 < id2: names alike by the pairs of characters they consist of, joined on these pairs."""
-    forms = names.select(F.col(name_id).alias("id"), item_name(F.col(name)).alias("form")).where(F.length("form") >= 4).distinct().withColumn("grams", bigrams(F.col("form"))).withColumn("n", F.size("grams"))
-    grams = forms.select("id", "n", F.explode("grams").alias("g"))
-    if most_per_gram is not None:
-        grams = grams.join(grams.groupBy("g").count().where(F.col("count") <= most_per_gram).select("g"), "g", "left_semi")
-    a, b = grams.select("g", F.col("id").alias("id1"), F.col("n").alias("n1")), grams.select("g", F.col("id").alias("id2"), F.col("n").alias("n2"))
-    both = a.join(b, "g").where("id1 < id2").groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
-    return both.withColumn("jaccard", F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).where(F.col("jaccard") >= least).select("id1", "id2", "jaccard")
-
-
-def longest_common(a: str, b: str) -> int:
-    row, best = [0] * (len(b) + 1), 0
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                new[j] = row[j - 1] + 1
-                best = max(best, new[j])
-        row = new
-    return best
-
-
-def alike(a: str, b: str) -> bool:
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    if len(a) < 4 or len(b) < 4:
-        return False
-    x, y = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
-    return longest_common(a[:200], b[:200]) >= 6 or len(x & y) / len(x | y) >= 0.55
-
-
-def item_clusters(items: DataFrame, scope: str, item_id: str, name: str) -> DataFrame:
-    """(scope, cluster, item_id): items of a scope around the first item, by id, that no cluster has yet.
-
-    Not transitive: an item belongs to the first cluster whose seed it is like. Distinct names are clustered, not rows:
-    the names of a scope are a bounded list even where its rows are not; items join their name's cluster afterwards.
+def substrings(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def alike_pairs(forms: DataFrame, least: float = 0.55, common: int | None = 6) -> DataFrame:
+    """(scope, id1, id2, jaccard), id1 < id2, of names (scope, id, form) of one scope that are alike: by the pairs of
+    characters they consist of, or by ``common`` successive characters in common.
+
+    Only the rarest pairs of a name are joined on, as many as two names with that similarity must share one of; so a
+    pair of characters that all names have ("费用") joins nothing. Names of fewer than four characters are alike none.
+    """
+    rows = forms.where(F.length("form") >= 4).select("scope", "id", "form", bigrams(F.col("form")).alias("grams"))
+    rows = rows.withColumn("n", F.size("grams"))
+    each = rows.select("scope", "id", "n", F.explode("grams").alias("g"))
+    counted = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")), "g")
+    rarest = counted.groupBy("scope", "id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("l"))
+    keep = F.col("n") - F.ceil(F.col("n") * least) + 1
+    keys = rarest.select("scope", "id", F.explode(F.slice("l", F.lit(1), keep.cast("int"))).alias("x")).select("scope", "id", F.col("x.g").alias("k"))
+    if common:
+        keys = keys.unionByName(rows.select("scope", "id", F.explode(substrings(F.col("form"), common)).alias("k")))
+    a, b = keys.withColumnRenamed("id", "id1"), keys.withColumnRenamed("id", "id2")
+    met = a.join(b, ["scope", "k"]).where("id1 < id2").select("scope", "id1", "id2").distinct()
+    x = rows.select("scope", F.col("id").alias("id1"), F.col("grams").alias("g1"), F.col("form").alias("f1"))
+    y = rows.select("scope", F.col("id").alias("id2"), F.col("grams").alias("g2"), F.col("form").alias("f2"))
+    both = met.join(x, ["scope", "id1"]).join(y, ["scope", "id2"])
+    shared = F.size(F.array_intersect("g1", "g2"))
+    scored = both.withColumn("jaccard", shared / (F.size("g1") + F.size("g2") - shared))
+    run = F.size(F.array_intersect(substrings(F.col("f1"), common), substrings(F.col("f2"), common))) > 0 if common else F.lit(False)
+    return scored.where((F.col("jaccard") >= least) | run).select("scope", "id1", "id2", "jaccard")
+
+
+def similar_names(names: DataFrame, name_id: str, name: str, least: float = 0.55) -> DataFrame:
+    """(id1, id2, jaccard), id1 < id2: names of one list that are alike."""
+    forms = names.select(F.lit(1).alias("scope"), F.col(name_id).alias("id"), item_name(F.col(name)).alias("form")).distinct()
+    return alike_pairs(forms, least, None).select("id1", "id2", "jaccard")
+
+
+def item_clusters(items: DataFrame, scope: str, item_id: str, name: str, most_rounds: int = 100) -> DataFrame:
+    """(scope, cluster, item_id): items of a scope around the first item, by id, that no cluster has yet; a cluster is
+    named by that item.
+
+    Not transitive: an item belongs to the first cluster whose first item it is like. This is the order-dependent
+    greedy clustering, computed in rounds over the pairs that are alike: a name whose smaller neighbours all belong to
+    clusters of others begins a cluster, a name with a neighbour that begins one belongs to it. Few rounds suffice and
+    no task ever holds a whole scope. Items without a name are left out; unlike names are clusters of their own.
     """
     rows = items.select(F.col(scope).alias("scope"), F.col(item_id).alias("item_id"), item_name(F.col(name)).alias("form")).where("scope is not null and form <> ''").distinct()
-    first = rows.groupBy("scope", "form").agg(F.min("item_id").alias("first"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[str] = []
-        out = []
-        for r in pdf.sort_values("first").itertuples(index=False):
-            k = next((i for i, s in enumerate(seeds) if alike(s, r.form)), None)
-            if k is None:
-                k = len(seeds)
-                seeds.append(r.form)
-            out.append((r.scope, r.form, k + 1))
-        return pd.DataFrame(out, columns=["scope", "form", "cluster"])
-
-    found = first.groupBy("scope").applyInPandas(greedy, f"scope {dict(rows.dtypes)['scope']}, form string, cluster int")
-    return rows.join(found, ["scope", "form"]).select("scope", "cluster", "item_id")
+    forms = materialize(rows.groupBy("scope", "form").agg(F.min("item_id").alias("id")))
+    edges = materialize(alike_pairs(forms))
+    left = edges.select("scope", F.col("id2").alias("id")).unionByName(edges.select("scope", F.col("id1").alias("id"))).distinct()
+    open_edges, firsts = edges, None
+    for _ in range(most_rounds):
+        new = materialize(left.join(open_edges.select("scope", F.col("id2").alias("id")), ["scope", "id"], "left_anti"))
+        firsts = new if firsts is None else firsts.unionByName(new)
+        taken = open_edges.join(new.withColumnRenamed("id", "id1"), ["scope", "id1"], "left_semi").select("scope", F.col("id2").alias("id"))
+        left = materialize(left.join(new.unionByName(taken).distinct(), ["scope", "id"], "left_anti"))
+        if is_empty(left):
+            break
+        open_edges = open_edges.join(left.withColumnRenamed("id", "id1"), ["scope", "id1"], "left_semi").join(left.withColumnRenamed("id", "id2"), ["scope", "id2"], "left_semi")
+    else:
+        raise RuntimeError(f"items are left after {most_rounds} rounds")
+    around = edges.join(firsts.withColumnRenamed("id", "id1"), ["scope", "id1"], "left_semi").groupBy("scope", F.col("id2").alias("id")).agg(F.min("id1").alias("cluster"))
+    around = around.join(firsts, ["scope", "id"], "left_anti")
+    named = forms.join(around, ["scope", "id"], "left").select("scope", "form", F.coalesce("cluster", "id").alias("cluster"))
+    return rows.join(named, ["scope", "form"]).select("scope", "cluster", "item_id")

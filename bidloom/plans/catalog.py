@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import amounts, contacts, rules, text
 from bidloom.operators import layout, pairs, prices, segments, summaries
 from bidloom.plans.oracles import ORACLES
-from bidloom.session import read, ship_package
+from bidloom.session import read, ship_package, spread
 from bidloom.streaming.incremental import new_links, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "personnel").dropDuplicates(["person_id"])
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(read(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "matches").dropDuplicates(["match_id"])
 
@@ -136,7 +140,7 @@ def template_rule_flag(spark, d):
 @query
 def template_rule_lines(spark, d):
     """Lines of all documents that are template wording, by source."""
-    rows = layout.lines(read(spark, d, "documents"), "doc_id", "text").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    rows = _documents(spark, d, "source").where("text is not null").select("source", F.explode(F.split("text", "\n")).alias("line"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(rules.is_template(F.col("line"))).alias("n_template"))
 
 
@@ -309,7 +313,7 @@ def overlap_rate(spark, d):
 @query
 def name_mentions(spark, d):
     """Documents that name an entry of the cost list."""
-    found = pairs.mentions(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items").selectExpr("item_id", "substring(text, 1, 12) as head"), "item_id", "head")
+    found = pairs.mentions(_documents(spark, d), "doc_id", "text", read(spark, d, "eval_items").selectExpr("item_id", "substring(text, 1, 12) as head"), "item_id", "head")
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -333,7 +337,7 @@ def pair_file_lookup(spark, d):
 
 @query
 def exact_duplicate_docs(spark, d):
-    return segments.text_classes(read(spark, d, "documents"), "doc_id", "text")
+    return segments.text_classes(_documents(spark, d), "doc_id", "text")
 
 
 @query
@@ -345,22 +349,22 @@ def template_windows(spark, d):
 @query
 def line_template_index(spark, d):
     """Lines that at least three documents of a source have."""
-    docs = read(spark, d, "documents")
-    rows = layout.lines(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").withColumn("form", text.match_form(F.col("line"))).where(F.length("form") >= 30)
+    docs = _documents(spark, d, "source").where("text is not null")
+    rows = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).withColumn("form", text.match_form(F.col("line"))).where(F.length("form") >= 30)
     return rows.groupBy("source", "form").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 3").select("source", F.md5("form").alias("digest"), "n_docs")
 
 
 @query
 def reference_subtraction(spark, d):
     """Lines of tender documents that stand in an evaluation item."""
-    lines = layout.lines(read(spark, d, "documents"), "doc_id", "text").select("line").distinct()
+    lines = layout.lines(_documents(spark, d), "doc_id", "text").select("line").distinct()
     return segments.contained_in(lines, "line", "line", read(spark, d, "eval_items"), "text").distinct()
 
 
 @query
 def paragraphs(spark, d):
     """The longest paragraphs of each document."""
-    return segments.paragraphs(read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("n_form").cast("long").alias("n_form"), F.col("rank").cast("long").alias("rank"))
+    return segments.paragraphs(_documents(spark, d), "doc_id", "text").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("n_form").cast("long").alias("n_form"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -381,13 +385,13 @@ def near_duplicate_paragraphs(spark, d):
 
 @query
 def pipe_table_rows(spark, d):
-    return layout.pipe_rows(read(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("region").cast("long").alias("region"), F.col("row_no").cast("long").alias("row_no"), F.size("cells").cast("long").alias("n_cells"))
+    return layout.pipe_rows(_documents(spark, d), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("region").cast("long").alias("region"), F.col("row_no").cast("long").alias("row_no"), F.size("cells").cast("long").alias("n_cells"))
 
 
 @query
 def pipe_cell_values(spark, d):
     """Cells of all tables in documents by the header of their column."""
-    cells = layout.cell_values(layout.pipe_rows(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    cells = layout.cell_values(layout.pipe_rows(_documents(spark, d), "doc_id", "text"), "doc_id")
     return cells.groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_distinct"))
 
 
@@ -409,14 +413,14 @@ def wrapped_row_islands(spark, d):
 @query
 def empty_line_streaks(spark, d):
     """Runs of empty lines in documents."""
-    rows = layout.islands(layout.lines(read(spark, d, "documents"), "doc_id", "text"), ["doc_id"], ["line_no"], F.trim("line") == "", "streak")
+    rows = layout.islands(layout.lines(_documents(spark, d), "doc_id", "text"), ["doc_id"], ["line_no"], F.trim("line") == "", "streak")
     return rows.groupBy("doc_id").agg(F.max("streak").cast("long").alias("n_streaks"), F.count(F.lit(1)).alias("n_empty"))
 
 
 @query
 def section_slices(spark, d):
     """Parts of documents from one numbered question or entry to the next."""
-    found = layout.sections(layout.lines(read(spark, d, "documents"), "doc_id", "text"), "doc_id", "^(问[0-9]+：|[0-9]+\\. )")
+    found = layout.sections(layout.lines(_documents(spark, d), "doc_id", "text"), "doc_id", "^(问[0-9]+：|[0-9]+\\. )")
     return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("first_line").cast("long").alias("first_line"), F.col("n_lines").cast("long").alias("n_lines"))
 
 
@@ -466,9 +470,8 @@ def bid_totals_tax(spark, d):
 
 @query
 def equal_totals(spark, d):
-    """Line totals, to the cent, that several files of a tender state."""
-    rows = read(spark, d, "costdetails").dropDuplicates(["item_id"])
-    return prices.equal_totals(rows, "tender_id", "file_id", "totalpriceintax").select(F.col("scope").alias("tender_id"), F.col("total").cast("double").alias("total"), "n_groups", "n_pairs")
+    """Amounts, to the cent, that several lines of an order have."""
+    return prices.equal_totals(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity").select(F.col("scope").alias("l_orderkey"), F.col("total").cast("double").alias("total"), "n_groups", "n_pairs")
 
 
 @query

@@ -24,7 +24,7 @@ def any_of(c: str, pattern: str) -> str:
 def template(c: str) -> str:
     t = f"trim({c}, ' ')"
     density = f"{occurrences(t, rules.FORMAL)} / greatest(length({t}), 1)"
-    return f"({any_of(t, rules.WORDING)} OR {any_of(t, rules.NUMBERING)} OR {any_of(t, rules.FURNITURE)} OR (length({t}) >= 40 AND {density} > 0.06 AND NOT {any_of(t, '[0-9]{2,}')}))"
+    return f"({any_of(t, '|'.join(rules.WORDS))} OR {any_of(t, rules.NUMBERING)} OR {any_of(t, rules.FURNITURE)} OR (length({t}) >= 40 AND {density} > 0.06 AND NOT {any_of(t, '[0-9]{2,}')}))"
 
 
 def substantiality(c: str) -> str:
@@ -56,7 +56,7 @@ TIDY = "(SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT bid_group AS \"
 DOC_LINES = "(SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 FILE_LINES = f"(SELECT file_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {FILES} WHERE text IS NOT NULL)"
 LEVEL = "CASE WHEN lower(trim(risk_level, ' ')) IN ('substantial', 'suspicious', 'template') THEN lower(trim(risk_level, ' ')) END"
-EXT = "lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1))"
+EXT = "lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)\\z', 1))"
 NAME = f"regexp_replace(regexp_replace(regexp_replace({match_form('pricename')}, '^[0-9]+([.,][0-9]+)*[.,)]?', ''), '\\([^()]*\\)', '', 'g'), '[.,:*\"\\[\\]\\-]', '', 'g')"
 BARS = "(SELECT doc_id, line_no, line, contains(line, ' | ') AS b, line_no - row_number() OVER (PARTITION BY doc_id, contains(line, ' | ') ORDER BY line_no) AS g FROM " + DOC_LINES + ")"
 REGIONS = f"(SELECT doc_id, line_no, line, dense_rank() OVER (PARTITION BY doc_id ORDER BY g) AS region, row_number() OVER (PARTITION BY doc_id, g ORDER BY line_no) AS row_no FROM {BARS} WHERE b)"
@@ -98,7 +98,7 @@ ORACLES = {
     "control_strip": f"SELECT doc_id, CAST(length(regexp_replace(text, {q(text.CONTROL)}, '', 'g')) AS BIGINT) AS n_left FROM documents",
     "fill_brackets_strip": f"SELECT match_id, replace(translate(replace(text, '{text.SHEET}', chr(1)), '【】', ''), chr(1), '{text.SHEET}') AS bare FROM {SEGMENTS}",
     "mask_values": f"SELECT person_id, 'id_number' AS kind, substring(v, 1, 6) || '****' AS masked FROM (SELECT person_id, unnest(id_numbers) AS v FROM {PEOPLE}) UNION ALL SELECT person_id, 'bank_account', CASE WHEN length(v) > 8 THEN substring(v, 1, 4) || '******' || right(v, 4) ELSE v END FROM (SELECT person_id, unnest(bank_accounts) AS v FROM {PEOPLE})",
-    "name_forms": f"SELECT 'person' AS kind, person_id AS id, {key_of('person_name')} AS form FROM {PEOPLE} UNION ALL SELECT 'file', file_id, regexp_replace(regexp_replace(file_name, '^.*/', ''), '^[0-9a-f]{{8}}_', '') FROM {FILES} UNION ALL SELECT 'group', file_id, regexp_replace(regexp_replace(display_name, '\\.[A-Za-z0-9]+$', ''), '[_\\-\\t ]*[0-9]*$', '') FROM {FILES}",
+    "name_forms": f"SELECT 'person' AS kind, person_id AS id, {key_of('person_name')} AS form FROM {PEOPLE} UNION ALL SELECT 'file', file_id, regexp_replace(regexp_replace(file_name, '^.*/', ''), '^[0-9a-f]{{8}}_', '') FROM {FILES} UNION ALL SELECT 'group', file_id, regexp_replace(regexp_replace(display_name, '\\.[A-Za-z0-9]+\\z', ''), '[_\\-\\t ]*[0-9]*\\z', '') FROM {FILES}",
     "item_name_forms": f"SELECT pricename, {NAME} AS form FROM (SELECT DISTINCT pricename FROM costdetails WHERE pricename IS NOT NULL)",
     "meaningful_chars": f"SELECT match_id, CAST(length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}A-Za-z0-9]', '', 'g')) AS BIGINT) AS n FROM {SEGMENTS}",
     "template_rule_flag": f"SELECT match_id, {template('text')} AS template FROM {SEGMENTS}",
@@ -119,9 +119,9 @@ SELECT a.g AS "left", b.g AS "right", a.v AS value FROM r AS a JOIN r AS b ON a.
 n AS (SELECT scope, count(DISTINCT g) AS n_all FROM t GROUP BY scope)
 SELECT scope, 'person_role' AS kind, value, count(DISTINCT g) AS n_groups, n_all FROM t JOIN n USING (scope) GROUP BY scope, value, n_all HAVING count(DISTINCT g) >= 3 AND count(DISTINCT g) >= 0.8 * n_all""",
     "env_noise_by_reference": f"SELECT kind, count(*) AS n_left FROM {TIDY} WHERE value NOT IN (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9]{{9,25}})', 1)) FROM documents WHERE doc_kind = 'tender' AND text IS NOT NULL) GROUP BY kind",
-    "phone_forms": f"SELECT person_id, phone, CASE WHEN regexp_matches(x, '^1[3-9][0-9]{{9}}$') THEN x END AS mobile FROM (SELECT person_id, phone, CASE WHEN length(y) = 13 AND starts_with(y, '86') THEN substring(y, 3, 11) ELSE y END AS x FROM (SELECT person_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') AS y FROM (SELECT person_id, unnest(phones) AS phone FROM {PEOPLE})))",
+    "phone_forms": f"SELECT person_id, phone, CASE WHEN regexp_matches(x, '^1[3-9][0-9]{{9}}\\z') THEN x END AS mobile FROM (SELECT person_id, phone, CASE WHEN length(y) = 13 AND starts_with(y, '86') THEN substring(y, 3, 11) ELSE y END AS x FROM (SELECT person_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') AS y FROM (SELECT person_id, unnest(phones) AS phone FROM {PEOPLE})))",
     "short_phone_anomaly": f"SELECT person_id, phone FROM (SELECT person_id, unnest(phones) AS phone FROM {PEOPLE}) WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) < 7",
-    "person_name_filter": f"""SELECT person_id, ((regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{2,4}}$') AND (regexp_matches(substring(n, 1, 1), '[{contacts.FAMILY}]') OR regexp_matches(n, '^({contacts.DOUBLE})'))) OR regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}[·•・][\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}$') OR regexp_matches(n, '^[A-Za-z][A-Za-z .''-]{{1,39}}$')) AND NOT regexp_matches(n, '{contacts.NO_NAME}') AS is_name
+    "person_name_filter": f"""SELECT person_id, ((regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{2,4}}\\z') AND (regexp_matches(substring(n, 1, 1), '[{contacts.FAMILY}]') OR regexp_matches(n, '^({contacts.DOUBLE})'))) OR regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}[·•・][\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}\\z') OR regexp_matches(n, '^[A-Za-z][A-Za-z .''-]{{1,39}}\\z')) AND NOT regexp_matches(n, '{contacts.NO_NAME}') AS is_name
 FROM (SELECT person_id, {key_of('person_name')} AS n FROM {PEOPLE} WHERE person_name IS NOT NULL)""",
     "role_counts": f"SELECT coalesce({role('person_role')}, 'none') AS role, count(*) AS n FROM {PEOPLE} GROUP BY 1",
     "best_person_per_role": f"SELECT file_id, role, person_id FROM (SELECT file_id, coalesce(person_role, '') AS role, person_id, row_number() OVER (PARTITION BY file_id, coalesce(person_role, '') ORDER BY confidence DESC NULLS LAST, person_id) AS k FROM {PEOPLE}) WHERE k = 1",
@@ -156,12 +156,12 @@ SELECT header, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (SELECT t
     "project_vote": f"""SELECT tender_id, value, n_votes FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY n_votes DESC, length(value) DESC, value DESC) AS k FROM (SELECT tender_id, regexp_replace(display_name, '(技术册|商务册|资格册|报价册)?(_[0-9]+)?\\.[A-Za-z]+$', '') AS value, count(*) AS n_votes FROM {FILES} WHERE tender_id IS NOT NULL GROUP BY 1, 2) WHERE value <> '') WHERE k = 1""",
     "amount_parse": f"SELECT price_id, CASE WHEN n <> '' THEN CAST(n AS DOUBLE) * CASE u WHEN '万' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1.0 END END AS amount FROM (SELECT price_id, regexp_extract(s, '([0-9]+(\\.[0-9]+)?)', 1) AS n, regexp_extract(s, '[0-9](元)?([万亿])', 2) AS u FROM (SELECT DISTINCT price_id, {AMOUNT_TEXT} AS s FROM prices WHERE totalprice IS NOT NULL))",
     "bid_totals_tax": f"SELECT price_id, round(r, 6) AS rate, CAST(round(CAST(CAST(totalpriceintax AS DECIMAL(20,2)) / (1 + CAST(r AS DECIMAL(10,6))) AS DECIMAL(20,6)), 2) AS DOUBLE) AS ex_tax FROM (SELECT *, {RATE} AS r FROM {PRICES})",
-    "equal_totals": f"SELECT tender_id, CAST(t AS DOUBLE) AS total, n AS n_groups, n * (n - 1) // 2 AS n_pairs FROM (SELECT tender_id, t, count(*) AS n FROM (SELECT DISTINCT tender_id, file_id, CAST(totalpriceintax AS DECIMAL(20,2)) AS t FROM {ITEMS} WHERE tender_id IS NOT NULL AND file_id IS NOT NULL AND totalpriceintax > 0) GROUP BY tender_id, t) WHERE n > 1",
+    "equal_totals": "SELECT l_orderkey, CAST(t AS DOUBLE) AS total, n AS n_groups, n * (n - 1) // 2 AS n_pairs FROM (SELECT l_orderkey, t, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(20,2)) AS t FROM lineitem WHERE l_quantity > 0) GROUP BY l_orderkey, t) WHERE n > 1",
     "price_ladder": ladder("l_orderkey", "l_quantity", "lineitem"),
     "price_spread": f"SELECT tender_id, pricename, count(*) AS n, count(DISTINCT file_id) AS n_who, count(DISTINCT v) AS n_distinct, CAST(min(v) AS DOUBLE) AS lowest, CAST(max(v) AS DOUBLE) AS highest, CAST(round((max(v) - min(v))::DOUBLE / min(v)::DOUBLE * 100, 2) AS DOUBLE) AS spread_pct FROM (SELECT *, CAST(unitprice AS DECIMAL(20,2)) AS v FROM {ITEMS} WHERE unitprice > 0 AND pricename IS NOT NULL AND tender_id IS NOT NULL) GROUP BY tender_id, pricename HAVING count(*) > 1",
     "comparison_pivot": "SELECT l_returnflag, f, o, CAST((f IS NOT NULL)::INT + (o IS NOT NULL)::INT AS BIGINT) AS n_values, coalesce(f = o, true) AS same_all FROM (SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY l_returnflag)",
     "sum_vs_total": f"SELECT file_id, n_items, CAST(s AS DOUBLE) AS item_sum, CAST(t AS DOUBLE) AS total, abs(s - t)::DOUBLE > t::DOUBLE * 0.05 AS off FROM (SELECT file_id, count(*) AS n_items, sum(CAST(totalprice AS DECIMAL(20,2))) AS s FROM {ITEMS} WHERE totalprice IS NOT NULL GROUP BY file_id) JOIN (SELECT file_id, CAST(max(cost_total) AS DECIMAL(20,2)) AS t FROM prices GROUP BY file_id) USING (file_id) WHERE t > 0",
-    "plausible_items": f"SELECT file_id, count(*) AS n, CAST(sum(CAST(totalprice AS DECIMAL(20,2))) AS DOUBLE) AS total FROM {ITEMS} WHERE pricename IS NOT NULL AND length(trim(pricename, ' ')) BETWEEN 2 AND 15 AND NOT regexp_matches(trim(pricename, ' '), '[0-9]{{4,}}|合计|总计|小计|^[-/.]+$|税金') AND totalprice >= 100 AND (unitprice IS NULL OR unitprice <= 1.5 * totalprice) GROUP BY file_id",
+    "plausible_items": f"SELECT file_id, count(*) AS n, CAST(sum(CAST(totalprice AS DECIMAL(20,2))) AS DOUBLE) AS total FROM {ITEMS} WHERE pricename IS NOT NULL AND length(trim(pricename, ' ')) BETWEEN 2 AND 15 AND NOT regexp_matches(trim(pricename, ' '), '[0-9]{{4,}}|合计|总计|小计|^[-/. \\t\\n]+\\z|税金') AND totalprice >= 100 AND (unitprice IS NULL OR unitprice <= 1.5 * totalprice) GROUP BY file_id",
     "bond_echo_exclusion": f"SELECT file_id, count(*) AS n FROM {ITEMS} AS i WHERE NOT EXISTS (SELECT 1 FROM (SELECT file_id AS f, unnest([revenue, cost_total]) AS o FROM prices) AS x WHERE x.f = i.file_id AND abs(i.totalprice - x.o) < 1) GROUP BY file_id",
     "item_jaccard": f"""WITH f AS (SELECT DISTINCT ref_id, form FROM (SELECT ref_id, {NAME.replace('pricename', 'canon_name')} AS form FROM price_ref) WHERE length(form) >= 4), g AS (SELECT DISTINCT ref_id, substring(form, i, 2) AS g FROM f, unnest(range(1, length(form))) AS t(i)),
 n AS (SELECT ref_id, count(*) AS n FROM g GROUP BY ref_id), b AS (SELECT x.ref_id AS id1, y.ref_id AS id2, count(*) AS c FROM g AS x JOIN g AS y ON x.g = y.g AND x.ref_id < y.ref_id GROUP BY 1, 2)

@@ -17,8 +17,8 @@ def new_links(batch: DataFrame, stored: DataFrame, pools: dict[str, str] = POOLS
     kept = old.join(fresh.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
     pairs = sharing_pairs(fresh.unionByName(kept).distinct())
     groups = fresh.select("group").distinct()
-    touched = pairs.join(groups.withColumnRenamed("group", "left"), "left", "left_semi").unionByName(pairs.join(groups.withColumnRenamed("group", "right"), "right", "left_semi").select(*pairs.columns))
-    return touched.distinct()
+    a, b = groups.select(F.col("group").alias("left"), F.lit(True).alias("_a")), groups.select(F.col("group").alias("right"), F.lit(True).alias("_b"))
+    return pairs.join(a, "left", "left").join(b, "right", "left").where("_a or _b").select("left", "right", "kind", "value").distinct()
 
 
 def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str, checkpoint: str, schema: str) -> StreamingQuery:
