@@ -22,15 +22,16 @@ def equal_totals(totals: DataFrame, scope: str, group: str, total: str) -> DataF
 
 def ladders(totals: DataFrame, scope: list[str], total: str, least: int = 3) -> DataFrame:
     """(scope..., n, gap): scopes whose distinct totals, in order, all lie the same positive gap apart, to the cent."""
-    rows = totals.select(*scope, F.col(total).cast("decimal(20,2)").alias("t")).where("t is not null").distinct()
-    gaps = rows.withColumn("g", F.col("t") - F.lag("t").over(Window.partitionBy(*scope).orderBy("t")))
-    return gaps.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("gap"), F.max("g").alias("_g")).where((F.col("n") >= least) & (F.col("gap") == F.col("_g"))).select(*scope, "n", "gap")
+    rows = totals.select(*scope, F.col(total).cast("decimal(20,2)").alias("_t")).where("_t is not null").distinct()
+    gaps = rows.withColumn("_g", F.col("_t") - F.lag("_t").over(Window.partitionBy(*scope).orderBy("_t")))
+    summed = gaps.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.min("_g").alias("gap"), F.max("_g").alias("_most"))
+    return summed.where((F.col("n") >= least) & (F.col("gap") == F.col("_most"))).select(*scope, "n", "gap")
 
 
 def spreads(rows: DataFrame, by: list[str], value: str, who: str) -> DataFrame:
     """(by..., n, n_who, n_distinct, lowest, highest, spread_pct): how far the values of a group lie apart."""
-    v = rows.where(F.col(value) > 0).select(*by, F.col(who).alias("who"), F.col(value).cast("decimal(20,2)").alias("v"))
-    out = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("who").alias("n_who"), F.countDistinct("v").alias("n_distinct"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+    v = rows.where(F.col(value) > 0).select(*by, F.col(who).alias("_who"), F.col(value).cast("decimal(20,2)").alias("_v"))
+    out = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_who").alias("n_who"), F.countDistinct("_v").alias("n_distinct"), F.min("_v").alias("lowest"), F.max("_v").alias("highest"))
     return out.withColumn("spread_pct", F.round((F.col("highest") - F.col("lowest")) / F.col("lowest") * 100, 2))
 
 

@@ -138,6 +138,12 @@ def read_lines(spark: SparkSession, folder: str, page_reader: PageReader | None
     return file_lines(files, page_reader)
 
 
+def _frame(path: str, lines: list[Line], error: str | None = None) -> pd.DataFrame:
+    rows = [(k, t) for k, t in lines] if error is None else [(None, None)]
+    numbers = list(range(len(lines))) if error is None else [None]
+    return pd.DataFrame({"path": path, "line_no": pd.array(numbers, dtype="Int32"), "kind": pd.Series([r[0] for r in rows], dtype="object"), "text": pd.Series([r[1] for r in rows], dtype="object"), "error": pd.Series([error] * len(rows), dtype="object")})
+
+
 def file_lines(files: DataFrame, page_reader: PageReader | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,9 +157,9 @@ def file_lines(files: DataFrame, page_reader: PageReader | None = None) -> DataF
                         lines = document_lines(content)
                     else:
                         lines = page_lines(content, page_reader)
-                    yield pd.DataFrame([(path, n, k, t, None) for n, (k, t) in enumerate(lines)], columns=["path", "line_no", "kind", "text", "error"])
+                    yield _frame(path, lines)
                 except Exception as e:  # one broken file must not end the job
-                    yield pd.DataFrame([(path, None, None, None, f"{type(e).__name__}: {e}"[:300])], columns=["path", "line_no", "kind", "text", "error"])
+                    yield _frame(path, [], f"{type(e).__name__}: {e}"[:300])
 
     return files.select("path", file_kind(F.col("path")).alias("kind"), "content").mapInPandas(run, SCHEMA)
 
@@ -209,7 +215,7 @@ def file_properties(files: DataFrame) -> DataFrame:
                     found = pdf_properties(content) if kind == "pdf" else office_properties(content) if kind in ("docx", "xlsx") else {}
                 except Exception:  # a broken file has no properties
                     found = {}
-                rows.append((path, list(found.items())))
+                rows.append((path, found))
             yield pd.DataFrame(rows, columns=["path", "properties"])
 
     return files.select("path", file_kind(F.col("path")).alias("kind"), "content").mapInPandas(run, "path string, properties map<string,string>")
