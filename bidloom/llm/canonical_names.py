@@ -72,8 +72,10 @@ class Dictionary:
     frequency: dict[int, int]
     most: int = 2
     index: dict[str, list[str]] = field(default_factory=lambda: defaultdict(list))
+    longest: int = 0
 
     def __post_init__(self) -> None:
+        self.longest = max(map(len, self.names), default=0)
         for name in self.names:
             for part in deletions(name, self.edits(name)):
                 self.index[part].append(name)
@@ -92,7 +94,9 @@ class Dictionary:
         word = cut
         if not word:
             return -1
-        near = {name for part in deletions(word, self.most) if len(word) <= 40 for name in self.index.get(part, ())}
+        if len(word) > self.longest + self.most:  # no name is within the distance
+            return -1
+        near = {name for part in deletions(word, self.most) for name in self.index.get(part, ())}
         ranked = sorted((weighted_distance(word, n), -self.frequency.get(self.names[n], 0), self.names[n], n) for n in near)
         return next((ref for dist, _, ref, n in ranked if dist <= self.edits(n)), -1)
 

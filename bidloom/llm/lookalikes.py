@@ -89,7 +89,7 @@ def plain_form_udf(s: pd.Series) -> pd.Series:
 
 
 def _contexts(text: str, at: int, twin: str) -> list[str]:
-    return [text[at - 1] + twin] * (at > 0) + [twin + text[at + 1]] * (at + 1 < len(text))
+    return ([text[at - 1] + twin] if at else []) + ([twin + text[at + 1]] if at + 1 < len(text) else [])
 
 
 def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
