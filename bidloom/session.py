@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -75,18 +76,24 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once per application, so that Python tasks can import it."""
+    """Send this package's source to the executors, once per application, so that Python tasks can import it. It goes
+    through the shared checkpoint folder."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    ensure_checkpoint_dir(spark)
     here = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="bidloom-src-")
-    path = os.path.join(folder, "bidloom-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for root, _, files in os.walk(here):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     z.write(full, os.path.join("bidloom", os.path.relpath(full, here)))
+    path = f"{context.getCheckpointDir()}/bidloom-src.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
     context.addPyFile(path)
     _shipped.add(context.applicationId)
