@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import amounts, contacts, rules, text
-from bidloom.operators import layout, pairs, prices, segments, summaries
+from bidloom.operators import layout, pairs, people, prices, segments, summaries
 from bidloom.plans.oracles import ORACLES
 from bidloom.session import read, ship_package, spread
 from bidloom.streaming.incremental import new_links, windowed_counts
@@ -103,19 +103,19 @@ def fill_brackets_strip(spark, d):
 
 @query
 def mask_values(spark, d):
-    people = _people(spark, d)
-    ids = people.select("person_id", F.explode("id_numbers").alias("v")).select("person_id", F.lit("id_number").alias("kind"), text.masked_id(F.col("v")).alias("masked"))
-    accounts = people.select("person_id", F.explode("bank_accounts").alias("v")).select("person_id", F.lit("bank_account").alias("kind"), text.masked_account(F.col("v")).alias("masked"))
+    persons = _people(spark, d)
+    ids = persons.select("person_id", F.explode("id_numbers").alias("v")).select("person_id", F.lit("id_number").alias("kind"), text.masked_id(F.col("v")).alias("masked"))
+    accounts = persons.select("person_id", F.explode("bank_accounts").alias("v")).select("person_id", F.lit("bank_account").alias("kind"), text.masked_account(F.col("v")).alias("masked"))
     return ids.unionByName(accounts)
 
 
 @query
 def name_forms(spark, d):
     """Keys of persons and display and group names of files."""
-    people = _people(spark, d).select(F.lit("person").alias("kind"), F.col("person_id").alias("id"), text.person_key(F.col("person_name")).alias("form"))
+    persons = _people(spark, d).select(F.lit("person").alias("kind"), F.col("person_id").alias("id"), text.person_key(F.col("person_name")).alias("form"))
     shown = _files(spark, d).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), text.display_name(F.col("file_name")).alias("form"))
     group = _files(spark, d).select(F.lit("group").alias("kind"), F.col("file_id").alias("id"), text.group_name(F.col("display_name")).alias("form"))
-    return people.unionByName(shown).unionByName(group)
+    return persons.unionByName(shown).unionByName(group)
 
 
 @query
@@ -276,6 +276,18 @@ def extracted_contacts(spark, d):
     return contacts.extracted_contacts(_files(spark, d), "file_id", "text")
 
 
+@query
+def staff_tables(spark, d):
+    """People in the tables of all documents."""
+    return people.table_people(_documents(spark, d), "doc_id", "text")
+
+
+@query
+def labelled_fields(spark, d):
+    """Representatives, contacts and companies by their labels in file texts."""
+    return people.labelled_fields(_files(spark, d), "file_id", "text")
+
+
 @query
 def date_numbers(spark, d):
     """Runs of eight figures in file texts that are days."""
@@ -602,9 +614,9 @@ def window_counts(spark, d):
 @query
 def incremental_links(spark, d):
     """Links that people loaded from 2025 on add to those loaded before."""
-    people = _named(_people(spark, d))
+    persons = _named(_people(spark, d))
     at = F.coalesce(F.year("loaded_at") >= 2025, F.lit(False))
-    return new_links(people.where(at), people.where(~at), POOLS | {"names": "person"})
+    return new_links(persons.where(at), persons.where(~at), POOLS | {"names": "person"})
 
 
 @query
