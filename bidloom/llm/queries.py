@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import canonical_names, groups, leakage, lookalikes, packing, residue, scan_repair, shared_spans, spam
 from bidloom.llm.sql import ORACLES
-from bidloom.session import read, ship_package
+from bidloom.session import read, ship_package, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _texts(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    return spread(read(spark, d, table).select(*columns))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     inner = read(spark, d, "pair_results").select(F.explode("matches").alias("m")).select("m.match_id", "m.text")
     return read(spark, d, "matches").select("match_id", "text").unionByName(inner)
@@ -21,7 +25,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose text, or one of whose identity numbers, bears a trace of scanning."""
-    texts = scan_repair.repaired_texts(read(spark, d, "summarize_file"), "file_id", "text").where("damaged")
+    texts = scan_repair.repaired_texts(_texts(spark, d, "summarize_file", "file_id", "text"), "file_id", "text").where("damaged")
     numbers = scan_repair.repaired_numbers(read(spark, d, "personnel"), "person_id", "id_numbers").where("damaged")
     found = texts.select(F.lit("summarize_file").alias("src"), F.col("file_id").alias("rec_id")).unionByName(numbers.select(F.lit("personnel").alias("src"), F.col("person_id").alias("rec_id")))
     return found.where("rec_id is not null").distinct()
@@ -29,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all files in continuous paragraphs."""
-    return scan_repair.repaired_texts(read(spark, d, "summarize_file"), "file_id", "text").select("file_id", "repaired").distinct()
+    return scan_repair.repaired_texts(_texts(spark, d, "summarize_file", "file_id", "text"), "file_id", "text").select("file_id", "repaired").distinct()
 
 
 def p1_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +64,7 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments that are residue of a template or an error page, or whose risk level is."""
-    scores = residue.residue_scores(read(spark, d, "matches"), "match_id", "text", "risk_level", "pair_id")
+    scores = residue.residue_scores(_texts(spark, d, "matches", "match_id", "pair_id", "text", "risk_level"), "match_id", "text", "risk_level", "pair_id")
     return scores.where("probability >= 0.5").select("match_id").distinct()
 
 
@@ -102,7 +106,7 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of each document, or piece of one, for each capacity."""
-    return packing.packed(packing.token_counts(read(spark, d, "documents"), "doc_id", "text"), read(spark, d, "container_spec"))
+    return packing.packed(packing.token_counts(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), read(spark, d, "container_spec"))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +114,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+    return leakage.leaks(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,11 +129,11 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of stuffed keywords, links, navigation or tags."""
-    return spam.spam_scores(read(spark, d, "documents"), "doc_id", "text").where("flagged_share >= 0.5").select("doc_id")
+    return spam.spam_scores(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").where("flagged_share >= 0.5").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_scores(read(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 4).alias(c) for c in ("mean_pmi", "low_share", "flagged_share")])
+    return spam.spam_scores(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 4).alias(c) for c in ("mean_pmi", "low_share", "flagged_share")])
 
 
 def _shipped(query: Query) -> Query:
