@@ -7,16 +7,15 @@ pairs. Nothing is lost: ``shared_values`` has every value.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def tidy_pools(records: DataFrame, group: str, pools: dict[str, str]) -> DataFrame:
     """(group, kind, value) once each, from array columns; pools maps a column to its kind. Nulls and blanks give none."""
-    parts = [records.select(F.col(group).alias("group"), F.lit(kind).alias("kind"), F.explode(column).alias("value")) for column, kind in pools.items()]
-    return reduce(DataFrame.unionByName, parts).where("group is not null and trim(value) <> ''").distinct()
+    each = [F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))) for column, kind in pools.items()]
+    rows = records.select(F.col(group).alias("group"), F.explode(F.concat(*each)).alias("x")).select("group", "x.kind", "x.value")
+    return rows.where("group is not null and trim(value) <> ''").distinct()
 
 
 def tidy_fields(records: DataFrame, group: str, fields: list[str]) -> DataFrame:
