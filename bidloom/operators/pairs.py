@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 def tidy_pools(records: DataFrame, group: str, pools: dict[str, str]) -> DataFrame:
     """(group, kind, value) once each, from array columns; pools maps a column to its kind. Nulls and blanks give none."""
-    each = [F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))) for column, kind in pools.items()]
+
+    def values(column: str, kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    each = [values(column, kind) for column, kind in pools.items()]
     rows = records.select(F.col(group).alias("group"), F.explode(F.concat(*each)).alias("x")).select("group", "x.kind", "x.value")
     return rows.where("group is not null and trim(value) <> ''").distinct()
 
