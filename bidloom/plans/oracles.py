@@ -111,7 +111,8 @@ ORACLES = {
     "severity_topk": f"SELECT pair_id, match_id, rank FROM (SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id ORDER BY CASE {LEVEL} WHEN 'substantial' THEN 0 WHEN 'suspicious' THEN 1 WHEN 'template' THEN 2 ELSE 3 END, score DESC NULLS LAST, match_id) AS rank FROM {SEGMENTS}) WHERE rank <= 3",
     "contact_pools": f"SELECT * FROM {TIDY}",
     "shared_contacts": f'SELECT kind, value, count(DISTINCT "group") AS n_groups, min("group") AS first_group, max("group") AS last_group FROM {TIDY} GROUP BY kind, value HAVING count(DISTINCT "group") >= 2',
-    "shared_contact_pairs": f'SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM {TIDY} AS a JOIN {TIDY} AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"',
+    "shared_contact_pairs": f'''WITH t AS (SELECT * FROM {TIDY}), few AS (SELECT kind, value FROM t GROUP BY kind, value HAVING count(DISTINCT "group") BETWEEN 2 AND 50), k AS (SELECT * FROM t JOIN few USING (kind, value))
+SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM k AS a JOIN k AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"''',
     "shared_name_pairs": f"SELECT tender_id, name, count(DISTINCT bid_group) AS n_groups, count(DISTINCT role) AS n_roles FROM (SELECT tender_id, p.bid_group, {key_of('person_name')} AS name, coalesce({role('person_role')}, 'none') AS role FROM {PEOPLE} AS p JOIN {FILES} AS f USING (file_id) WHERE person_name IS NOT NULL AND tender_id IS NOT NULL) GROUP BY tender_id, name HAVING count(DISTINCT bid_group) > 1",
     "cross_role_matches": f"""WITH r AS (SELECT DISTINCT bid_group AS g, {key_of('person_name')} AS v, {role('person_role')} AS role FROM {PEOPLE} WHERE person_name IS NOT NULL)
 SELECT a.g AS "left", b.g AS "right", a.v AS value FROM r AS a JOIN r AS b ON a.v = b.v AND a.g <> b.g WHERE a.role = 'authorized_rep' AND b.role = 'project_manager'""",
@@ -177,8 +178,7 @@ SELECT id1, id2, round(c / (p.n + r.n - c), 6) AS jaccard FROM b JOIN n AS p ON
     "cache_lru": f"SELECT file_id FROM (SELECT file_id, row_number() OVER (ORDER BY loaded_at DESC, file_id DESC) AS k FROM {FILES} WHERE loaded_at IS NOT NULL) WHERE k > 200",
     "window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "incremental_links": f"""WITH p AS (SELECT *, coalesce(year(loaded_at) >= 2025, false) AS fresh FROM {PEOPLE}),
-t AS (SELECT DISTINCT fresh, g, kind, value FROM (SELECT fresh, bid_group AS g, 'phone' AS kind, unnest(phones) AS value FROM p UNION ALL SELECT fresh, bid_group, 'id_number', unnest(id_numbers) FROM p UNION ALL SELECT fresh, bid_group, 'email', unnest(emails) FROM p UNION ALL SELECT fresh, bid_group, 'bank_account', unnest(bank_accounts) FROM p UNION ALL SELECT fresh, bid_group, 'person', {key_of('person_name')} FROM p) WHERE g IS NOT NULL AND trim(value, ' ') <> ''),
-f AS (SELECT DISTINCT g FROM t WHERE fresh), v AS (SELECT DISTINCT kind, value FROM t WHERE fresh), k AS (SELECT DISTINCT g, kind, value FROM t JOIN v USING (kind, value))
-SELECT a.g AS "left", b.g AS "right", a.kind, a.value FROM k AS a JOIN k AS b ON a.kind = b.kind AND a.value = b.value AND a.g < b.g WHERE a.g IN (SELECT g FROM f) OR b.g IN (SELECT g FROM f)""",
+t AS (SELECT DISTINCT fresh, g, kind, value FROM (SELECT fresh, bid_group AS g, 'phone' AS kind, unnest(phones) AS value FROM p UNION ALL SELECT fresh, bid_group, 'id_number', unnest(id_numbers) FROM p UNION ALL SELECT fresh, bid_group, 'email', unnest(emails) FROM p UNION ALL SELECT fresh, bid_group, 'bank_account', unnest(bank_accounts) FROM p UNION ALL SELECT fresh, bid_group, 'person', {key_of('person_name')} FROM p) WHERE g IS NOT NULL AND trim(value, ' ') <> '')
+SELECT DISTINCT least(a.g, b.g) AS "left", greatest(a.g, b.g) AS "right", a.kind, a.value FROM t AS a JOIN t AS b ON a.kind = b.kind AND a.value = b.value AND a.g <> b.g WHERE a.fresh""",
     "gap_sessions": "SELECT user_id, CAST(max(s) AS BIGINT) AS n_sessions, count(*) AS n_events FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id",
 }

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bidloom.operators.pairs import sharing_pairs, tidy_pools
+from bidloom.operators.pairs import tidy_pools
 
 POOLS = {"phones": "phone", "id_numbers": "id_number", "emails": "email", "bank_accounts": "bank_account"}
 
 
 def new_links(batch: DataFrame, stored: DataFrame, pools: dict[str, str] = POOLS) -> DataFrame:
-    """(left, right, kind, value): shared contacts in which at least one side is of the batch."""
+    """(left, right, kind, value), left < right: what groups share where at least one has it from the batch. Only what
+    is new is joined with the rest, so links among stored records are not formed again."""
     fresh, old = tidy_pools(batch, "bid_group", pools), tidy_pools(stored, "bid_group", pools)
     kept = old.join(fresh.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
-    pairs = sharing_pairs(fresh.unionByName(kept).distinct())
-    groups = fresh.select("group").distinct()
-    a, b = groups.select(F.col("group").alias("left"), F.lit(True).alias("_a")), groups.select(F.col("group").alias("right"), F.lit(True).alias("_b"))
-    return pairs.join(a, "left", "left").join(b, "right", "left").where("_a or _b").select("left", "right", "kind", "value").distinct()
+    every = fresh.unionByName(kept).distinct().withColumnRenamed("group", "_g")
+    met = fresh.join(every, ["kind", "value"]).where(F.col("group") != F.col("_g"))
+    return met.select(F.least("group", "_g").alias("left"), F.greatest("group", "_g").alias("right"), "kind", "value").distinct()
 
 
 def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str, checkpoint: str, schema: str) -> StreamingQuery:
