@@ -420,7 +420,7 @@ def test_query(spark, name):
     sql = queries.oracle_sql().get(name)
     if sql:
         db = duckdb.connect()
-        for t in ("matches", "pair_results"):
+        for t in ("matches", "pair_results", "documents", "eval_items", "summarize_file", "prices"):
             db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
         found = db.execute(sql)
         at = [[c[0] for c in found.description].index(c) for c in df.columns]
