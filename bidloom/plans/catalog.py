@@ -326,11 +326,20 @@ def overlap_rate(spark, d):
 
 @query
 def name_mentions(spark, d):
-    """Documents that name an entry of the cost list."""
+    """Documents that hold the first 12 characters of an evaluation item, as the SQL counterpart has it; for whole names
+    of the cost list see cost_name_mentions."""
     found = pairs.mentions(_documents(spark, d), "doc_id", "text", read(spark, d, "eval_items").selectExpr("item_id", "substring(text, 1, 12) as head"), "item_id", "head")
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query
+def cost_name_mentions(spark, d):
+    """Documents that name an entry of the cost list, by its whole name or an alias."""
+    names = read(spark, d, "price_ref").select("ref_id", F.explode(F.concat(F.array("canon_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    found = pairs.mentions(_documents(spark, d), "doc_id", "text", names, "ref_id", "name")
+    return found.groupBy("ref_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query
 def volumes_joined(spark, d):
     """Texts of bidders, their volumes put together in order."""
