@@ -49,6 +49,16 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.least("file1", "file2").alias("left"), F.greatest("file1", "file2").alias("right")).distinct()
 
 
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of files on record, whatever earlier runs found in them."""
+    rows = read(spark, d, "pair_results").where("file1 <> file2")
+    return rows.select(F.least("file1", "file2").alias("left"), F.greatest("file1", "file2").alias("right")).distinct()
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return spread(segments.compared_pairs(_recorded(spark, d), _files(spark, d), "file_name", "text"))
+
+
 def _named(people: DataFrame) -> DataFrame:
     """People with their name's key as one more pool, so that persons are compared like contacts."""
     return people.withColumn("names", F.array(text.person_key(F.col("person_name"))))
@@ -392,15 +402,14 @@ def paragraphs(spark, d):
 
 @query
 def common_segments(spark, d):
-    """Maximal common segments of all linked pairs of files."""
-    compared = segments.compared_pairs(_links(spark, d), _files(spark, d), "file_name", "text")
-    return segments.segments_of_pairs(compared).select("left", "right", "pos1", "pos2", "length", "segment")
+    """Maximal common segments of all recorded pairs of files."""
+    return segments.segments_of_pairs(_compared(spark, d)).select("left", "right", "pos1", "pos2", "length", "segment")
 
 
 @query
 def near_duplicate_paragraphs(spark, d):
-    compared = segments.compared_pairs(_links(spark, d), _files(spark, d), "file_name", "text")
-    return segments.near_paragraphs_of_pairs(compared)
+    """Paragraphs of all recorded pairs of files that are alike but not the same."""
+    return segments.near_paragraphs_of_pairs(_compared(spark, d))
 
 
 # --- layout

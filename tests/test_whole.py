@@ -21,3 +21,14 @@ def test_cost_names_are_searched_whole(spark, tables):
         documents=([(1, "含跨区桥架安装摊销与垂直运输费用。"), (2, "仅跨区桥架安装摊销与垂直"), (3, "桥架安装费与备用仓库"), (3, "备用仓库"), (4, None)], "doc_id long, text string"),
     )
     assert {tuple(r) for r in catalog.queries()["cost_name_mentions"](spark, d).collect()} == {(1, 2), (2, 1)}
+
+
+def test_pairs_without_earlier_matches_are_compared(spark, tables):
+    part = "投标人须在开标前三十日内提交全部设备清单与技术参数说明，并附检测机构出具的合格报告及原件扫描件备查，逾期不予受理。"
+    d = tables(
+        summarize_file=([(n, f"f{n}", part.replace("三十日", "四十五天") if n == 4 else part) for n in range(5)], "file_id int, file_name string, text string"),
+        pair_results=([("f0", "f1", 0), ("f2", "f1", None), ("f3", "f0", 2), ("f4", "f0", 0), ("f4", None, 3), ("f2", "f2", 1)], "file1 string, file2 string, total_matches int"),
+    )
+    found = catalog.queries()["common_segments"](spark, d).collect()
+    assert {(r.left, r.right) for r in found} == {("f0", "f1"), ("f1", "f2"), ("f0", "f3"), ("f0", "f4")}
+    assert [(r.left, r.right) for r in catalog.queries()["near_duplicate_paragraphs"](spark, d).collect()] == [("f0", "f4")]
