@@ -206,9 +206,8 @@ def shared_contacts(spark, d):
 
 @query
 def shared_contact_pairs(spark, d):
-    """Pairs of groups by what they share; values of more than 50 groups are in shared_contacts, with their members in
-    contact_pools, and are not expanded into pairs."""
-    return pairs.sharing_pairs(_tidy(spark, d), 50)
+    """Pairs of groups by what they share, however many groups share it."""
+    return pairs.sharing_pairs(_tidy(spark, d))
 
 
 @query

@@ -32,3 +32,10 @@ def test_pairs_without_earlier_matches_are_compared(spark, tables):
     found = catalog.queries()["common_segments"](spark, d).collect()
     assert {(r.left, r.right) for r in found} == {("f0", "f1"), ("f1", "f2"), ("f0", "f3"), ("f0", "f4")}
     assert [(r.left, r.right) for r in catalog.queries()["near_duplicate_paragraphs"](spark, d).collect()] == [("f0", "f4")]
+
+
+def test_values_of_many_groups_are_paired_too(spark, tables):
+    fields = "person_id int, bid_group string, person_name string, phones array<string>, id_numbers array<string>, emails array<string>, bank_accounts array<string>"
+    d = tables(personnel=([(n, f"G{n:02}", None, ["13800000000"], None, None, None) for n in range(52)], fields))
+    found = {(r.left, r.right) for r in catalog.queries()["shared_contact_pairs"](spark, d).collect()}
+    assert len(found) == 52 * 51 // 2
