@@ -19,7 +19,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +45,7 @@ MISREAD_NUMBER = re.compile(r"(?<![A-Za-z0-9/\-_.,])(?=[\d.,]*[OoQlI|SBZ])(?=[Oo
 OTHER_LETTER, ATTACHED = r"[^\W\d_\u3400-\u4dbf\u4e00-\u9fff]", r"[\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff]"  # ATTACHED: accents, invisible characters
 WORD = re.compile(rf"(?<!{OTHER_LETTER})(?<!{ATTACHED})(?<![A-Za-z0-9])[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?![A-Za-z0-9]|{OTHER_LETTER}|{ATTACHED})")
 LETTER_TWINS = {"1": "lI", "0": "oO", "5": "sS", "8": "B", "l": "1", "O": "0", "I": "1l", "S": "5", "B": "8", "c": "e", "e": "c", "o": "0", "Z": "2"}
+ONE_TWIN = str.maketrans("lIoOsSBe2", "1100558cZ")
 CONTEXT = re.compile(f"[{''.join(CONFUSED)}]")
 COUNTED = re.compile(f"[{''.join(set(CONFUSED) | set(CONFUSED.values()))}]")
 
@@ -189,6 +189,11 @@ class Corpus:
     around: dict[str, int]
     least: float
     known: dict[str, str] = field(default_factory=dict)
+    alike: dict[str, list[str]] = field(default_factory=dict)  # words by what they are with twins made one
+
+    def __post_init__(self) -> None:
+        for w in self.words:
+            self.alike.setdefault(w.translate(ONE_TWIN), []).append(w)
 
     def read_word(self, word: str) -> str:
         """The far more frequent word that this one is a misreading of, or the word itself."""
@@ -198,19 +203,15 @@ class Corpus:
             return self.known[word]
         if len(self.known) > 200_000:
             self.known.clear()
-        have = self.words.get(word, 0)
-        places = [i for i, c in enumerate(word) if c in LETTER_TWINS][:12]
-        new = word
-        for n in (1, 2, 3):
-            found = []
-            for some in combinations(places, n):
-                options = [""]
-                for i, c in enumerate(word):
-                    options = [o + t for o in options for t in (LETTER_TWINS[c] if i in some else c)]
-                found += [(self.words[o], o) for o in options if any(c.isalpha() for c in o) and self.words.get(o, 0) >= max(self.least, 10 * max(1, have))]
-            if found:
-                new = max(found)[1]
-                break
+        have, new = self.words.get(word, 0), word
+        fit = max(self.least, 10 * max(1, have))
+        found: list[tuple[int, int, str]] = []
+        for o in self.alike.get(word.translate(ONE_TWIN), ()):
+            changed = [(c, t) for c, t in zip(word, o, strict=True) if c != t]
+            if 1 <= len(changed) <= 3 and self.words[o] >= fit and any(c.isalpha() for c in o) and all(t in LETTER_TWINS.get(c, "") for c, t in changed):
+                found.append((-len(changed), self.words[o], o))
+        if found:
+            new = max(found)[2]
         self.known[word] = new
         return new
 
@@ -316,17 +317,15 @@ def _term_counts(logs: tuple):
     return count
 
 
-def corpus_terms(texts: DataFrame, text: str, logs: tuple, floor: int = 1_000_000) -> Corpus:
-    """Words and characters in context that stand at least once in ``floor`` characters, and at least 3 times; so at
-    most ``floor`` of each are kept, whatever the number of texts."""
+def corpus_terms(texts: DataFrame, text: str, logs: tuple, least: int = 3, most: int = 4_000_000) -> Corpus:
+    """Words and characters in context that stand at least ``least`` times in all texts, whatever their number. More
+    than ``most`` of them are an error, never left out."""
     rows = texts.select(F.col(text).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
-    least = max(3.0, total / floor)
     sums = rows.mapInPandas(_term_counts(logs), "kind int, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
     words, around = {}, {}
-    for r in bounded_rows(sums.where(F.col("n") >= least), 4 * floor, "frequent terms"):
+    for r in bounded_rows(sums.where(F.col("n") >= least), most, "frequent terms"):
         (around if r["kind"] else words)[r["term"]] = r["n"]
-    return Corpus(words, around, max(least, 4.0))
+    return Corpus(words, around, 4.0)
 
 
 def repaired_texts(records: DataFrame, key: str, text: str) -> DataFrame:
