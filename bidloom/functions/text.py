@@ -3,10 +3,13 @@ in every regex engine; null in, null out."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Blanks and invisible characters that comparisons skip.
 BLANKS = r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -72,9 +75,67 @@ def joined_ideographs(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[\x{4E00}-\x{9FFF}])[ \t\x{A0}\x{3000}]+(?=[\x{4E00}-\x{9FFF}])", "")
 
 
-def glued(c: Column, words: list[str]) -> Column:
-    """Given words put together again where blanks split them."""
-    return reduce(lambda x, w: F.regexp_replace(x, f"[{BLANKS}]*".join(w), w), words, c)
+# Words of bids that line ends and padding of a page must not split.
+PHRASES = (
+    "法定代表人身份证明", "法定代表人证明", "法定代表人", "单位负责人", "授权委托书", "授权委托", "委托书", "授权书", "授权代表", "授权代表人", "委托代理人", "被授权人", "受托人", "代理人", "签字代表", "投标代表",
+    "签字", "签章", "盖章", "公章", "单位章", "盖单位章", "项目负责人", "项目经理", "技术负责人", "采购负责人", "项目副经理", "联系电话", "联系方式", "身份证号", "身份证",
+    "供应商名称", "投标人名称", "单位名称", "公司名称", "企业名称", "招标人名称", "项目名称", "人员配备表", "技术标", "商务标", "资信标", "投标文件", "投标人",
+    "开标一览表", "报价一览表", "投标报价表", "分项报价表", "报价明细表", "分项明细表", "投标总价", "含税总价", "不含税总价", "投标函", "人民币", "人民币大写", "报价函", "报价单",
+    "总价", "合计", "总计", "金额", "单价", "投标价格", "投标总报价", "首次报价", "最终报价", "最终投标报价", "磋商报价", "谈判报价", "响应报价", "报价总额", "报价金额",
+    "大写金额", "小写金额", "含税报价", "不含税报价", "报价总表", "银行卡号", "现委派", "兹委派",
+)
+_SPLIT = frozenset((p[:i], p[i:]) for p in PHRASES for i in range(1, len(p)))
+_REACH = max(map(len, PHRASES)) - 1
+_GAP = re.compile(r"(?<=[一-鿿])\s+(?=[一-鿿])")
+
+
+def glued_text(text: str) -> str:
+    """The phrases put together again where blanks or line ends split them: each gap between ideographs closes if some
+    phrase stands across it, whatever other gaps that phrase has."""
+    gaps = list(_GAP.finditer(text))
+    if not gaps:
+        return text
+    out, at = [], 0
+    for m in gaps:
+        left = re.sub(r"\s+", "", text[max(0, m.start() - 4 * _REACH) : m.start()])[-_REACH:]
+        right = re.sub(r"\s+", "", text[m.end() : m.end() + 4 * _REACH])[:_REACH]
+        if any((left[-i:], right[:j]) in _SPLIT for i in range(1, len(left) + 1) for j in range(1, len(right) + 1)):
+            out.append(text[at : m.start()])
+            at = m.end()
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(T.StringType())
+def glued(s: pd.Series) -> pd.Series:
+    return s.map(glued_text, na_action="ignore")
+
+
+def tightened(c: Column) -> Column:
+    """Padding of a page around marks away: blanks before closing marks and after opening brackets; each kind of blank as
+    a plain one, one at a time."""
+    c = F.translate(c, "\u00a0\u3000", "  ")
+    c = F.regexp_replace(c, r"[ \t\n\r\x{0B}\x{0C}]+([：:，,。；;、）)])", "$1")
+    return F.regexp_replace(F.regexp_replace(c, r"([（(])[ \t\n\r\x{0B}\x{0C}]+", "$1"), " {2,}", " ")
+
+
+# Frequent family names after which a line may end inside a name.
+BROKEN_AFTER = "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢唐宋韩冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹易常武乔"
+
+
+def joined_names(c: Column) -> Column:
+    """Names put together that a line end splits after the family name, unless a numbered heading follows."""
+    pattern = f"([{BROKEN_AFTER}])[ \t]*\n[ \t\n]*([\\x{{4E00}}-\\x{{9FFF}}]{{1,2}}+)(?![、，。：:.])"
+    return F.regexp_replace(F.regexp_replace(c, pattern, "$1$2"), pattern, "$1$2")
+
+
+# Traditional numerals and their simple forms.
+TRADITIONAL_NUMERALS, SIMPLE_NUMERALS = "萬億貳陸圓", "万亿贰陆圆"
+
+
+def plain_money(c: Column) -> Column:
+    """Currency codes in capitals, traditional numerals in their simple forms."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)\bcny\b", "CNY"), r"(?i)\brmb\b", "RMB")
+    return F.translate(c, TRADITIONAL_NUMERALS, SIMPLE_NUMERALS)
 
 
 def masked_id(c: Column) -> Column:

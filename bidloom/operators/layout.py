@@ -27,7 +27,7 @@ def pipe_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
     a region is its header."""
     rows = islands(lines(texts, key, text), [key], ["line_no"], F.contains(F.col("line"), F.lit(" | ")), "region")
     number = F.row_number().over(Window.partitionBy(key, "region").orderBy("line_no"))
-    return rows.select(key, "region", "line_no", number.alias("row_no"), F.split("line", r" \| ").alias("cells"))
+    return rows.select(key, "region", "line_no", number.alias("row_no"), F.split("line", r"[ \t]*\|[ \t]*").alias("cells"))
 
 
 def cell_values(rows: DataFrame, key: str) -> DataFrame:
