@@ -66,12 +66,12 @@ def region_scores(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _is_header(cells: Column) -> Column:
-    return F.exists(cells, lambda c: c.rlike(HEADER_WORDS)) & ~F.exists(cells, lambda c: c.rlike("[0-9]{4,}"))
+    return F.exists(cells, lambda c: c.rlike(HEADER_WORDS)) & ~F.exists(cells, lambda c: c.rlike(r"[0-9]{4,}|^[0-9]+[0-9.,]*\z"))
 
 
 def headed_cells(rows: DataFrame, key: str) -> DataFrame:
     """(key, region, row_no, i, header, value): the cells below a table's header. A header may go on over several rows:
-    all rows at the top of a region that hold header words and no long number; their cells are put together."""
+    all rows at the top of a region that hold header words and neither a long number nor a cell of figures only; their cells are put together."""
     up = Window.partitionBy(key, "region").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.withColumn("_top", F.min(F.when(_is_header(F.col("cells")), 1).otherwise(0)).over(up))
     cells = marked.select(key, "region", "row_no", "_top", F.posexplode("cells").alias("i", "value")).withColumn("value", F.trim("value"))

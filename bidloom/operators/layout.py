@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How headings begin.
-HEADING = r"^[ \t]*(第[一二三四五六七八九十百0-9]{1,4}[章节篇部分条]|[一二三四五六七八九十]{1,3}[、．.]|[（(][一二三四五六七八九十0-9]{1,3}[)）]|[0-9]{1,2}(\.[0-9]{1,2}){1,3}[ \t]|[0-9]{1,2}[、．.][^0-9]|附件[一二三四五六七八九十0-9]{0,3}|附录|[A-Z]\.[ \t])"
+HEADING = r"(?i)^[ \t]*(?:第[一二三四五六七八九十0-9]+[章节篇部分]|[一二三四五六七八九十]+[、，.]|[0-9]+(?:\.[0-9]+)+|[0-9]+[. \t]+|[（(][0-9]+[）)]|[（(][A-F][）)]|Section[ \t]+[0-9]+|Appendix[ \t]+[A-F]?|附录[ \t]*[A-F0-9]*)[ \t]*."
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,9 +66,9 @@ def sections(line_rows: DataFrame, key: str, marker: str, most_lines: int | None
     return found.join(ends, key).select(key, "section_no", F.col("line_no").alias("first_line"), n.alias("n_lines"))
 
 
-def headings(texts: DataFrame, key: str, text: str, longest: int = 80, most: int = 80) -> DataFrame:
+def headings(texts: DataFrame, key: str, text: str, most: int = 80) -> DataFrame:
     """(key, line_no, heading, rank): lines that are headings by how they begin, the first ``most`` of a text."""
-    rows = lines(texts, key, text).withColumn("heading", F.trim("line")).where(F.col("line").rlike(HEADING) & (F.length("heading") <= longest))
+    rows = lines(texts, key, text).withColumn("heading", F.trim("line")).where(F.col("line").rlike(HEADING))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).where(F.col("rank") <= most).select(key, "line_no", "heading", "rank")
 
 

@@ -49,6 +49,18 @@ def sharing_pairs(tidy: DataFrame, most_groups: int | None = None) -> DataFrame:
     return kept.withColumnRenamed("group", "left").join(other, ["kind", "value"]).where("left < right").select("left", "right", "kind", "value")
 
 
+def linked_groups(tidy: DataFrame, most_groups: int) -> DataFrame:
+    """(left, right, kind, value, n_groups): every link between groups that share a value, in two forms. Values of up to
+    ``most_groups`` groups give all pairs, left < right. A value of more gives its class: one row for each of its groups,
+    left being the first of them. Whoever follows links reaches the same groups either way, at every size."""
+    n = shared_values(tidy).select("kind", "value", "n_groups", "first_group")
+    small, large = n.where(F.col("n_groups") <= most_groups), n.where(F.col("n_groups") > most_groups)
+    kept = tidy.join(small, ["kind", "value"])
+    between = kept.withColumnRenamed("group", "left").join(kept.select("kind", "value", F.col("group").alias("right")), ["kind", "value"]).where("left < right").select("left", "right", "kind", "value", "n_groups")
+    star = tidy.join(large, ["kind", "value"]).where(F.col("group") != F.col("first_group")).select(F.col("first_group").alias("left"), F.col("group").alias("right"), "kind", "value", "n_groups")
+    return between.unionByName(star)
+
+
 def cross_attribute_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left, right, value): groups where one's attribute is the other's other attribute; both sides (group, value)."""
     a, b = left.select(F.col("group").alias("left"), "value").distinct(), right.select(F.col("group").alias("right"), "value").distinct()
@@ -89,24 +101,29 @@ def pair_numbers(groups: DataFrame, scope: str, group: str) -> DataFrame:
 
 def first_known(rows: DataFrame, group: str, order: list[str], fields: list[str]) -> DataFrame:
     """One row a group: of each field the first value, in the given order, that is neither null nor empty."""
-    rank = F.struct(*order)
     each = [F.min(F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct(*[F.col(o) for o in order], F.col(f).alias("x")))).getField("x").alias(f) for f in fields]
-    del rank
     return rows.groupBy(group).agg(*each)
 
 
-def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str, most_names: int = 100_000) -> DataFrame:
-    """(key, name_id): texts that contain a name, found by one automaton of all names; their number is checked."""
-    import ahocorasick
+def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str, most_names: int = 100_000, most_chars: int = 4_000_000) -> DataFrame:
+    """(key, name_id): texts that contain a name. Names within both bounds are sent out as one automaton; more are joined
+    by their first characters with every place of a text, so no number of names is too large."""
     import pandas as pd
 
-    from bidloom.session import bounded_rows
+    once = names.select(name_id, name).where(F.length(name) > 0).distinct()
+    size = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(name)), F.lit(0)).alias("c"), F.min(F.length(name)).alias("shortest")).first()
+    if size["n"] > most_names or size["c"] > most_chars:
+        from bidloom.operators.segments import containments
 
-    rows = [(r[0], r[1]) for r in bounded_rows(names.select(name_id, name).where(F.length(name) > 0).distinct(), most_names, "names to look for")]
+        found = containments(once.select(F.col(name_id).alias("id"), F.col(name).alias("form")), texts.select(F.col(key).alias("id"), F.col(text).alias("form")), int(size["shortest"]))
+        return found.select(F.col("hay").alias(key), F.col("needle").alias(name_id))
+    rows = [(r[0], r[1]) for r in once.collect()]  # within both bounds
     shared = texts.sparkSession.sparkContext.broadcast(rows)
     made: dict[int, object] = {}
 
     def find(batches):  # noqa: ANN001, ANN202
+        import ahocorasick
+
         if 0 not in made:
             automaton = ahocorasick.Automaton()
             at: dict[str, list] = {}

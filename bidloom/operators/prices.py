@@ -35,6 +35,18 @@ def spreads(rows: DataFrame, by: list[str], value: str, who: str) -> DataFrame:
     return out.withColumn("spread_pct", F.round((F.col("highest") - F.col("lowest")) / F.col("lowest") * 100, 2))
 
 
+def total_kpis(totals: DataFrame, scope: str, group: str, total: str) -> DataFrame:
+    """(scope, n_bidders, n_priced, majority, lowest, highest, spread_pct, n_shared_values): of each scope how many groups
+    there are and state a total, whether these are at least half, how far the totals lie apart and how many are stated
+    by several groups. Exact decimals; totals of nothing or less count as none."""
+    v = F.col(total).cast("decimal(20,2)")
+    rows = totals.where(F.col(scope).isNotNull() & F.col(group).isNotNull()).select(F.col(scope), F.col(group).alias("_g"), F.when(v > 0, v).alias("_v")).distinct()
+    known = rows.groupBy(scope).agg(F.countDistinct("_g").alias("n_bidders"), F.countDistinct(F.when(F.col("_v").isNotNull(), F.col("_g"))).alias("n_priced"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    shared = rows.where("_v is not null").groupBy(scope, "_v").agg(F.countDistinct("_g").alias("n")).where("n > 1").groupBy(scope).agg(F.count(F.lit(1)).alias("s"))
+    spread = F.round((F.col("hi") - F.col("lo")).cast("double") / F.col("lo").cast("double") * 100, 2)
+    return known.join(shared, scope, "left").select(scope, "n_bidders", "n_priced", (F.col("n_priced") * 2 >= F.col("n_bidders")).alias("majority"), F.col("lo").cast("double").alias("lowest"), F.col("hi").cast("double").alias("highest"), spread.alias("spread_pct"), F.coalesce("s", F.lit(0)).alias("n_shared_values"))
+
+
 def sum_differences(items: DataFrame, key: str, amount: str, totals: DataFrame, total: str, tolerance: float = 0.05) -> DataFrame:
     """(key, n_items, item_sum, total, off): whether the items of a record add up to its total, within the tolerance."""
     sums = items.where(F.col(amount).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col(amount).cast("decimal(20,2)")).alias("item_sum"))

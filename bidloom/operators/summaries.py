@@ -48,10 +48,26 @@ def pivot(rows: DataFrame, by: str, across: str, names: list[str], value: Column
     return cells.withColumn("n_values", F.size(known)).withColumn("same_all", F.size(F.array_distinct(known)) <= 1)
 
 
+def agreement(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., n_values, same_all): how many rows of a group state a value, and whether all that do state the same; a
+    group of one value or none agrees."""
+    v = F.when(F.trim(value) != "", F.col(value))
+    return rows.groupBy(*by).agg(F.count(v).alias("n_values"), (F.countDistinct(v) <= 1).alias("same_all"))
+
+
 def lightened(pairs: DataFrame, matches: str, longest: int = 200) -> DataFrame:
-    """Records for storage: the texts of their matches cut to ``longest`` characters, everything else as it is."""
-    cut = F.transform(matches, lambda m: m.withField("text", F.substring(m.getField("text"), 1, longest)))
-    return pairs.withColumn(matches, cut)
+    """Records for storage: the texts of their matches cut to ``longest`` characters and what stands around them to
+    twice as many, everything else as it is."""
+    fields = pairs.schema[matches].dataType.elementType.names
+    limits = {"text": longest, "ctx1": 2 * longest, "ctx2": 2 * longest}
+
+    def cut(m: Column) -> Column:
+        for name, most in limits.items():
+            if name in fields:
+                m = m.withField(name, F.substring(m.getField(name), 1, most))
+        return m
+
+    return pairs.withColumn(matches, F.transform(matches, cut))
 
 
 def cache_keys(files: DataFrame, content: str, settings: str) -> DataFrame:

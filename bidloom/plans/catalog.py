@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidloom.functions import amounts, contacts, rules, text
-from bidloom.operators import layout, pairs, people, prices, segments, summaries
+from bidloom.functions import amounts, contacts, names, rules, text
+from bidloom.operators import layout, pairs, prices, segments, summaries
+from bidloom.plans import extraction
 from bidloom.plans.oracles import ORACLES
 from bidloom.session import read, ship_package, spread
 from bidloom.streaming.incremental import new_links, windowed_counts
@@ -206,8 +207,9 @@ def shared_contacts(spark, d):
 
 @query
 def shared_contact_pairs(spark, d):
-    """Pairs of groups by what they share, however many groups share it."""
-    return pairs.sharing_pairs(_tidy(spark, d))
+    """Pairs of groups by what they share; a value of more than 50 groups stands as a class, one row for each of its
+    groups with the first group of the class, so no link is lost and none is multiplied. n_groups tells which it is."""
+    return pairs.linked_groups(_tidy(spark, d), 50)
 
 
 @query
@@ -215,14 +217,14 @@ def shared_name_pairs(spark, d):
     """Persons named in several groups of one tender, and in the same role or not."""
     files = _files(spark, d).select("file_id", "tender_id")
     rows = _people(spark, d).join(files, "file_id").where("person_name is not null and tender_id is not null")
-    keyed = rows.select("tender_id", "bid_group", text.person_key(F.col("person_name")).alias("name"), F.coalesce(contacts.role_label(F.col("person_role")), F.lit("none")).alias("role")).distinct()
+    keyed = rows.select("tender_id", "bid_group", text.person_key(F.col("person_name")).alias("name"), F.coalesce(names.role_label(F.col("person_role")), F.lit("none")).alias("role")).distinct()
     return keyed.groupBy("tender_id", "name").agg(F.countDistinct("bid_group").alias("n_groups"), F.countDistinct("role").alias("n_roles")).where("n_groups > 1")
 
 
 @query
 def cross_role_matches(spark, d):
     """One group's representative who is another group's project manager."""
-    rows = _people(spark, d).where("person_name is not null").select(F.col("bid_group").alias("group"), text.person_key(F.col("person_name")).alias("value"), contacts.role_label(F.col("person_role")).alias("role"))
+    rows = _people(spark, d).where("person_name is not null").select(F.col("bid_group").alias("group"), text.person_key(F.col("person_name")).alias("value"), names.role_label(F.col("person_role")).alias("role"))
     return pairs.cross_attribute_pairs(rows.where("role = 'authorized_rep'"), rows.where("role = 'project_manager'"))
 
 
@@ -256,14 +258,9 @@ def short_phone_anomaly(spark, d):
     return rows.where(F.length(F.regexp_replace("phone", "[^0-9]", "")) < 7)
 
 
-@query
-def person_name_filter(spark, d):
-    return _people(spark, d).where("person_name is not null").select("person_id", contacts.is_person_name(text.person_key(F.col("person_name"))).alias("is_name"))
-
-
 @query
 def role_counts(spark, d):
-    return _people(spark, d).groupBy(F.coalesce(contacts.role_label(F.col("person_role")), F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return _people(spark, d).groupBy(F.coalesce(names.role_label(F.col("person_role")), F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -281,24 +278,6 @@ def sensitive_shapes(spark, d):
     return rows.groupBy("shape").agg(F.count_if(F.size("v") > 0).alias("n_texts"), F.sum(F.size("v").cast("long")).alias("n_values"))
 
 
-@query
-def extracted_contacts(spark, d):
-    """Contacts found in running text, by an Arrow pass over all file texts."""
-    return contacts.extracted_contacts(_files(spark, d), "file_id", "text")
-
-
-@query
-def staff_tables(spark, d):
-    """People in the tables of all documents."""
-    return people.table_people(_documents(spark, d), "doc_id", "text")
-
-
-@query
-def labelled_fields(spark, d):
-    """Representatives, contacts and companies by their labels in file texts."""
-    return people.labelled_fields(_files(spark, d), "file_id", "text")
-
-
 @query
 def date_numbers(spark, d):
     """Runs of eight figures in file texts that are days."""
@@ -314,13 +293,6 @@ def pair_enumeration(spark, d):
     return pairs.pair_numbers(_files(spark, d), "tender_id", "bid_group")
 
 
-@query
-def metadata_equal_fields(spark, d):
-    """Attributes that several parts have in common."""
-    tidy = pairs.tidy_fields(read(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
-    return pairs.shared_values(tidy).select("kind", "value", "n_groups")
-
-
 @query
 def metadata_coalesce(spark, d):
     return pairs.first_known(_files(spark, d), "bid_group", ["ord", "file_id"], ["tender_id", "display_name", "error_msg"])
@@ -335,20 +307,30 @@ def overlap_rate(spark, d):
 
 @query
 def name_mentions(spark, d):
-    """Documents that hold the first 12 characters of an evaluation item, as the SQL counterpart has it; for whole names
-    of the cost list see cost_name_mentions."""
-    found = pairs.mentions(_documents(spark, d), "doc_id", "text", read(spark, d, "eval_items").selectExpr("item_id", "substring(text, 1, 12) as head"), "item_id", "head")
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents that hold a whole evaluation item's first sentence, by item: names of any length, whole documents."""
+    found = pairs.mentions(_documents(spark, d), "doc_id", "text", read(spark, d, "eval_items").selectExpr("item_id", "regexp_extract(text, '^[^。.!?！？]+', 0) as head"), "item_id", "head")
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query
 def cost_name_mentions(spark, d):
-    """Documents that name an entry of the cost list, by its whole name or an alias."""
-    names = read(spark, d, "price_ref").select("ref_id", F.explode(F.concat(F.array("canon_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    found = pairs.mentions(_documents(spark, d), "doc_id", "text", names, "ref_id", "name")
+    """Documents that name an entry of the cost list, by its whole name or an alias. The test documents name none."""
+    found = pairs.mentions(_documents(spark, d), "doc_id", "text", _cost_names(spark, d), "ref_id", "name")
     return found.groupBy("ref_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query
+def typed_name_mentions(spark, d):
+    """Entries of the cost list that typed names of costs hold, by entry: whole names and aliases in all cost lines."""
+    typed = read(spark, d, "costdetails").select("item_id", "pricename").dropDuplicates(["item_id"])
+    found = pairs.mentions(spread(typed), "item_id", "pricename", _cost_names(spark, d), "ref_id", "name")
+    return found.groupBy("ref_id").agg(F.countDistinct("item_id").alias("n_items"))
+
+
+def _cost_names(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "price_ref").select("ref_id", F.explode(F.concat(F.array("canon_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+
+
 @query
 def volumes_joined(spark, d):
     """Texts of bidders, their volumes put together in order."""
@@ -399,16 +381,38 @@ def paragraphs(spark, d):
     return segments.paragraphs(_documents(spark, d), "doc_id", "text").select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("n_form").cast("long").alias("n_form"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def common_runs(spark, d):
+    """All maximal runs of characters that the files of recorded pairs have in common, by places in match form."""
+    return segments.runs_of_pairs(_compared(spark, d)).select("left", "right", *[F.col(c).cast("long").alias(c) for c in ("pos1", "pos2", "length")])
+
+
 @query
 def common_segments(spark, d):
-    """Maximal common segments of all recorded pairs of files."""
+    """Common segments of all recorded pairs of files, chosen among the runs so that no text is used twice."""
     return segments.segments_of_pairs(_compared(spark, d)).select("left", "right", "pos1", "pos2", "length", "segment")
 
 
+@query
+def near_paragraph_bands(spark, d):
+    """How many paragraphs of like length each recorded pair of files has to compare."""
+    forms = segments.paragraph_forms(_files(spark, d), "file_name", "text")
+    return segments.paragraph_bands(_recorded(spark, d), forms).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def near_duplicate_paragraphs(spark, d):
     """Paragraphs of all recorded pairs of files that are alike but not the same."""
-    return segments.near_paragraphs_of_pairs(_compared(spark, d))
+    return segments.near_paragraphs(_recorded(spark, d), _files(spark, d), "file_name", "text")
+
+
+@query
+def similarity_levels(spark, d):
+    """Each segment on record by why it counts or does not: in a reference, template by rule, or by its score."""
+    rows = _segments(spark, d).where("text is not null").select("match_id", "text")
+    held = segments.contained_in(rows, "match_id", "text", read(spark, d, "eval_items"), "text").distinct().withColumn("ref", F.lit(True))
+    level = rules.risk_level(rules.is_template(F.col("text")), F.round(rules.substantiality(F.col("text")), 6))
+    return rows.join(held, "match_id", "left").select("match_id", F.when(F.col("ref"), "reference").when(rules.is_template(F.col("text")), "rule").otherwise(level).alias("level"))
 
 
 # --- layout
@@ -499,20 +503,6 @@ def bid_totals_tax(spark, d):
     return rows.select("price_id", F.round(r, 6).alias("rate"), prices.ex_tax(F.col("totalpriceintax").cast("decimal(20,2)"), r.cast("decimal(10,6)")).cast("double").alias("ex_tax"))
 
 
-@query
-def equal_totals(spark, d):
-    """Amounts, to the cent, that several lines of an order have."""
-    return prices.equal_totals(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity").select(F.col("scope").alias("l_orderkey"), F.col("total").cast("double").alias("total"), "n_groups", "n_pairs")
-
-
-@query
-def price_ladder(spark, d):
-    """Orders of a customer whose quantities, in order, lie evenly apart."""
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    out = prices.ladders(rows, ["l_orderkey"], "l_quantity")
-    return out.select("l_orderkey", "n", F.col("gap").cast("double").alias("gap"))
-
-
 @query
 def price_spread(spark, d):
     """How far the unit prices of a cost name lie apart within a tender."""
@@ -601,10 +591,35 @@ def stats_recent(spark, d):
 
 @query
 def history_lighten(spark, d):
-    rows = summaries.lightened(_runs(spark, d).where("size(matches) > 0"), "matches", 40)
+    """Matches as they are stored: texts of at most 200 characters."""
+    rows = summaries.lightened(_runs(spark, d).where("size(matches) > 0"), "matches")
     return rows.select("pair_id", F.explode("matches").alias("m")).select("pair_id", "m.match_id", "m.text")
 
 
+@query
+def sql_functions(spark, d):
+    """The extractors called by name from SQL, over all segments: what they find of each kind."""
+    amounts.register(spark)
+    _segments(spark, d).select("match_id", "text").createOrReplaceTempView("bidloom_segments")
+    return spark.sql("SELECT match_id, size(contacts_in(text)) AS n_contacts, size(people_in(text)) AS n_people, size(prices_in(text)) AS n_prices, parsed_amount(text) AS amount FROM bidloom_segments")
+
+
+@query
+def contact_stream(spark, d):
+    """Contacts shared by groups as the stream finds them: the personnel files come in as a stream, batch by batch."""
+    from uuid import uuid4
+
+    from bidloom.session import ensure_checkpoint_dir
+    from bidloom.streaming.incremental import contact_stream as start
+
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid4().hex}"
+    table = read(spark, d, "personnel")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    start(spark, f"{d}/personnel.parquet*", f"{at}/stored", f"{at}/links", f"{at}/checkpoint", schema).awaitTermination()
+    return spark.read.parquet(f"{at}/links/_batch=*").select("left", "right", "kind", "value").distinct()
+
+
 @query
 def cache_keys(spark, d):
     return summaries.cache_keys(_files(spark, d), "text", "v1").select("file_id", "cache_key")
@@ -652,9 +667,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return pair_file_lookup(spark, d).join(counts, "pair_id").select("pair_id", "group1", "group2", "total", "n_abnormal", "n_substantial")
 
 
+for _extraction_query in extraction.queries().values():
+    query(_extraction_query)
+
+
 def queries() -> dict[str, Query]:
     return {"flagship": flagship} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | extraction.oracle_sql()

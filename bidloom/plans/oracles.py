@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bidloom.functions import contacts, rules, text
+from bidloom.functions import names, rules, text
 
 
 def q(s: str) -> str:
@@ -38,7 +38,7 @@ def substantiality(c: str) -> str:
 
 
 def role(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains({c}, {q(w)}) THEN {q(v)}" for w, v in contacts.ROLES) + " END"
+    return "CASE " + " ".join(f"WHEN contains({c}, {q(w)}) THEN {q(v)}" for w, v in names.ROLES) + " END"
 
 
 def key_of(c: str) -> str:
@@ -111,8 +111,6 @@ ORACLES = {
     "severity_topk": f"SELECT pair_id, match_id, rank FROM (SELECT pair_id, match_id, row_number() OVER (PARTITION BY pair_id ORDER BY CASE {LEVEL} WHEN 'substantial' THEN 0 WHEN 'suspicious' THEN 1 WHEN 'template' THEN 2 ELSE 3 END, score DESC NULLS LAST, match_id) AS rank FROM {SEGMENTS}) WHERE rank <= 3",
     "contact_pools": f"SELECT * FROM {TIDY}",
     "shared_contacts": f'SELECT kind, value, count(DISTINCT "group") AS n_groups, min("group") AS first_group, max("group") AS last_group FROM {TIDY} GROUP BY kind, value HAVING count(DISTINCT "group") >= 2',
-    "shared_contact_pairs": f'''WITH t AS (SELECT * FROM {TIDY}), few AS (SELECT kind, value FROM t GROUP BY kind, value HAVING count(DISTINCT "group") BETWEEN 2 AND 50), k AS (SELECT * FROM t JOIN few USING (kind, value))
-SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM k AS a JOIN k AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"''',
     "shared_name_pairs": f"SELECT tender_id, name, count(DISTINCT bid_group) AS n_groups, count(DISTINCT role) AS n_roles FROM (SELECT tender_id, p.bid_group, {key_of('person_name')} AS name, coalesce({role('person_role')}, 'none') AS role FROM {PEOPLE} AS p JOIN {FILES} AS f USING (file_id) WHERE person_name IS NOT NULL AND tender_id IS NOT NULL) GROUP BY tender_id, name HAVING count(DISTINCT bid_group) > 1",
     "cross_role_matches": f"""WITH r AS (SELECT DISTINCT bid_group AS g, {key_of('person_name')} AS v, {role('person_role')} AS role FROM {PEOPLE} WHERE person_name IS NOT NULL)
 SELECT a.g AS "left", b.g AS "right", a.v AS value FROM r AS a JOIN r AS b ON a.v = b.v AND a.g <> b.g WHERE a.role = 'authorized_rep' AND b.role = 'project_manager'""",
@@ -122,19 +120,15 @@ SELECT scope, 'person_role' AS kind, value, count(DISTINCT g) AS n_groups, n_all
     "env_noise_by_reference": f"SELECT kind, count(*) AS n_left FROM {TIDY} WHERE value NOT IN (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9]{{9,25}})', 1)) FROM documents WHERE doc_kind = 'tender' AND text IS NOT NULL) GROUP BY kind",
     "phone_forms": f"SELECT person_id, phone, CASE WHEN regexp_matches(x, '^1[3-9][0-9]{{9}}\\z') THEN x END AS mobile FROM (SELECT person_id, phone, CASE WHEN length(y) = 13 AND starts_with(y, '86') THEN substring(y, 3, 11) ELSE y END AS x FROM (SELECT person_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') AS y FROM (SELECT person_id, unnest(phones) AS phone FROM {PEOPLE})))",
     "short_phone_anomaly": f"SELECT person_id, phone FROM (SELECT person_id, unnest(phones) AS phone FROM {PEOPLE}) WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) < 7",
-    "person_name_filter": f"""SELECT person_id, ((regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{2,4}}\\z') AND (regexp_matches(substring(n, 1, 1), '[{contacts.FAMILY}]') OR regexp_matches(n, '^({contacts.DOUBLE})'))) OR regexp_matches(n, '^[\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}[·•・][\\x{{4E00}}-\\x{{9FFF}}]{{1,10}}\\z') OR regexp_matches(n, '^[A-Za-z][A-Za-z .''-]{{1,39}}\\z')) AND NOT regexp_matches(n, '{contacts.NO_NAME}') AS is_name
-FROM (SELECT person_id, {key_of('person_name')} AS n FROM {PEOPLE} WHERE person_name IS NOT NULL)""",
     "role_counts": f"SELECT coalesce({role('person_role')}, 'none') AS role, count(*) AS n FROM {PEOPLE} GROUP BY 1",
     "best_person_per_role": f"SELECT file_id, role, person_id FROM (SELECT file_id, coalesce(person_role, '') AS role, person_id, row_number() OVER (PARTITION BY file_id, coalesce(person_role, '') ORDER BY confidence DESC NULLS LAST, person_id) AS k FROM {PEOPLE}) WHERE k = 1",
     "sensitive_shapes": " UNION ALL ".join(f"SELECT '{k}' AS shape, count(*) FILTER (WHERE len(v) > 0) AS n_texts, CAST(sum(len(v)) AS BIGINT) AS n_values FROM (SELECT regexp_extract_all(text, '{p}') AS v FROM {FILES} WHERE text IS NOT NULL)" for k, p in SHAPES.items()),
     "date_numbers": f"SELECT file_id, count(*) AS n_runs, count(*) FILTER (WHERE CAST(substring(run, 1, 4) AS INT) BETWEEN 1990 AND 2099 AND CAST(substring(run, 5, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substring(run, 7, 2) AS INT) BETWEEN 1 AND 31) AS n_days FROM (SELECT file_id, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM {FILES}) WHERE length(run) = 8 GROUP BY file_id",
     "pair_enumeration": f"SELECT tender_id, n AS n_groups, n * (n - 1) // 2 AS n_unordered, n * (n - 1) AS n_ordered FROM (SELECT tender_id, count(DISTINCT bid_group) AS n FROM {FILES} WHERE tender_id IS NOT NULL AND bid_group IS NOT NULL GROUP BY tender_id)",
-    "metadata_equal_fields": "SELECT kind, value, count(DISTINCT k) AS n_groups FROM (SELECT p_partkey AS k, 'p_brand' AS kind, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM part) WHERE value IS NOT NULL AND trim(value, ' ') <> '' GROUP BY kind, value HAVING count(DISTINCT k) >= 2",
     "metadata_coalesce": f"SELECT bid_group, (arg_min(tender_id, (ord, file_id)) FILTER (WHERE tender_id <> '')) AS tender_id, (arg_min(display_name, (ord, file_id)) FILTER (WHERE display_name <> '')) AS display_name, (arg_min(error_msg, (ord, file_id)) FILTER (WHERE error_msg <> '')) AS error_msg FROM {FILES} GROUP BY bid_group",
     "overlap_rate": f"""WITH s AS (SELECT DISTINCT file_name AS g, pricename AS v FROM {FILES} JOIN costdetails USING (file_id) WHERE pricename IS NOT NULL), n AS (SELECT g, count(*) AS n FROM s GROUP BY g HAVING count(*) >= 2),
 b AS (SELECT l, r, count(*) AS c FROM {LINKS} JOIN s AS x ON x.g = l JOIN s AS y ON y.g = r AND y.v = x.v GROUP BY l, r)
 SELECT p.l AS "left", p.r AS "right", x.n AS n_left, y.n AS n_right, coalesce(c, 0) AS n_shared, round(coalesce(c, 0) / least(x.n, y.n), 6) AS rate FROM {LINKS} AS p JOIN n AS x ON x.g = p.l JOIN n AS y ON y.g = p.r LEFT JOIN b ON b.l = p.l AND b.r = p.r""",
-    "name_mentions": "SELECT item_id, count(*) AS n_docs FROM documents JOIN (SELECT DISTINCT item_id, substring(text, 1, 12) AS head FROM eval_items) ON contains(documents.text, head) GROUP BY item_id",
     "volumes_joined": f"SELECT bid_group, count(*) AS n_volumes, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY ord, file_id)) AS digest FROM {FILES} GROUP BY bid_group",
     "pair_file_lookup": LOOKUP,
     "exact_duplicate_docs": f"SELECT min(doc_id) AS rep, count(*) AS n_texts FROM (SELECT doc_id, {match_form('text')} AS f FROM documents WHERE text IS NOT NULL) GROUP BY f HAVING count(*) > 1",
@@ -144,21 +138,18 @@ SELECT scope, md5(form) AS digest, count(DISTINCT g) AS n_groups, n_all FROM w J
     "line_template_index": f"SELECT source, md5(form) AS digest, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, {match_form('line')} AS form FROM {DOC_LINES}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE length(form) >= 30 GROUP BY source, form HAVING count(DISTINCT doc_id) >= 3",
     "reference_subtraction": f"SELECT DISTINCT line FROM (SELECT line, {match_form('line')} AS form FROM (SELECT DISTINCT line FROM {DOC_LINES})) AS l JOIN (SELECT {match_form('text')} AS ref FROM eval_items) AS r ON contains(ref, form) WHERE length(form) >= 12",
     "paragraphs": f"SELECT doc_id, line_no AS ord, CAST(n AS BIGINT) AS n_form, k AS rank FROM (SELECT doc_id, line_no, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line_no) AS k FROM (SELECT doc_id, line_no, length({match_form('line')}) AS n FROM {DOC_LINES}) WHERE n BETWEEN 40 AND 500) WHERE k <= 120",
-    "pipe_table_rows": f"SELECT doc_id, line_no, region, row_no, CAST(len(string_split(line, ' | ')) AS BIGINT) AS n_cells FROM {REGIONS}",
-    "pipe_cell_values": f"""WITH r AS (SELECT doc_id, region, row_no, string_split(line, ' | ') AS c FROM {REGIONS}), h AS (SELECT doc_id, region, c AS names FROM r WHERE row_no = 1),
+    "pipe_table_rows": f"SELECT doc_id, line_no, region, row_no, CAST(len(string_split_regex(line, '[ \\t]*\\|[ \\t]*')) AS BIGINT) AS n_cells FROM {REGIONS}",
+    "pipe_cell_values": f"""WITH r AS (SELECT doc_id, region, row_no, string_split_regex(line, '[ \\t]*\\|[ \\t]*') AS c FROM {REGIONS}), h AS (SELECT doc_id, region, c AS names FROM r WHERE row_no = 1),
 v AS (SELECT doc_id, region, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS value FROM r WHERE row_no > 1)
 SELECT header, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (SELECT trim(names[i], ' ') AS header, trim(value, ' ') AS value FROM v JOIN h USING (doc_id, region)) WHERE header IS NOT NULL AND header <> '' GROUP BY header""",
     "forward_fill_cells": f"SELECT file_id, item_id, last_value(CASE WHEN trim(unit, ' ') <> '' THEN unit END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS unit FROM {ITEMS}",
     "wrapped_row_islands": "SELECT user_id, CAST(row_no AS BIGINT) AS row_no, string_agg(coalesce(event_type, ''), ' ' ORDER BY event_id) AS event_type, count(*) AS n_rows FROM (SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS row_no FROM events) GROUP BY user_id, row_no",
     "empty_line_streaks": f"SELECT doc_id, count(DISTINCT g) AS n_streaks, count(*) AS n_empty FROM (SELECT doc_id, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM {DOC_LINES} WHERE trim(line, ' ') = '') GROUP BY doc_id",
     "section_slices": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no, line_no AS first_line, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), last + 1) - line_no AS n_lines FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM {DOC_LINES}) WHERE regexp_matches(line, '^(问[0-9]+：|[0-9]+\\. )')",
-    "headings": "SELECT * FROM (SELECT file_id, line_no, trim(line, ' ') AS heading, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rank FROM " + FILE_LINES + " WHERE regexp_matches(line, '^[ \\t]*(第[一二三四五六七八九十百0-9]{1,4}[章节篇部分条]|[一二三四五六七八九十]{1,3}[、．.]|[（(][一二三四五六七八九十0-9]{1,3}[)）]|[0-9]{1,2}(\\.[0-9]{1,2}){1,3}[ \\t]|[0-9]{1,2}[、．.][^0-9]|附件[一二三四五六七八九十0-9]{0,3}|附录|[A-Z]\\.[ \\t])') AND length(trim(line, ' ')) <= 80) WHERE rank <= 80",
     "trigger_reach_lines": f"WITH l AS (SELECT * FROM {FILE_LINES}) SELECT file_id, count(DISTINCT l.line_no) AS n_lines FROM l JOIN (SELECT file_id, line_no AS hit FROM l WHERE regexp_matches(line, '{TRIGGER}')) AS h USING (file_id) WHERE l.line_no BETWEEN hit - 2 AND hit + 8 GROUP BY file_id",
     "project_vote": f"""SELECT tender_id, value, n_votes FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY n_votes DESC, length(value) DESC, value DESC) AS k FROM (SELECT tender_id, regexp_replace(display_name, '(技术册|商务册|资格册|报价册)?(_[0-9]+)?\\.[A-Za-z]+$', '') AS value, count(*) AS n_votes FROM {FILES} WHERE tender_id IS NOT NULL GROUP BY 1, 2) WHERE value <> '') WHERE k = 1""",
     "amount_parse": f"SELECT price_id, CASE WHEN n <> '' THEN CAST(n AS DOUBLE) * CASE u WHEN '万' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1.0 END END AS amount FROM (SELECT price_id, regexp_extract(s, '([0-9]+(\\.[0-9]+)?)', 1) AS n, regexp_extract(s, '[0-9](元)?([万亿])', 2) AS u FROM (SELECT DISTINCT price_id, {AMOUNT_TEXT} AS s FROM prices WHERE totalprice IS NOT NULL))",
     "bid_totals_tax": f"SELECT price_id, round(r, 6) AS rate, CAST(round(CAST(CAST(totalpriceintax AS DECIMAL(20,2)) / (1 + CAST(r AS DECIMAL(10,6))) AS DECIMAL(20,6)), 2) AS DOUBLE) AS ex_tax FROM (SELECT *, {RATE} AS r FROM {PRICES})",
-    "equal_totals": "SELECT l_orderkey, CAST(t AS DOUBLE) AS total, n AS n_groups, n * (n - 1) // 2 AS n_pairs FROM (SELECT l_orderkey, t, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(20,2)) AS t FROM lineitem WHERE l_quantity > 0) GROUP BY l_orderkey, t) WHERE n > 1",
-    "price_ladder": ladder("l_orderkey", "l_quantity", "lineitem"),
     "price_spread": f"SELECT tender_id, pricename, count(*) AS n, count(DISTINCT file_id) AS n_who, count(DISTINCT v) AS n_distinct, CAST(min(v) AS DOUBLE) AS lowest, CAST(max(v) AS DOUBLE) AS highest, CAST(round((max(v) - min(v))::DOUBLE / min(v)::DOUBLE * 100, 2) AS DOUBLE) AS spread_pct FROM (SELECT *, CAST(unitprice AS DECIMAL(20,2)) AS v FROM {ITEMS} WHERE unitprice > 0 AND pricename IS NOT NULL AND tender_id IS NOT NULL) GROUP BY tender_id, pricename HAVING count(*) > 1",
     "comparison_pivot": "SELECT l_returnflag, f, o, CAST((f IS NOT NULL)::INT + (o IS NOT NULL)::INT AS BIGINT) AS n_values, coalesce(f = o, true) AS same_all FROM (SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY l_returnflag)",
     "sum_vs_total": f"SELECT file_id, n_items, CAST(s AS DOUBLE) AS item_sum, CAST(t AS DOUBLE) AS total, abs(s - t)::DOUBLE > t::DOUBLE * 0.05 AS off FROM (SELECT file_id, count(*) AS n_items, sum(CAST(totalprice AS DECIMAL(20,2))) AS s FROM {ITEMS} WHERE totalprice IS NOT NULL GROUP BY file_id) JOIN (SELECT file_id, CAST(max(cost_total) AS DECIMAL(20,2)) AS t FROM prices GROUP BY file_id) USING (file_id) WHERE t > 0",
@@ -172,7 +163,6 @@ SELECT id1, id2, round(c / (p.n + r.n - c), 6) AS jaccard FROM b JOIN n AS p ON
     "stats_timeline": f"SELECT CAST(run_at AS DATE) AS day, count(*) AS n, round(avg(total_matches), 4) AS average, count(*) FILTER (WHERE total_matches >= 3) AS n_high FROM {RUNS} WHERE run_at IS NOT NULL GROUP BY 1",
     "stats_dimensions": f"SELECT dimension, count(*) FILTER (WHERE n > 0) AS n_hit, CAST(sum(n) AS BIGINT) AS total FROM (SELECT 'total_matches' AS dimension, total_matches AS n FROM {RUNS} UNION ALL SELECT 'abnormal_count', abnormal_count FROM {RUNS} UNION ALL SELECT 'template_count', template_count FROM {RUNS}) GROUP BY dimension",
     "stats_recent": f"SELECT pair_id, total_matches FROM {RUNS} WHERE run_at IS NOT NULL ORDER BY run_at DESC, pair_id DESC LIMIT 8",
-    "history_lighten": f"SELECT pair_id, m.match_id AS match_id, substring(m.text, 1, 40) AS text FROM (SELECT pair_id, unnest(matches) AS m FROM {RUNS} WHERE len(matches) > 0)",
     "cache_keys": f"SELECT file_id, CASE WHEN length(text) > 0 THEN sha256(encode(text) || '\\x00'::BLOB || encode('v1')) END AS cache_key FROM {FILES}",
     "cache_dedup": f"SELECT cache_key, min(file_id) AS file_id, count(*) AS n FROM (SELECT file_id, sha256(encode(text) || '\\x00'::BLOB || encode('v1')) AS cache_key FROM {FILES} WHERE length(text) > 0) GROUP BY cache_key",
     "cache_lru": f"SELECT file_id FROM (SELECT file_id, row_number() OVER (ORDER BY loaded_at DESC, file_id DESC) AS k FROM {FILES} WHERE loaded_at IS NOT NULL) WHERE k > 200",
@@ -181,4 +171,22 @@ SELECT id1, id2, round(c / (p.n + r.n - c), 6) AS jaccard FROM b JOIN n AS p ON
 t AS (SELECT DISTINCT fresh, g, kind, value FROM (SELECT fresh, bid_group AS g, 'phone' AS kind, unnest(phones) AS value FROM p UNION ALL SELECT fresh, bid_group, 'id_number', unnest(id_numbers) FROM p UNION ALL SELECT fresh, bid_group, 'email', unnest(emails) FROM p UNION ALL SELECT fresh, bid_group, 'bank_account', unnest(bank_accounts) FROM p UNION ALL SELECT fresh, bid_group, 'person', {key_of('person_name')} FROM p) WHERE g IS NOT NULL AND trim(value, ' ') <> '')
 SELECT DISTINCT least(a.g, b.g) AS "left", greatest(a.g, b.g) AS "right", a.kind, a.value FROM t AS a JOIN t AS b ON a.kind = b.kind AND a.value = b.value AND a.g <> b.g WHERE a.fresh""",
     "gap_sessions": "SELECT user_id, CAST(max(s) AS BIGINT) AS n_sessions, count(*) AS n_events FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id",
+    "headings": "SELECT * FROM (SELECT file_id, line_no, trim(line, ' ') AS heading, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rank FROM " + FILE_LINES + " WHERE regexp_matches(line, '(?i)^[ \\t]*(?:第[一二三四五六七八九十0-9]+[章节篇部分]|[一二三四五六七八九十]+[、，.]|[0-9]+(?:\\.[0-9]+)+|[0-9]+[. \\t]+|[（(][0-9]+[）)]|[（(][A-F][）)]|Section[ \\t]+[0-9]+|Appendix[ \\t]+[A-F]?|附录[ \\t]*[A-F0-9]*)[ \\t]*.')) WHERE rank <= 80",
+    "shared_contact_pairs": f'''WITH t AS (SELECT * FROM {TIDY}), n AS (SELECT kind, value, count(DISTINCT "group") AS n_groups, min("group") AS first_group FROM t GROUP BY kind, value HAVING count(DISTINCT "group") >= 2), k AS (SELECT * FROM t JOIN n USING (kind, value))
+SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value, a.n_groups FROM k AS a JOIN k AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group" WHERE a.n_groups <= 50
+UNION ALL SELECT first_group, "group", kind, value, n_groups FROM k WHERE n_groups > 50 AND "group" <> first_group''',
+    "contact_stream": f'''WITH t AS (SELECT * FROM {TIDY} WHERE kind <> 'person') SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM t AS a JOIN t AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"''',
+    "name_mentions": "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM documents JOIN (SELECT DISTINCT item_id, regexp_extract(text, '^[^。.!?！？]+', 0) AS head FROM eval_items) AS i ON contains(documents.text, head) WHERE head <> '' GROUP BY item_id",
+    "cost_name_mentions": "SELECT ref_id, count(DISTINCT doc_id) AS n_docs FROM documents JOIN (SELECT ref_id, unnest(list_append(coalesce(aliases, []), canon_name)) AS name FROM price_ref) AS r ON contains(documents.text, name) WHERE name <> '' GROUP BY ref_id",
+    "typed_name_mentions": f"SELECT ref_id, count(DISTINCT item_id) AS n_items FROM {ITEMS} AS i JOIN (SELECT ref_id, unnest(list_append(coalesce(aliases, []), canon_name)) AS name FROM price_ref) AS r ON contains(i.pricename, name) WHERE name <> '' GROUP BY ref_id",
+    "history_lighten": f"SELECT pair_id, m.match_id AS match_id, substring(m.text, 1, 200) AS text FROM (SELECT pair_id, unnest(matches) AS m FROM {RUNS} WHERE len(matches) > 0)",
+    "common_runs": f"""WITH f AS (SELECT file_name, {match_form('text')} AS t FROM {FILES} WHERE text IS NOT NULL), p AS (SELECT DISTINCT least(file1, file2) AS l, greatest(file1, file2) AS r FROM pair_results WHERE file1 <> file2),
+g AS (SELECT file_name, i, substring(t, i + 1, 15) AS g FROM f, unnest(range(0, length(t) - 14)) AS x(i) WHERE length(t) >= 15), m AS (SELECT l, r, a.i AS i, b.i AS j FROM p JOIN g AS a ON a.file_name = l JOIN g AS b ON b.file_name = r AND b.g = a.g),
+n AS (SELECT l, r, i, j, i - row_number() OVER (PARTITION BY l, r, i - j ORDER BY i) AS k FROM m)
+SELECT l AS "left", r AS "right", min(i) AS pos1, min(j) AS pos2, count(*) + 14 AS length FROM n GROUP BY l, r, i - j, k""",
+    "near_paragraph_bands": f"""WITH q AS (SELECT file_name, o, form, length(form) AS n FROM (SELECT file_name, o, {match_form("trim(line, ' ')")} AS form FROM (SELECT file_name, unnest(range(0, len(string_split(text, chr(10))))) AS o, unnest(string_split(text, chr(10))) AS line FROM {FILES} WHERE text IS NOT NULL)) WHERE length(form) BETWEEN 40 AND 500),
+p AS (SELECT DISTINCT least(file1, file2) AS l, greatest(file1, file2) AS r FROM pair_results WHERE file1 <> file2)
+SELECT l AS "left", r AS "right", count(*) AS n FROM p JOIN q AS a ON a.file_name = l JOIN (SELECT DISTINCT file_name, form, n FROM q) AS b ON b.file_name = r AND abs(a.n - b.n) <= 0.3 * greatest(a.n, b.n) AND a.n // 25 - b.n // 25 BETWEEN -1 AND 1 GROUP BY l, r""",
+    "similarity_levels": f"""WITH s AS (SELECT match_id, text, {match_form('text')} AS form FROM {SEGMENTS} WHERE text IS NOT NULL), e AS (SELECT DISTINCT {match_form('text')} AS ref FROM eval_items WHERE text IS NOT NULL)
+SELECT match_id, CASE WHEN length(form) >= 12 AND EXISTS (SELECT 1 FROM e WHERE contains(ref, form)) THEN 'reference' WHEN {template('text')} THEN 'rule' WHEN round({substantiality('text')}, 6) >= 0.6 THEN 'substantial' WHEN round({substantiality('text')}, 6) >= 0.3 THEN 'suspicious' ELSE 'template' END AS level FROM s""",
 }

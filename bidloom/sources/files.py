@@ -48,8 +48,9 @@ def text_lines(content: bytes) -> list[Line]:
     return [("paragraph", line) for line in decoded(content).splitlines()]
 
 
-def workbook_lines(content: bytes, most_sheets: int = 30, most_rows: int = 5000) -> list[Line]:
-    """A line with the title of each sheet, then its rows that are not empty, cells joined with bars."""
+def workbook_lines(content: bytes, most_sheets: int | None = None, most_rows: int | None = None) -> list[Line]:
+    """A line with the title of each sheet, then its rows that are not empty, cells joined with bars. Whole workbooks are
+    read unless a limit is given."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_S + "si")] if "xl/sharedStrings.xml" in names else []
@@ -79,7 +80,7 @@ def workbook_lines(content: bytes, most_sheets: int = 30, most_rows: int = 5000)
                 if any(cells):
                     out.append(("row", " | ".join(cells)))
                     rows += 1
-                    if rows >= most_rows:
+                    if most_rows is not None and rows >= most_rows:
                         break
         return out
 
@@ -96,20 +97,48 @@ def _paragraph(p: ElementTree.Element) -> str:
     return "".join(parts)
 
 
+def _cell(cell: ElementTree.Element) -> str:
+    """The text of a table cell; rows of a table inside it follow its own paragraphs."""
+    return " ".join(t for _, t in _blocks(cell))
+
+
+def _blocks(parent: ElementTree.Element) -> list[Line]:
+    """Paragraphs and table rows below a node in order, those in content controls and other wrappers included."""
+    out: list[Line] = []
+    for node in parent:
+        if node.tag == _W + "p":
+            out += [("paragraph", t.strip()) for t in _paragraph(node).split("\n") if t.strip()]
+        elif node.tag == _W + "tbl":
+            for row in (r for r in _rows(node)):
+                cells = [_cell(c) for c in _wrapped(row, _W + "tc")]
+                if any(cells):
+                    out.append(("row", " | ".join(cells)))
+        elif node.tag in (_W + "sdt", _W + "sdtContent", _W + "ins", _W + "smartTag", _W + "customXml"):
+            out += _blocks(node)
+    return out
+
+
+def _wrapped(parent: ElementTree.Element, tag: str) -> list[ElementTree.Element]:
+    """The children of a kind, also inside content controls, but not those of tables further in."""
+    out = []
+    for node in parent:
+        if node.tag == tag:
+            out.append(node)
+        elif node.tag in (_W + "sdt", _W + "sdtContent", _W + "ins", _W + "customXml"):
+            out += _wrapped(node, tag)
+    return out
+
+
+def _rows(table: ElementTree.Element) -> list[ElementTree.Element]:
+    return _wrapped(table, _W + "tr")
+
+
 def document_lines(content: bytes) -> list[Line]:
     """Paragraphs and table rows in the order of the document, then headers and footers."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         out: list[Line] = []
         body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
-        stack = list(body) if body is not None else []
-        for block in stack:
-            if block.tag == _W + "p":
-                out += [("paragraph", t) for t in _paragraph(block).split("\n") if t.strip()]
-            elif block.tag == _W + "tbl":
-                for row in block.iter(_W + "tr"):
-                    cells = [" ".join(filter(None, (_paragraph(p).strip() for p in c.iter(_W + "p")))) for c in row.findall(_W + "tc")]
-                    if any(cells):
-                        out.append(("row", " | ".join(cells)))
+        out += _blocks(body) if body is not None else []
         for name in sorted(n for n in z.namelist() if re.fullmatch(r"word/(?:header|footer)\d*\.xml", n)):
             for p in ElementTree.fromstring(z.read(name)).iter(_W + "p"):
                 if _paragraph(p).strip():
@@ -117,7 +146,7 @@ def document_lines(content: bytes) -> list[Line]:
         return out
 
 
-def page_lines(content: bytes, page_reader: PageReader | None, most_pages: int = 2000, sampled: int = 50, empty_streak: int = 50) -> list[Line]:
+def page_lines(content: bytes, page_reader: PageReader | None, most_pages: int | None = None, sampled: int = 50, empty_streak: int = 50) -> list[Line]:
     """Lines of each page; stops after ``empty_streak`` empty pages once ``sampled`` pages were read."""
     if page_reader is None:
         raise ValueError("no page reader is installed")

@@ -21,6 +21,11 @@ def new_links(batch: DataFrame, stored: DataFrame, pools: dict[str, str] = POOLS
     return met.select(F.least("group", "_g").alias("left"), F.greatest("group", "_g").alias("right"), "kind", "value").distinct()
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str, checkpoint: str, schema: str) -> StreamingQuery:
     """Personnel files that arrive in ``incoming``: their links to all earlier ones go to ``links``, they themselves to
     ``stored``. A batch that is run again replaces what it wrote, by its number."""
@@ -28,10 +33,9 @@ def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str,
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         once = batch.dropDuplicates(["person_id"])
-        try:
-            before = session.read.schema(schema).parquet(stored).where(F.col("_batch") != number) if number else once.limit(0).withColumn("_batch", F.lit(0))
-        except Exception:  # nothing is stored yet
-            before = once.limit(0)
+        before = once.limit(0).withColumn("_batch", F.lit(0))
+        if _exists(session, stored):  # any failure to read what is there must fail the batch, or its links are lost
+            before = session.read.schema(f"{schema}, _batch int").parquet(stored).where(F.col("_batch") != number)
         new_links(once, before).write.mode("overwrite").parquet(f"{links}/_batch={number}")
         once.write.mode("overwrite").parquet(f"{stored}/_batch={number}")
 
