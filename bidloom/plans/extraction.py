@@ -214,7 +214,7 @@ def price_kpis(spark, d):
 
 @query(
     f"""SELECT file_id, count(*) AS n_items, CAST(sum(t) AS DOUBLE) AS total, count(tax) AS n_taxed FROM (SELECT file_id, CAST(totalprice AS DECIMAL(20,2)) AS t, unitprice, nullif(regexp_extract(tax, '([0-9]+)', 1), '') AS tax FROM {ITEMS}
-WHERE length(trim(regexp_replace(pricename, '[ |\\n\\t]+', ' ', 'g'), ' ')) >= 2 AND NOT regexp_matches(pricename, '经理|工程师|工人|主任|主管|专员|总监|总裁|董事长|秘书|助理|合同|协议|订单|项目 *名称|供应商|投标人|采购人|灵敏度|dB|MHz|GHz|指标 *要求|功能 *要求|验收测试|测试评审|联通测试|差旅|交通|住宿|会议内容|出差|硬件费用|软件费用|其他费用|有限公司|有限责任|公司|集团|大学|学院|研究所')
+WHERE length(trim(regexp_replace(pricename, '[ |\\n\\t]+', ' ', 'g'), ' ')) >= 2 AND NOT regexp_matches(pricename, '经理|工程师|工人|主任|主管|专员|总监|总裁|董事长|秘书|助理|合同|协议|订单|项目 *名称|供应商|投标人|采购人|灵敏度|dB|MHz|GHz|指标 *要求|功能 *要求|验收测试|测试评审|联通测试|差旅|交通|住宿|会议内容|出差|^其他$|^无$|^备注$|^说明$|^小计$|硬件费用|软件费用|其他费用|有限公司|有限责任|公司|集团|大学|学院|研究所')
 AND regexp_matches(pricename, '^[一-鿿]+$') AND totalprice > 0 AND (unitprice IS NULL OR CAST(unitprice AS DECIMAL(20,2)) <= 1.5 * CAST(totalprice AS DECIMAL(20,2)))) GROUP BY file_id"""
 )
 def rendered_items(spark, d):
@@ -297,7 +297,7 @@ def labelled_fields(spark, d):
     return people.labelled_fields(rows.select("person_id", page.alias("text")), "person_id", "text", family=_family(spark, d)).select("person_id", "field", "value").distinct()
 
 
-@query(f"SELECT person_id, field, n AS value FROM (SELECT person_id, CASE person_role WHEN '授权代表' THEN 'authorized_rep' ELSE 'legal_rep' END AS field, {_KEY} AS n FROM {PEOPLE} WHERE person_role = '授权代表' OR person_role = '法定代表人') WHERE {_IS_NAME} UNION ALL SELECT person_id, 'company', '某某第' || person_id || '工程有限公司' FROM {PEOPLE} WHERE person_role = '法定代表人'")
+@query(f"SELECT person_id, field, n AS value FROM (SELECT person_id, CASE person_role WHEN '授权代表' THEN 'authorized_rep' ELSE 'legal_rep' END AS field, {_KEY} AS n FROM {PEOPLE} WHERE person_role = '授权代表' OR person_role = '法定代表人') WHERE {_IS_NAME} UNION ALL SELECT person_id, 'company', '某某第' || person_id || '工程有限公司' FROM {PEOPLE} WHERE person_role = '法定代表人' AND person_name IS NOT NULL")
 def letter_people(spark, d):
     """Representatives rendered as letters of authorisation, names spaced or split over lines, and read back."""
     rows = _once(spark, d, "personnel", "person_id").where("person_role in ('授权代表', '法定代表人') and person_name is not null")

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bidloom.functions import amounts, contacts, rules, text
+from bidloom.functions import amounts, contacts, names, rules, text
 from bidloom.functions.amounts import chinese_number, parsed_amount
 from bidloom.operators.segments import match_map
 
@@ -34,11 +34,11 @@ def one(spark, value, f):
         (text.extension, "a/b.DOCX", "docx"),
         (contacts.mobile, "+86 139-1234-5678", "13912345678"),
         (contacts.mobile, "12912345678", None),
-        (contacts.role_label, "项目经理（兼）", "project_manager"),
-        (contacts.role_label, "其他", None),
-        (contacts.is_person_name, "张三丰", True),
-        (contacts.is_person_name, "项目经理", False),
-        (contacts.is_person_name, "欧阳修远", True),
+        (names.role_label, "项目经理（兼）", "project_manager"),
+        (names.role_label, "其他", None),
+        (names.is_person_name, "张三丰", True),
+        (names.is_person_name, "项目经理", False),
+        (names.is_person_name, "欧阳修远", True),
         (amounts.rate, "９％", 0.09),
         (amounts.rate, "1.8‰", 0.0018),
         (amounts.rate, "", None),
@@ -57,7 +57,7 @@ def test_scalars(spark, f, given, want):
 def test_control_characters_and_leader_dots(spark):
     assert one(spark, "a\x01b\tc", text.sanitize) == "ab\tc"
     assert one(spark, "章....3", text.without_leader_dots) == "章3"
-    assert one(spark, "法 定 代 表 人", lambda c: text.glued(c, ["法定代表人"])) == "法定代表人"
+    assert one(spark, "法 定 代 表 人", text.glued) == "法定代表人"
 
 
 @pytest.mark.parametrize(

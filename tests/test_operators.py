@@ -89,12 +89,72 @@ def test_common_segments_against_brute_force(seed):
     assert bool(found) == (longest.size >= 15)
 
 
-def test_near_paragraphs():
-    p = "投标人应当在合同签订后三十日内完成全部设备的安装调试工作并提交完整的竣工资料和培训记录以备验收"
-    q = p.replace("三十", "四十五").replace("完整", "齐全")
-    ((left, right, ratio),) = segments.near_paragraphs([p], [q, "完全不同的一段话" * 6])
-    assert (left, right) == (p, q) and 0.8 <= ratio < 0.98
-    assert segments.near_paragraphs([p], [p]) == [] and segments.near_paragraphs([], [p]) == []
+def test_near_paragraphs_are_those_of_all_comparisons(spark):
+    rng = random.Random(5)
+    words = ["投标人应当", "在合同签订后", "三十日内", "完成全部设备", "的安装调试工作", "并提交完整的", "竣工资料", "和培训记录", "以备验收", "，逾期不予受理"]
+
+    base = ["".join(rng.choices(words, k=rng.randint(9, 12))) for _ in range(6)]
+
+    def page():
+        out = []
+        for _ in range(rng.randint(0, 4)):
+            line = rng.choice(base)
+            out += [line, line.replace("三十", "四十五").replace("完整", "齐全"), line][: rng.randint(1, 3)]
+        return "\n".join(out)
+
+    texts = {f"f{i}": page() for i in range(8)} | {"f8": None, "f9": ""}
+    links = [(f"f{i}", f"f{j}") for i in range(10) for j in range(i, 10)] + [("f3", "f1"), (None, "f1")]
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "k string, text string, ord int")
+    got = {}
+    for r in segments.near_paragraphs(spark.createDataFrame(links, "left string, right string"), df, "k", "text").collect():
+        got.setdefault((r.left, r.right), []).append(r.ratio)
+    want = {}
+    forms = {k: [f for f in (segments.match_map(x.strip())[0] for x in (t or "").split("\n")) if 40 <= len(f) <= 500] for k, t in texts.items()}
+    for i, j in {(min(x), max(x)) for x in links if None not in x and x[0] != x[1]}:
+        for a in forms[i]:
+            near = [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for b in forms[j] if abs(len(a) - len(b)) <= 0.3 * max(len(a), len(b))]
+            near = [r for r in near if 0.8 <= r < 0.98]
+            if near:
+                want.setdefault((i, j), []).append(round(max(near), 3))
+    assert want and {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="甲乙", max_size=40), st.text(alphabet="甲乙", max_size=40), st.sampled_from([3, 2_000_000]))
+def test_runs_against_brute_force(a, b, block):
+    want = set()
+    for i in range(len(a) - 3):
+        for j in range(len(b) - 3):
+            if a[i : i + 4] == b[j : j + 4] and not (i and j and a[i - 1] == b[j - 1]):
+                n = 4
+                while a[i + n : i + n + 1] == b[j + n : j + n + 1] != "":
+                    n += 1
+                want.add((i, j, n))
+    assert segments.common_runs(a, b, 4, block) == sorted(want)
+
+
+def test_candidate_pairs_miss_nothing(spark):
+    rng = random.Random(7)
+    pool = ["".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(10, 20))) for _ in range(8)]
+    texts = {i: "".join(rng.sample(pool, 2)) + "".join(rng.choice("子丑寅卯") for _ in range(12)) for i in range(20)} | {20: None, 21: ""}
+    got = {(r.left, r.right) for r in segments.candidate_pairs(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t").collect()}
+    sharing = {(i, j) for i in range(20) for j in range(i + 1, 20) if segments.common_runs(texts[i], texts[j])}
+    assert sharing and sharing <= got
+
+
+def test_containment_and_templates(spark):
+    needles = spark.createDataFrame([(1, "乙丙丁"), (2, "丙丁"), (3, "子"), (4, "甲乙丙丁"), (5, None)], "id int, form string")
+    hay = spark.createDataFrame([(7, "甲乙丙丁戊丙丁"), (8, "丙丁"), (9, None), (10, "")], "id int, form string")
+    assert tuples(segments.containments(needles, hay, 2)) == [(1, 7), (2, 7), (2, 8), (4, 7)]
+    window = "".join(f"第{i}项由投标人自行负责并承担费用" for i in range(3))
+    segs = spark.createDataFrame([(1, "t", window), (2, "t", window[3:30]), (3, "u", window), (4, "t", "前" * 5 + window + "后"), (5, "t", window[:10]), (6, None, window), (7, "t", None)], "k int, s string, x string")
+    assert [r.k for r in segments.in_template(segs, "k", "s", "x", spark.createDataFrame([("t", segments.match_map(window)[0])], "scope string, form string")).orderBy("k").collect()] == [1, 2, 4]
+
+
+def test_names_beyond_the_bound_are_joined(spark):
+    texts = spark.createDataFrame([(1, "甲公司与乙公司"), (2, None), (3, "丙")], "k long, t string")
+    names = spark.createDataFrame([(7, "乙公司"), (8, "丙"), (9, None), (10, "乙公司")], "i int, n string")
+    assert tuples(pairs.mentions(texts, "k", "t", names, "i", "n", most_names=1)) == tuples(pairs.mentions(texts, "k", "t", names, "i", "n"))
 
 
 def test_segments_of_pairs_with_nulls(spark):
@@ -137,8 +197,8 @@ def test_fill_wrap_sections(spark):
 
 
 def test_headings_and_votes(spark):
-    t = spark.createDataFrame([(1, "第一章 总则\n正文\n（一）范围\n1.2 内容\n2025年")], "k int, t string")
-    assert [h.heading for h in layout.headings(t, "k", "t").orderBy("line_no").collect()] == ["第一章 总则", "（一）范围", "1.2 内容"]
+    t = spark.createDataFrame([(1, "第一章 总则\n正文\n（1）范围\n1.2 内容\n2025年")], "k int, t string")
+    assert [h.heading for h in layout.headings(t, "k", "t").orderBy("line_no").collect()] == ["第一章 总则", "（1）范围", "1.2 内容"]
     v = spark.createDataFrame([("g", "甲"), ("g", "乙乙"), ("g", None), ("g", ""), ("h", "丙")], "g string, v string")
     assert tuples(layout.voted(v, "g", F.col("v"))) == [("g", "乙乙", 1), ("h", "丙", 1)]
     lines = layout.lines(spark.createDataFrame([(1, "项目名称：某某工程\n项目名称：\n另一个工程")], "k int, t string"), "k", "t")

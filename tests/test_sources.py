@@ -57,6 +57,13 @@ def test_readers(spark, tmp_path):
     assert about["c.docx"] == {"creator": "张三"} and about["f.pdf"] == {"Title": "T(1)", "CreationDate": "2024-01-02 03:04:05"} and about["e.docx"] == {}
 
 
+def test_content_controls_and_tables_in_tables():
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    inner = f"<w:tbl><w:tr><w:tc>{p('里')}</w:tc><w:tc>{p('2')}</w:tc></w:tr></w:tbl>"
+    body = f"<w:sdt><w:sdtContent>{p('控')}</w:sdtContent></w:sdt><w:tbl><w:tr><w:tc>{p('外')}{inner}</w:tc><w:sdt><w:sdtContent><w:tc>{p('1')}</w:tc></w:sdtContent></w:sdt></w:tr></w:tbl>"
+    assert files.document_lines(zipped({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"})) == [("paragraph", "控"), ("row", "外 里 | 2 | 1")]
+
+
 def test_page_reader_stops_after_empty_pages():
     pages = ["a\nb"] + [""] * 200 + ["c"]
     assert files.page_lines(b"", lambda _: pages) == [("page", "a"), ("page", "b"), *[("page", "")] * 49]
@@ -69,6 +76,8 @@ def test_history_and_cache(spark, tmp_path):
     back = store.read_history(spark, str(tmp_path / "h"), "id string, matches array<struct<text:string>>")
     assert sorted(r.id for r in back.collect()) == ["p1", "p2"] and len(store.history_entry(back, "id", "p1").first().matches[0].text) == 200
     assert store.history_entry(back, "id", "../p1").count() == 0
+    store.delete_history(spark, str(tmp_path / "h"), "id string, matches array<struct<text:string>>", "id", "p1")
+    assert [r.id for r in store.read_history(spark, str(tmp_path / "h"), "id string, matches array<struct<text:string>>").collect()] == ["p2"]
     keyed = spark.createDataFrame([("a", "k1"), ("b", "k2"), ("c", "k1")], "path string, cache_key string")
     cache = spark.createDataFrame([("k1", "text")], "cache_key string, text string")
     assert [r.path for r in store.uncached(keyed, cache).collect()] == ["b"] and sorted(r.path for r in store.cached_texts(keyed, cache).collect()) == ["a", "c"]

@@ -34,8 +34,12 @@ def test_pairs_without_earlier_matches_are_compared(spark, tables):
     assert [(r.left, r.right) for r in catalog.queries()["near_duplicate_paragraphs"](spark, d).collect()] == [("f0", "f4")]
 
 
-def test_values_of_many_groups_are_paired_too(spark, tables):
+def test_no_link_of_a_common_value_is_lost(spark, tables):
+    """A value of many groups stands as one class: following the rows reaches all of its groups."""
     fields = "person_id int, bid_group string, person_name string, phones array<string>, id_numbers array<string>, emails array<string>, bank_accounts array<string>"
-    d = tables(personnel=([(n, f"G{n:02}", None, ["13800000000"], None, None, None) for n in range(52)], fields))
-    found = {(r.left, r.right) for r in catalog.queries()["shared_contact_pairs"](spark, d).collect()}
-    assert len(found) == 52 * 51 // 2
+    d = tables(personnel=([(n, f"G{n:02}", None, ["13800000000"] + (["13900000000"] if n < 3 else []), None, None, None) for n in range(52)], fields))
+    found = catalog.queries()["shared_contact_pairs"](spark, d).collect()
+    assert {(r.left, r.right, r.n_groups) for r in found if r.value == "13900000000"} == {("G00", "G01", 3), ("G00", "G02", 3), ("G01", "G02", 3)}
+    common = [r for r in found if r.value == "13800000000"]
+    assert {r.left for r in common} | {r.right for r in common} == {f"G{n:02}" for n in range(52)} and all(r.n_groups == 52 for r in common)
+    assert {(r.left, r.right) for r in common} == {("G00", f"G{n:02}") for n in range(1, 52)}
