@@ -2,11 +2,16 @@
 
 Method: script-aware repair. Single characters are first brought to one form by rule (styled, full-width and
 half-width forms, compatibility ideographs and radicals, composed accents, invisible characters, kinds of blank and
-hyphen). Then the dominant script of each token decides: letters of another script that look like letters of the
-dominant one are replaced, only in mixed-script tokens, and only if the result is a word of the corpus vocabulary.
-Two kinds of token have no dominant script or no vocabulary and are treated so: a token written wholly in look-alikes
-counts as mixed when the corpus vocabulary has its Latin reading; a serial number (a token with a digit or of capitals
-only) is accepted by its shape, because each serial number is a word of its own.
+hyphen). Then the scripts of the letters of each whole token decide. In a token of two or three scripts (Latin, Cyrillic,
+Greek) the letters that look like letters of its dominant script, or else of the record's, are replaced if the result is
+of that one script and a word of the corpus vocabulary. Two kinds of token need more than that and are treated so:
+
+* A token wholly of a script that is not the record's (nothing in it is mixed by itself) counts as mixed only where the
+  record uses that script in no other way: no letter of it in the record is without a look-alike, and other letters are
+  in the majority. It still must read as a word of the vocabulary in the record's script. So names and abbreviations of
+  a text in Cyrillic or Greek stay, and so does a single foreign abbreviation that is no word of the corpus.
+* A serial number (with a digit, or mixed and of capitals only) is in no vocabulary, being a word of its own; it is
+  accepted by its shape, towards the record's script, under the same conditions.
 
 Nothing is folded that can be told apart in print: case, digit grouping, circled or raised numbers stay.
 """
@@ -15,7 +20,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -32,11 +39,12 @@ KANA = dict(zip("エカロニハタトチミ", "工力口二八夕卜千彡", st
 LATIN_TWIN = CYRILLIC | GREEK
 KEPT_TAGS = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>"}
 
-_FOREIGN = "".join(LATIN_TWIN)
-SUSPECT = re.compile(f"[A-Za-z0-9{_FOREIGN}]*[{_FOREIGN}][A-Za-z0-9{_FOREIGN}]*")
+LATIN, CYRILLIC_SCRIPT, GREEK_SCRIPT = "L", "C", "G"
+INTO = {LATIN: {}, CYRILLIC_SCRIPT: {v: k for k, v in CYRILLIC.items()}, GREEK_SCRIPT: {v: k for k, v in GREEK.items()}}  # from a Latin letter
+TOKEN = re.compile("[A-Za-z0-9À-ɏͰ-ԯ]+")
+FOREIGN = re.compile("[Ͱ-ԯ]")
 HAN = "㐀-䶿一-鿿"
 KANA_SUSPECT = re.compile(f"(?<=[{HAN}])[{''.join(KANA)}](?![぀-ヿ])|(?<![぀-ヿ])[{''.join(KANA)}](?=[{HAN}])")
-WORD = re.compile("[A-Za-z0-9]+")
 KANA_WORD = re.compile(f"(?=([{HAN}][{''.join(KANA.values())}]|[{''.join(KANA.values())}][{HAN}]))")
 
 
@@ -75,12 +83,67 @@ def plain_form(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
-def latin_reading(token: str) -> str:
-    return "".join(LATIN_TWIN.get(c, c) for c in token)
-
-
-def is_serial(token: str) -> bool:
-    return any(c.isdigit() for c in token) or (len(token) >= 2 and token.isupper())
+def script(c: str) -> str:
+    """Of a letter: Latin, Cyrillic or Greek; nothing of other characters."""
+    cp = ord(c)
+    return LATIN if cp < 0x250 and c.isalpha() else GREEK_SCRIPT if 0x370 <= cp < 0x400 and c.isalpha() else CYRILLIC_SCRIPT if 0x400 <= cp < 0x530 and c.isalpha() else ""
+
+
+def reading(token: str, target: str) -> str | None:
+    """The token with look-alikes of other scripts in letters of ``target``; None if a letter of another script is left."""
+    out = []
+    for c in token:
+        own = script(c)
+        if own and own != target:
+            latin = c if own == LATIN else LATIN_TWIN.get(c)
+            c = latin if target == LATIN else INTO[target].get(latin, None)
+            if not c:
+                return None
+        out.append(c)
+    return "".join(out)
+
+
+def has_digit(token: str) -> bool:
+    return any(c.isdigit() for c in token)
+
+
+@dataclass(frozen=True)
+class Scripts:
+    """Of a record: the script most of its letters are in, and the scripts that stand only in look-alikes."""
+
+    main: str
+    borrowed: frozenset[str]
+
+    @classmethod
+    def of(cls, text: str) -> Scripts:
+        count: Counter[str] = Counter()
+        genuine = set()
+        for c, n in Counter(text).items():
+            s = script(c)
+            count[s] += n if s else 0
+            if s in (CYRILLIC_SCRIPT, GREEK_SCRIPT) and c not in LATIN_TWIN:
+                genuine.add(s)
+        known = {s: n for s, n in count.items() if s}
+        trusted = {s: n for s, n in known.items() if s == LATIN or s in genuine}
+        main = max(trusted, key=lambda s: (trusted[s], s == LATIN)) if trusted else LATIN
+        return cls(main, frozenset(s for s in (CYRILLIC_SCRIPT, GREEK_SCRIPT) if s != main and s not in genuine))
+
+
+def options(token: str, scripts: Scripts) -> tuple[list[str], str | None]:
+    """(readings that count if the vocabulary has them, in order; the reading that counts by its shape)."""
+    count = Counter(s for c in token if (s := script(c)))
+    if len(count) > 1:
+        dominant = max(count, key=lambda s: (count[s], s == scripts.main))
+        targets = dict.fromkeys((dominant, scripts.main))
+        serial = has_digit(token) or (len(token) > 1 and token.isupper())
+    elif count and next(iter(count)) in scripts.borrowed:
+        targets = dict.fromkeys((scripts.main,))
+        serial = has_digit(token)
+    else:
+        return [], None
+    read = [r for t in targets if (r := reading(token, t)) is not None and r != token]
+    by_shape = reading(token, scripts.main) if serial else None
+    return ([] if by_shape else read), by_shape
 
 
 @F.pandas_udf(T.StringType())
@@ -92,84 +155,102 @@ def _contexts(text: str, at: int, twin: str) -> list[str]:
     return ([text[at - 1] + twin] if at else []) + ([twin + text[at + 1]] if at + 1 < len(text) else [])
 
 
-def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(token, reading) of each token that a repair would need the vocabulary for."""
-    done: set[tuple[str, str]] = set()
-    for batch in batches:
-        new: set[tuple[str, str]] = set()
-        for text in batch["plain"].dropna():
-            if text.isascii():
-                continue
-            new.update((t, r) for t in SUSPECT.findall(text) if not is_serial(r := latin_reading(t)))
-            for m in KANA_SUSPECT.finditer(text):
-                new.update((m[0], c) for c in _contexts(text, m.start(), KANA[m[0]]))
-        new -= done
-        if len(done) < 200_000:  # only spares repeats within a task; distinct() follows
-            done |= new
-        yield pd.DataFrame(sorted(new), columns=["token", "reading"])
-
-
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    done: set[str] = set()
-    for batch in batches:
-        new: set[str] = set()
-        for text in batch["plain"].dropna():
-            new.update(w for w in WORD.findall(text) if not is_serial(w))
-            new.update(KANA_WORD.findall(text))
-        new -= done
-        if len(done) < 200_000:
-            done |= new
-        yield pd.DataFrame({"reading": sorted(new)})
-
-
-def _repair(text: str, known: set[str]) -> str:
-    def token(m: re.Match) -> str:
-        r = latin_reading(m[0])
-        mixed = any(c not in LATIN_TWIN for c in m[0]) or len({c in GREEK for c in m[0]}) > 1
-        return r if (is_serial(r) and (mixed or len(r) > 1)) or r in known else m[0]
+def _readings(text: str) -> set[str]:
+    """What the vocabulary must be asked for to repair a text in plain form."""
+    found: set[str] = set()
+    if FOREIGN.search(text):
+        scripts = Scripts.of(text)
+        for token in set(TOKEN.findall(text)):
+            if FOREIGN.search(token):
+                found.update(options(token, scripts)[0])
+    for m in KANA_SUSPECT.finditer(text):
+        found.update(_contexts(text, m.start(), KANA[m[0]]))
+    return found
 
-    def kana(m: re.Match) -> str:
-        return KANA[m[0]] if any(c in known for c in _contexts(text, m.start(), KANA[m[0]])) else m[0]
 
-    return SUSPECT.sub(token, KANA_SUSPECT.sub(kana, text))
+def _wanted(text: str) -> set[str]:
+    return _readings(text) if not text.isascii() else set()
 
 
-def _readings(text: str) -> list[str]:
-    found = {r for t in SUSPECT.findall(text) if not is_serial(r := latin_reading(t))}
-    for m in KANA_SUSPECT.finditer(text):
-        found.update(_contexts(text, m.start(), KANA[m[0]]))
-    return sorted(found)
+def _words(text: str) -> set[str]:
+    """The words of a text in plain form that are of one script and no serial numbers, and ideographs side by side."""
+    words = {w for w in TOKEN.findall(text) if not has_digit(w) and (w.isascii() or len({s for c in w if (s := script(c))}) == 1)}
+    return words if text.isascii() else words | set(KANA_WORD.findall(text))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def readings_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [] if t is None or t.isascii() else _readings(t))
+def _distinct(text: str, of) -> object:  # noqa: ANN001
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[str] = set()
+        for batch in batches:
+            new: set[str] = set()
+            for t in batch[text].dropna():
+                new |= of(plain_form(t))
+            new -= done
+            if len(done) < 200_000:  # only spares repeats within a task; distinct() follows
+                done |= new
+            yield pd.DataFrame({"reading": sorted(new)})
 
+    return emit
 
-@F.pandas_udf(T.StringType())
-def repair_udf(s: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or t.isascii() else _repair(t, set(k) if k is not None else set()) for t, k in zip(s, known, strict=True)])
 
+def _repair(text: str, known: set[str] | frozenset[str]) -> str:
+    """A text in plain form with the look-alikes of its tokens put right; ``known`` are the readings the corpus has."""
+
+    def kana(m: re.Match) -> str:
+        return KANA[m[0]] if any(c in known for c in _contexts(text, m.start(), KANA[m[0]])) else m[0]
+
+    out = KANA_SUSPECT.sub(kana, text)
+    if not FOREIGN.search(out):
+        return out
+    scripts = Scripts.of(text)
+
+    def token(m: re.Match) -> str:
+        if not FOREIGN.search(m[0]):
+            return m[0]
+        readings, by_shape = options(m[0], scripts)
+        return by_shape or next((r for r in readings if r in known), m[0])
 
-def uniform_text(records: DataFrame, key: list[str], text: str, out: str = "uniform") -> DataFrame:
+    return TOKEN.sub(token, out)
+
+
+def uniform_text(records: DataFrame, key: list[str], text: str, out: str = "uniform", most_known: int = 500_000) -> DataFrame:
     """(key..., text, out): each record's text in its one consistent form.
 
     ``key`` must be unique. Null stays null and empty stays empty. The vocabulary is every word of all records; it is
-    never collected: only the words that some suspect token would become are looked up, by a shuffled semi join, and
-    come back to their records by key. Records without suspects do not take part in that exchange.
+    never collected: only the readings that some suspect token would have are looked up in it. Those the corpus has are
+    sent to the executors if they are at most ``most_known``; more come back to their records by a join on the key. Texts
+    are never shuffled in the first case and not written anywhere in either; their plain form is derived where it is read.
     """
-    plain = records.select(*key, text).withColumn("plain", plain_form_udf(F.col(text)))
-    plain = materialize(plain)
-    wanted = plain.select("plain").mapInPandas(_suspects, "token string, reading string").select("reading").distinct()
-    words = plain.select("plain").mapInPandas(_words, "reading string").distinct()
-    known = wanted.join(words, "reading", "left_semi")
-    asks = plain.where(~F.col("plain").rlike(r"^\p{ASCII}*$")).select(*key, F.explode(readings_udf("plain")).alias("reading"))
-    answers = asks.join(known, "reading").groupBy(*key).agg(F.collect_set("reading").alias("known"))
-    return plain.join(answers, key, "left").select(*key, text, repair_udf("plain", "known").alias(out))
+    texts = records.select(F.col(text).alias("t")).where("t is not null")
+    wanted = materialize(texts.mapInPandas(_distinct("t", _wanted), "reading string").distinct())
+    words = texts.mapInPandas(_distinct("t", _words), "reading string")
+    known = materialize(words.join(wanted, "reading", "left_semi").distinct())
+    rows = known.limit(most_known + 1).collect()
+    if len(rows) <= most_known:
+        shared = records.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows))
+
+        @F.pandas_udf(T.StringType())
+        def repair(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: t if t.isascii() else _repair(plain_form(t), shared.value), na_action="ignore")
+
+        return records.select(*key, text, repair(F.col(text)).alias(out))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def readings(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: sorted(_wanted(plain_form(t))) if t is not None else [])
+
+    @F.pandas_udf(T.StringType())
+    def repair_by(s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or t.isascii() else _repair(plain_form(t), frozenset(x) if x is not None else frozenset()) for t, x in zip(s, k, strict=True)])
+
+    asks = records.select(*key, F.explode(readings(F.col(text))).alias("reading"))
+    answers = asks.join(known, "reading").groupBy(*key).agg(F.collect_set("reading").alias("_known"))
+    return records.select(*key, text).join(answers, key, "left").select(*key, text, repair_by(F.col(text), F.col("_known")).alias(out))
 
 
 def digest(c: Column) -> Column:
-    return F.sha2(c.cast("binary"), 256)
+    """128 bits of a text."""
+    return F.substring(F.unhex(F.sha2(c.cast("binary"), 256)), 1, 16)
 
 
 def equal_looking_pairs(uniform: DataFrame, src: str, rec_id: str, text: str, form: str = "uniform") -> DataFrame:
@@ -188,3 +269,13 @@ def equal_looking_pairs(uniform: DataFrame, src: str, rec_id: str, text: str, fo
     one = rows.join(variants, ["src", "f", "v"]).select("src", "f", "w", F.col("id").alias("i"))
     both = one.join(rows.select("src", "f", F.col("v").alias("w"), F.col("id").alias("j")), ["src", "f", "w"])
     return both.select("src", F.least("i", "j").alias("id1"), F.greatest("i", "j").alias("id2")).where("id1 < id2").distinct()
+
+
+def look_classes(uniform: DataFrame, src: str, rec_id: str, text: str, form: str = "uniform") -> DataFrame:
+    """(src, id, class_id, n_records, n_values): each record that looks like another one with other characters, with its
+    class, named by its smallest id; the number of records and of different values in the class. One row a record."""
+    rows = uniform.where(F.length(form) > 0).select(F.col(src).alias("src"), F.col(rec_id).alias("id"), digest(F.col(form)).alias("f"), digest(F.col(text)).alias("v")).distinct()
+    rows = materialize(rows)
+    partial = rows.groupBy("src", "f", "v").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
+    classes = partial.groupBy("src", "f").agg(F.min("m").alias("class_id"), F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_values")).where("n_values > 1")
+    return rows.join(classes, ["src", "f"]).select("src", "id", "class_id", "n_records", "n_values")

@@ -99,6 +99,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.equal_looking_pairs(lookalikes.uniform_text(_fields(spark, d), ["src", "id"], "text"), "src", "id", "text")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Records that look like another one with other characters, one row each with its class."""
+    return lookalikes.look_classes(lookalikes.uniform_text(_fields(spark, d), ["src", "id"], "text"), "src", "id", "text")
+
+
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every field that had another."""
     return lookalikes.uniform_text(_fields(spark, d), ["src", "id"], "text").where("not (text <=> uniform)").select("src", "id", "uniform")
@@ -147,7 +152,7 @@ def _shipped(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     all_of = (
-        p1_found, p1_texts, p1_numbers, p2_found, p2_shared, p2_passages, p3_found, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_forms,
+        p1_found, p1_texts, p1_numbers, p2_found, p2_shared, p2_passages, p3_found, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_classes, p6_forms,
         p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores,
     )
     return {q.__name__: _shipped(q) for q in all_of}

@@ -262,6 +262,24 @@ def test_equal_looking(spark):
     assert lookalikes.uniform_text(df.limit(0), ["src", "id"], "text").count() == 0
 
 
+@pytest.mark.parametrize("text", ["НАТО и СССР", "НАТО", "комиссия СССР", "Москва", "κόσμος", "ΑΘΗΝΑ και Σ", "кот и о", "中文 СССР 项目"])
+def test_genuine_words_of_other_scripts_stay(text):
+    assert lookalikes._repair(text, {"a", "o", "is", "Москва", "CAT"}) == text
+
+
+@pytest.mark.parametrize(("text", "want"), [("Москвa", "Москва"), ("сontroller", "controller"), ("the Ассess іѕ", "the Access is"), ("No VFСU", "No VFCU"), ("No Τ3Н", "No T3H"), ("хyz the", "хyz the")])
+def test_tokens_go_to_their_dominant_script(text, want):
+    assert lookalikes._repair(text, {"controller", "Access", "is", "Москва", "the"}) == want
+
+
+def test_look_classes_and_the_join_beyond_the_bound(spark):
+    df = spark.createDataFrame([("s", 1, "the supplier"), ("s", 2, "the ѕuррlіer"), ("s", 3, "the supplier"), ("s", 4, "other"), ("s", 5, None), ("t", 6, "")], "src string, id long, text string")
+    few = lookalikes.uniform_text(df, ["src", "id"], "text")
+    joined = lookalikes.uniform_text(df, ["src", "id"], "text", most_known=0)
+    assert tuples(few) == tuples(joined)
+    assert tuples(lookalikes.look_classes(few, "src", "id", "text")) == [("s", 1, 1, 3, 2), ("s", 2, 1, 3, 2), ("s", 3, 1, 3, 2)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_plain_form_is_stable_and_composed(s):
