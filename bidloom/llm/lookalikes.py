@@ -173,9 +173,15 @@ def _wanted(text: str) -> set[str]:
 
 
 def _words(text: str) -> set[str]:
-    """The words of a text in plain form that are of one script and no serial numbers, and ideographs side by side."""
-    words = {w for w in TOKEN.findall(text) if not has_digit(w) and (w.isascii() or len({s for c in w if (s := script(c))}) == 1)}
-    return words if text.isascii() else words | set(KANA_WORD.findall(text))
+    """The words of a text in plain form that are of one script, which the text does not only borrow, and no serial
+    numbers; and ideographs side by side."""
+    words = {w for w in TOKEN.findall(text) if not has_digit(w)}
+    if text.isascii():
+        return words
+    if FOREIGN.search(text):
+        borrowed = Scripts.of(text).borrowed
+        words = {w for w in words if w.isascii() or len(s := {x for c in w if (x := script(c))}) == 1 and not s & borrowed}
+    return words | set(KANA_WORD.findall(text))
 
 
 def _distinct(text: str, of) -> object:  # noqa: ANN001
@@ -188,7 +194,7 @@ def _distinct(text: str, of) -> object:  # noqa: ANN001
             new -= done
             if len(done) < 200_000:  # only spares repeats within a task; distinct() follows
                 done |= new
-            yield pd.DataFrame({"reading": sorted(new)})
+            yield pd.DataFrame({"reading": pd.Series(sorted(new), dtype="object")})
 
     return emit
 
