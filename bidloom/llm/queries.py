@@ -57,8 +57,8 @@ def p2_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Chained passages of pairs of segment classes, verbatim or nearly so."""
-    passages, _ = shared_spans.shared_passages(_segments(spark, d), "match_id", "text")
+    """Passages of pairs of segment classes that are verbatim or alike: at least 50 aligned columns, 0.8 of them agreeing."""
+    passages, _ = shared_spans.shared_passages(_segments(spark, d), "match_id", "text", alike=True)
     return passages.select("rep1", "rep2", "start1", "end1", "start2", "end2", F.round("identity", 4).alias("identity"))
 
 
