@@ -138,7 +138,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_scores(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 4).alias(c) for c in ("mean_pmi", "low_share", "flagged_share")])
+    return spam.spam_scores(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 4).alias(c) for c in ("mean_pmi", "low_share", "repeated_share", "flagged_share")])
 
 
 def _shipped(query: Query) -> Query:

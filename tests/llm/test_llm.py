@@ -448,6 +448,20 @@ def test_spam(spark):
     assert spam.spam_scores(spark.createDataFrame([(1, good[0] * 3000)], "d long, t string"), "d", "t").count() == 1
 
 
+def test_english_salad_has_low_pmi_and_keyword_phrases_repeat(spark):
+    rng = random.Random(4)
+    who, verb, what, where = ["the site engineer", "the quality officer", "the joint venture", "the storage crew"], ["shall submit", "agrees to update", "must verify", "has reviewed"], ["the cable routing drawings", "a revised quality manual", "the acceptance protocol", "the spare parts catalogue"], ["for the pumping station", "at the northern corridor", "without interruption of operation", "before the agreed milestone"]
+    sentence = lambda: f"{rng.choice(who)} {rng.choice(verb)} {rng.choice(what)} {rng.choice(where)}"
+    good = [". ".join(sentence() for _ in range(rng.randint(4, 12))) for _ in range(300)]
+    salad = [" ".join(rng.sample(w := " ".join(rng.sample(good, 3)).replace(".", "").split(), len(w))) for _ in range(10)]
+    stuffed = [", ".join(rng.choices(["cheap valves", "bid writing", "free template", "cable wholesale", "fast approval"], k=60)) for _ in range(10)]
+    rows = [(i, t) for i, t in enumerate(good + salad + stuffed)]
+    got = {r.doc_id: r for r in spam.spam_scores(spark.createDataFrame(rows, "d long, t string"), "d", "t", low_pmi=3.0).collect()}
+    assert sum(got[i].flagged_share >= 0.5 for i in range(300)) <= 3
+    assert all(got[i].low_share >= 0.5 for i in range(300, 310)) and all(got[i].repeated_share >= 0.5 for i in range(310, 320))
+    assert all(r.mean_pmi is not None for r in got.values())
+
+
 def test_word_hashes_are_those_of_equal_words():
     w = spam.Words(["甲乙丙 abc-d ABC 型号355 3.5 https://x.example/a b", None, "甲乙丙，型号7 www.x.example"])
     assert w.of.tolist() == [0] * 7 + [2] * 3 and w.link.tolist() == [False] * 5 + [True] + [False] * 3 + [True]
