@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm.lookalikes import plain_form
-from bidloom.session import bounded_rows, materialize
+from bidloom.session import SizeBoundExceeded, bounded_rows, materialize
 
 HEADER, BREAK, TABLE, GOES_ON, ENDS = range(5)
 HAN = "㐀-䶿一-鿿"
@@ -255,10 +255,8 @@ def repaired(text: str, logs: tuple, corpus: Corpus) -> str:
 
 
 def repaired_number(value: str) -> str:
-    """An identity number in whole. Proper ones of any kind stay: 15 or 18 characters, masked, other papers' numbers,
-    and 18 characters written in the usual groups of 6, 8 and 4."""
-    if re.fullmatch(r"\d{6} \d{8} \d{3}[\dXx]", value):
-        return value
+    """An identity number in whole: gaps, line ends, hyphens at them and page numbers between its parts away, letters read
+    for figures put right. Proper ones of any kind stay: 15 or 18 characters, masked, other papers' numbers."""
     parts = [p for p in re.split(r"[\r\n]+", value) if not PAGE.fullmatch(p.strip()) or (len(p.strip()) > 0 and p.strip().isdigit() and "\n" in value)]
     bare = "".join(re.sub(r"[-‐¬­]\s*$", "", p) if n < len(parts) - 1 else p for n, p in enumerate(parts))
     bare = re.sub(r"\s+", "", bare)
@@ -322,9 +320,13 @@ def corpus_terms(texts: DataFrame, text: str, logs: tuple, least: int = 3, most:
     than ``most`` of them are an error, never left out."""
     rows = texts.select(F.col(text).alias("text")).where("text is not null")
     sums = rows.mapInPandas(_term_counts(logs), "kind int, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    table = sums.where(F.col("n") >= least).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise SizeBoundExceeded(f"more than {most} frequent terms")
     words, around = {}, {}
-    for r in bounded_rows(sums.where(F.col("n") >= least), most, "frequent terms"):
-        (around if r["kind"] else words)[r["term"]] = r["n"]
+    for part in table.to_batches():
+        for kind, term, n in zip(*(part[c].to_pylist() for c in ("kind", "term", "n")), strict=True):
+            (around if kind else words)[term] = n
     return Corpus(words, around, 4.0)
 
 

@@ -66,7 +66,7 @@ def test_scan_repair(spark):
         ("997849901114649", "997849901114649"),
         ("997806********7243", "997806********7243"),
         ("E78221247", "E78221247"),
-        ("997990 20020318 6390", "997990 20020318 6390"),
+        ("997990 20020318 6390", "997990200203186390"),
         ("", ""),
     ],
 )
