@@ -1,6 +1,7 @@
 """Problem 5: map freely typed values to the entries of a reference list, and report the values no entry names.
 
-Method: a symmetric-delete dictionary of the list is broadcast (its size is checked) and gives, for each typed value,
+Method: a symmetric-delete dictionary of the list is broadcast (its size is checked; a larger list is joined by the same
+deletions instead) and gives, for each typed value,
 the entries within a bounded edit distance; candidates are ranked by a weighted Damerau-Levenshtein distance and then by
 how often the entry occurs, spelt exactly, in all rows. What no entry is near enough to is reported as a miss.
 """
@@ -17,8 +18,9 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bidloom.session import bounded_rows
+from bidloom.session import materialize
 
 # Traditional forms and their simplified counterparts, as met in names of costs.
 TRADITIONAL = "專備倉庫場標識數據製軟體費務網絡應設裝現車輛檢測員補償結構統類項錄處變電線纜氣熱質監驗環養護測繪評審業區遠雜險繳級訓練術報價開發廠樓園綠燈鋼鐵層壓閥門點運輸維續臨時違約罰獎勵經營紙張圖書館課題專利權認證諮詢關聯單總計稅見詳"
@@ -101,37 +103,69 @@ class Dictionary:
         return next((ref for dist, _, ref, n in ranked if dist <= self.edits(n)), -1)
 
 
-def reference_dictionary(reference: DataFrame, exact: DataFrame, most_entries: int = 200_000, most: int = 2) -> Dictionary:
-    """reference: (ref_id, canon_name, aliases); exact: (canon_name, n). Raises beyond ``most_entries`` entries.
+def reference_names(reference: DataFrame) -> DataFrame:
+    """(name, ref_id): the bare names and aliases of a list, each once. A name wins over an alias, the smaller ref_id over
+    the larger, where two entries read alike."""
+    bare_udf = F.pandas_udf(lambda s: s.map(bare, na_action="ignore"), T.StringType())
+    rows = reference.where("ref_id is not null and canon_name is not null")
+    each = rows.select("ref_id", F.lit(0).alias("rank"), F.col("canon_name").alias("n")).unionByName(rows.select("ref_id", F.lit(1).alias("rank"), F.explode("aliases").alias("n")))
+    named = each.where("n is not null").select("ref_id", "rank", bare_udf("n").alias("name")).where("name <> ''")
+    return named.groupBy("name").agg(F.min(F.struct("rank", "ref_id")).alias("b")).select("name", F.col("b.ref_id").alias("ref_id"))
 
-    A name wins over an alias, the smaller ref_id over the larger, where two entries read alike.
-    """
-    rows = bounded_rows(reference.select("ref_id", "canon_name", "aliases").where("canon_name is not null and ref_id is not null"), most_entries, "the reference list")
-    rows.sort(key=lambda r: r["ref_id"])
-    names: dict[str, int] = {}
-    for r in rows:
-        if b := bare(r["canon_name"]):
-            names.setdefault(b, r["ref_id"])
-    for r in rows:
-        for a in r["aliases"] or []:
-            if a and (b := bare(a)):
-                names.setdefault(b, r["ref_id"])
-    of = {r["canon_name"]: r["ref_id"] for r in rows}
-    frequency = {of[r["canon_name"]]: r["n"] for r in bounded_rows(exact, most_entries, "names in use") if r["canon_name"] in of}
-    return Dictionary(names, frequency, most)
-
-
-def map_to_reference(rows: DataFrame, key: str, value: str, reference: DataFrame, most_entries: int = 200_000, most: int = 2) -> DataFrame:
+
+def joined_look_up(values: DataFrame, names: DataFrame, frequency: DataFrame, most: int = 2) -> DataFrame:
+    """(v, ref_id) of distinct values: what Dictionary.look_up gives, for lists of any size. Values and names meet on a
+    deletion they share; distance, frequency and number rank what meets, as they do in the dictionary."""
+    edits = Dictionary({}, {}, most).edits
+
+    def value_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for v in batch["v"]:
+                word = bare(v)
+                cut = STRAY.sub("", word)
+                rows += [(v, word, True, word)] + [(v, cut, False, p) for p in (deletions(cut, most) if cut else ())]
+            yield pd.DataFrame(rows, columns=["v", "word", "whole", "part"])
+
+    def name_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(n, r, p) for n, r in zip(batch["name"], batch["ref_id"], strict=True) for p in deletions(n, edits(n))]
+            yield pd.DataFrame(rows, columns=["name", "ref_id", "part"])
+
+    @F.pandas_udf(T.DoubleType())
+    def rank(words: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([d if (d := weighted_distance(w, x)) <= edits(x) else None for w, x in zip(words, n, strict=True)], dtype="float64")
+
+    a = values.select("v").mapInPandas(value_parts, "v string, word string, whole boolean, part string")
+    b = names.select("name", F.col("ref_id").cast("long")).mapInPandas(name_parts, "name string, ref_id long, part string")
+    met = a.join(b, "part").where("not whole or word = name").select("v", "word", "whole", "name", "ref_id").distinct()
+    scored = met.withColumn("d", rank("word", "name")).where("d is not null and not isnan(d)").join(frequency, "ref_id", "left")
+    order = F.struct((F.col("word") != F.col("name")).alias("near"), (~F.col("whole")).alias("cut"), "d", (-F.coalesce("n", F.lit(0))).alias("f"), "ref_id")
+    best = scored.groupBy("v").agg(F.min(order).alias("b")).select("v", F.col("b.ref_id").alias("ref_id"))
+    return values.select("v").join(best, "v", "left").select("v", F.coalesce("ref_id", F.lit(-1)).cast("long").alias("ref_id"))
+
+
+def map_to_reference(rows: DataFrame, key: str, value: str, reference: DataFrame, most_deletions: int = 1_000_000, most: int = 2) -> DataFrame:
     """(key, ref_id) of each row whose value is neither null nor, character for character, a reference name.
 
     ref_id is -1 where no entry is within the bounded distance (also for empty values and mere marks). Repeated rows
-    of a key count once. Rows are mapped where they are: nothing is shuffled but the repeated keys, and a value that a
-    third of all rows share is looked up once per task.
+    of a key count once. Where the list's deletions number at most ``most_deletions`` rows are mapped where they are:
+    nothing is shuffled but the repeated keys, and a value that a third of all rows share is looked up once per task.
+    Beyond that the distinct values are joined with the deletions.
     """
     spark = rows.sparkSession
-    names = reference.select(F.col("canon_name").alias("name")).where("name is not null").distinct()
-    exact = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("name")).agg(F.count(F.lit(1)).alias("n")).join(names, "name", "left_semi").withColumnRenamed("name", "canon_name")
-    shared = spark.sparkContext.broadcast(reference_dictionary(reference, exact, most_entries, most))
+    known = reference.select(F.col("canon_name").alias("name")).where("name is not null").distinct()
+    exact = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("name")).agg(F.count(F.lit(1)).alias("n")).join(known, "name", "left_semi")
+    entries = reference.select(F.col("ref_id").cast("long").alias("ref_id"), F.col("canon_name").alias("name")).where("ref_id is not null")
+    frequency = exact.join(entries, "name").groupBy("ref_id").agg(F.max("n").alias("n"))
+    names = materialize(reference_names(reference))
+    length = F.length("name")
+    size = names.agg(F.coalesce(F.sum(1 + length + length * (length - 1) / 2), F.lit(0)).alias("s")).first()["s"]
+    typed = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where("v is not null").join(known, F.col("v") == F.col("name"), "left_anti")
+    if size > most_deletions:
+        mapped = joined_look_up(typed.select("v").distinct(), names, frequency, most)
+        return typed.join(mapped, "v").select(F.col("k").alias(key), "ref_id").distinct()
+    shared = spark.sparkContext.broadcast(Dictionary({r["name"]: r["ref_id"] for r in names.collect()}, {r["ref_id"]: r["n"] for r in frequency.collect()}, most))  # both within the bound
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -143,5 +177,4 @@ def map_to_reference(rows: DataFrame, key: str, value: str, reference: DataFrame
                     known[v] = shared.value.look_up(v)
             yield pd.DataFrame({key: batch["k"], "ref_id": batch["v"].map(known).astype("int64")})
 
-    typed = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where("v is not null").join(names, F.col("v") == F.col("name"), "left_anti")
     return typed.mapInPandas(look_up, f"{key} long, ref_id long").distinct()

@@ -5,7 +5,9 @@ rarest gram, by its count in all documents, of every stretch of ``run - gram + 1
 so every ``run`` successive characters of the item contain at least one whole seed and no exact copy of that length is
 missed, whatever else is edited. Grams and seeds are compared by 64-bit hashes and then character by character.
 
-The items are few and do not grow with the corpus; their number is checked before they are sent to the executors.
+The items are few and do not grow with the corpus; their number and size are checked before they are sent to the
+executors, and more of them go in parts. For edited copies the seeds are short and dense (``edited_leaks``), and the
+alignment decides.
 Documents are never shuffled: each is hashed where it is read, whole, with vector operations.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,6 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.session import bounded_rows
-
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISMATCH, GAP = 2, -2, -3
 
@@ -199,7 +199,16 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], diagonals: list[i
     return best.tolist()
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 40, gram: int = 20, most_items: int = 50_000, aligned: bool = True) -> DataFrame:
+def edited_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 22, gram: int = 11, columns: int = 40, similarity: float = 0.8) -> DataFrame:
+    """leaks with short seeds, one in every ``run - gram + 1`` positions, so a copy needs only ``run`` successive characters
+    as they were between its edits. What a seed joins is accepted by its alignment: by the score that ``similarity`` of
+    ``columns`` characters have if they agree, what differs among them not made up for; so shorter common phrases do not
+    count, and an edited passage has to be somewhat longer than an exact one."""
+    found = leaks(documents, doc_id, text, items, item_id, item_text, run, gram)
+    return found.where(F.col("score") >= round(columns * similarity * MATCH))
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 40, gram: int = 20, most_items: int = 50_000, most_chars: int = 50_000_000, aligned: bool = True) -> DataFrame:
     """(doc_id, item_id, longest_run, score, share): each document and item that a seed joins.
 
     longest_run: the most successive characters of the item, through a seed, that the document has; only letters,
@@ -208,8 +217,14 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     Null and empty texts have no grams and appear nowhere; items shorter than ``run`` cannot leak by this measure and
     have no seeds. Repeated items are compared once per item_id. Documents of any length are read whole.
     """
-    rows = bounded_rows(items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").dropDuplicates(["i"]), most_items, "evaluation items")
-    rows.sort(key=lambda r: r["i"])
+    once = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").dropDuplicates(["i"])
+    size = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
+    parts = max(1, -(-size["n"] // most_items), -(-size["c"] // most_chars))
+    if parts > 1:  # more items than one broadcast holds: part by part, each against all documents
+        share = [once.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k) for k in range(parts)]
+        each = [leaks(documents, doc_id, text, p, "i", "t", run, gram, 2 * most_items, 2 * most_chars, aligned) for p in share]
+        return reduce(DataFrame.unionByName, each)
+    rows = sorted(once.collect(), key=lambda r: r["i"])  # within both bounds
     ids, texts = [r["i"] for r in rows], [letters(r["t"]) for r in rows]
     all_grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashes(t, gram) for t in texts if len(t) >= run)]))
     counted = gram_counts(documents, text, all_grams, gram)

@@ -100,12 +100,14 @@ def pack(sizes: np.ndarray, capacity: int, slack: int | None = None) -> np.ndarr
     return where
 
 
-def packed(sizes: DataFrame, specs: DataFrame, bins_per_shard: int = 1000, most_specs: int = 1000) -> DataFrame:
+def packed(sizes: DataFrame, specs: DataFrame, bins_per_shard: int = 1000, most_specs: int = 1000, pieces_per_shard: int = 500_000) -> DataFrame:
     """(spec_id, capacity, doc_id, piece, token_from, n_tokens, container) of every piece for every capacity.
 
     sizes: (doc_id, n_tokens), doc_id unique, n_tokens null counts as 0. A document is cut only if it is larger than
     the capacity: into full containers of its own ("F-...") and a rest that is packed with the others ("S-...").
-    Specs with a null or non-positive capacity are ignored. An empty table of documents gives an empty result.
+    Specs with a null or non-positive capacity are ignored. An empty table of documents gives an empty result. A shard
+    has about ``bins_per_shard`` containers and at most about ``pieces_per_shard`` pieces, so that very many empty texts,
+    which need no space, do not fall into one.
     """
     rows = [r for r in bounded_rows(specs.select("spec_id", "capacity").distinct(), most_specs, "container_spec") if r["capacity"] and r["capacity"] > 0]
     sizes = materialize(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n")))
@@ -113,7 +115,7 @@ def packed(sizes: DataFrame, specs: DataFrame, bins_per_shard: int = 1000, most_
     if not rows:
         return sizes.sparkSession.createDataFrame([], schema)
     rest = [F.when(F.col("n") > r["capacity"], F.col("n") % r["capacity"]).otherwise(F.col("n")) for r in rows]
-    totals = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"t{i}") for i, c in enumerate(rest)]).first()
+    totals = sizes.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"t{i}") for i, c in enumerate(rest)]).first()
     each = F.array(
         *[
             F.struct(
@@ -121,7 +123,7 @@ def packed(sizes: DataFrame, specs: DataFrame, bins_per_shard: int = 1000, most_
                 F.lit(int(r["capacity"])).alias("capacity"),
                 F.when(F.col("n") > r["capacity"], F.floor(F.col("n") / r["capacity"])).otherwise(0).cast("int").alias("full"),
                 rest[i].cast("long").alias("rest"),
-                F.pmod(F.xxhash64("doc_id"), F.lit(max(1, round(totals[i] / r["capacity"] / bins_per_shard)))).cast("int").alias("shard"),
+                F.pmod(F.xxhash64("doc_id"), F.lit(max(1, round(totals[f"t{i}"] / r["capacity"] / bins_per_shard), totals["n"] // pieces_per_shard))).cast("int").alias("shard"),
             )
             for i, r in enumerate(rows)
         ]

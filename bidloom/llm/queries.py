@@ -128,8 +128,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and items that a seed joins, with their alignment."""
-    return _leaks(spark, d).select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
+    """Documents that hold an item or an edited copy of a part of one, by their alignment."""
+    found = leakage.edited_leaks(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id", "longest_run", "score", F.round("share", 4).alias("share"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -266,6 +266,21 @@ def test_symmetric_deletion_finds_every_near_name(a, b):
         assert canonical_names.weighted_distance(a, b) <= 2
 
 
+def test_joined_look_up_is_that_of_the_dictionary(spark):
+    rng = random.Random(3)
+    names = ["专项样品寄送服务费", "备用仓库保管支出", "夜间系统集成包干价", "桥架安装费", "仪表校准费", "人员培训", "保险"]
+    typed = [None, "", "。"] + names
+    for _ in range(120):
+        t = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randint(0, 1)] = rng.choice(["甲", "费", "1", " ", ""])
+        typed.append(rng.choice(["", "1. ", "本项目"]) + "".join(t) + rng.choice(["", "（元）", "为"]))
+    rows = spark.createDataFrame(list(enumerate(typed)), "k long, v string")
+    ref = spark.createDataFrame([(i, n, ["培训"] if i == 5 else None) for i, n in enumerate(names)], "ref_id int, canon_name string, aliases array<string>")
+    assert tuples(canonical_names.map_to_reference(rows, "k", "v", ref, most_deletions=0)) == tuples(canonical_names.map_to_reference(rows, "k", "v", ref))
+
+
 # --- 6 look-alikes
 
 
@@ -396,6 +411,23 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df, "doc_id", "text", spark.createDataFrame([], "i long, t string"), "i", "t").count() == 0
 
 
+def test_recall_on_edited_copies_of_items(spark):
+    """Passages of 90 to 160 characters, one in about 25 changed, and items in several parts."""
+    rng = random.Random(12)
+    text = lambda k: "".join(rng.choices("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳", k=k))
+    items = [(i, text(200)) for i in range(40)]
+    docs = []
+    for i, t in items:
+        a = rng.randint(0, 40)
+        edited = "".join(rng.choice(["", c + "改", "异"]) if rng.random() < 1 / 25 else c for c in t[a : a + rng.randint(90, 160)])
+        docs.append((i, text(150) + edited + text(150)))
+    df, it = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string")
+    found = {(r.doc_id, r.item_id) for r in leakage.edited_leaks(df, "d", "t", it, "i", "t").collect()}
+    assert len({p for p in found if p[0] == p[1]}) >= 36 and all(a == b for a, b in found)
+    one, many = (sorted(map(tuple, leakage.leaks(df, "d", "t", it, "i", "t", most_items=n).collect())) for n in (50_000, 9))
+    assert [r[:3] for r in one] == [r[:3] for r in many]
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = random.Random(7)
     for _ in range(10):
