@@ -68,6 +68,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scores.where("probability >= 0.5").select("match_id").distinct()
 
 
+def p3_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How the classifier of problem 3 does on hosts, and on families of phrases, that it was not trained on."""
+    return residue.validation(_texts(spark, d, "matches", "match_id", "pair_id", "text", "risk_level"), "match_id", "text", "risk_level", "pair_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every linked file."""
     return groups.connected_groups(read(spark, d, "pair_results").where("total_matches >= 1"), "file1", "file2")
@@ -153,7 +158,7 @@ def _shipped(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     all_of = (
-        p1_found, p1_texts, p1_numbers, p2_found, p2_shared, p2_passages, p3_found, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_classes, p6_forms,
+        p1_found, p1_texts, p1_numbers, p2_found, p2_shared, p2_passages, p3_found, p3_validation, p4_found, p4_sizes, p5_found, p5_missing, p6_found, p6_classes, p6_forms,
         p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores,
     )
     return {q.__name__: _shipped(q) for q in all_of}

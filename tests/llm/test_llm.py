@@ -197,8 +197,8 @@ def test_residue(spark):
     df = spark.createDataFrame(rows, "k long, t string, v string, h long").withColumn("probability", F.lit(1))
     got = {r.k: r.probability for r in residue.residue_scores(df, "k", "t", "v", "h").collect()}
     assert {k for k, p in got.items() if p >= 0.5} == {r[0] for r in rows if 1000 <= r[0] < 3000}
-    _, figures = residue.fitted(df, "k", "t", "v", "h", validate=True)
-    assert figures["recall"] > 0.9 and figures["precision"] > 0.9
+    figures = {r.held_out: r for r in residue.validation(df, "k", "t", "v", "h").collect()}
+    assert figures["hosts"].recall > 0.9 and figures["hosts"].precision > 0.9 and {"phrases: slot", "phrases: filler", "phrases: status_latin", "phrases: status_han"} < set(figures)
     assert residue.residue_scores(df.limit(0), "k", "t", "v", "h").count() == 0
 
 
