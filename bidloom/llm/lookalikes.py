@@ -184,19 +184,22 @@ def _words(text: str) -> set[str]:
     return words | set(KANA_WORD.findall(text))
 
 
-def _distinct(text: str, of) -> object:  # noqa: ANN001
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[str] = set()
-        for batch in batches:
-            new: set[str] = set()
-            for t in batch[text].dropna():
-                new |= of(plain_form(t))
-            new -= done
-            if len(done) < 200_000:  # only spares repeats within a task; distinct() follows
-                done |= new
-            yield pd.DataFrame({"reading": pd.Series(sorted(new), dtype="object")})
-
-    return emit
+def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(asked, reading): the readings that suspect tokens of the texts would have, and the words of the texts."""
+    done: tuple[set[str], set[str]] = (set(), set())
+    for batch in batches:
+        new: tuple[set[str], set[str]] = (set(), set())
+        for t in batch["t"].dropna():
+            plain = plain_form(t)
+            new[0].update(_words(plain))
+            new[1].update(_wanted(plain))
+        rows = []
+        for asked, (known, fresh) in enumerate(zip(done, new, strict=True)):
+            fresh -= known
+            if len(known) < 200_000:  # only spares repeats within a task; distinct() follows
+                known |= fresh
+            rows += [(bool(asked), r) for r in sorted(fresh)]
+        yield pd.DataFrame({"asked": pd.Series([r[0] for r in rows], dtype="bool"), "reading": pd.Series([r[1] for r in rows], dtype="object")})
 
 
 def _repair(text: str, known: set[str] | frozenset[str]) -> str:
@@ -222,15 +225,14 @@ def _repair(text: str, known: set[str] | frozenset[str]) -> str:
 def uniform_text(records: DataFrame, key: list[str], text: str, out: str = "uniform", most_known: int = 500_000) -> DataFrame:
     """(key..., text, out): each record's text in its one consistent form.
 
-    ``key`` must be unique. Null stays null and empty stays empty. The vocabulary is every word of all records; it is
+    Repeated rows stay repeated. Null stays null and empty stays empty. The vocabulary is every word of all records; it is
     never collected: only the readings that some suspect token would have are looked up in it. Those the corpus has are
     sent to the executors if they are at most ``most_known``; more come back to their records by a join on the key. Texts
     are never shuffled in the first case and not written anywhere in either; their plain form is derived where it is read.
     """
     texts = records.select(F.col(text).alias("t")).where("t is not null")
-    wanted = materialize(texts.mapInPandas(_distinct("t", _wanted), "reading string").distinct())
-    words = texts.mapInPandas(_distinct("t", _words), "reading string")
-    known = materialize(words.join(wanted, "reading", "left_semi").distinct())
+    found = texts.mapInPandas(_vocabulary, "asked boolean, reading string")
+    known = materialize(found.groupBy("reading").agg(F.max("asked").alias("asked"), F.min("asked").alias("word")).where("asked and not word").select("reading"))
     rows = known.limit(most_known + 1).collect()
     if len(rows) <= most_known:
         shared = records.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows))
@@ -249,7 +251,7 @@ def uniform_text(records: DataFrame, key: list[str], text: str, out: str = "unif
     def repair_by(s: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or t.isascii() else _repair(plain_form(t), frozenset(x) if x is not None else frozenset()) for t, x in zip(s, k, strict=True)])
 
-    asks = records.select(*key, F.explode(readings(F.col(text))).alias("reading"))
+    asks = records.select(*key, F.explode(readings(F.col(text))).alias("reading")).distinct()
     answers = asks.join(known, "reading").groupBy(*key).agg(F.collect_set("reading").alias("_known"))
     return records.select(*key, text).join(answers, key, "left").select(*key, text, repair_by(F.col(text), F.col("_known")).alias(out))
 

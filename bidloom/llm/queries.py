@@ -96,7 +96,7 @@ def p5_missing(spark: SparkSession, d: str) -> DataFrame:
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     texts = read(spark, d, "summarize_file").select(F.lit("summarize_file").alias("src"), F.col("file_id").alias("id"), "text")
     totals = read(spark, d, "prices").select(F.lit("prices").alias("src"), F.col("price_id").alias("id"), F.col("totalprice").alias("text"))
-    return texts.unionByName(totals).where("id is not null").dropDuplicates(["src", "id"])
+    return spread(texts).unionByName(totals).where("id is not null")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every field that had another."""
-    return lookalikes.uniform_text(_fields(spark, d), ["src", "id"], "text").where("not (text <=> uniform)").select("src", "id", "uniform")
+    return lookalikes.uniform_text(_fields(spark, d), ["src", "id"], "text").where("not (text <=> uniform)").select("src", "id", "uniform").distinct()
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
