@@ -232,7 +232,7 @@ def uniform_text(records: DataFrame, key: list[str], text: str, out: str = "unif
     """
     texts = records.select(F.col(text).alias("t")).where("t is not null")
     found = texts.mapInPandas(_vocabulary, "asked boolean, reading string")
-    known = materialize(found.groupBy("reading").agg(F.max("asked").alias("asked"), F.min("asked").alias("word")).where("asked and not word").select("reading"))
+    known = materialize(found.groupBy("reading").agg(F.max("asked").alias("asked"), F.min("asked").alias("only_asked")).where("asked and not only_asked").select("reading"))
     rows = known.limit(most_known + 1).collect()
     if len(rows) <= most_known:
         shared = records.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows))
