@@ -215,7 +215,7 @@ def price_kpis(spark, d):
 @query(
     f"""SELECT file_id, count(*) AS n_items, CAST(sum(t) AS DOUBLE) AS total, count(tax) AS n_taxed FROM (SELECT file_id, CAST(totalprice AS DECIMAL(20,2)) AS t, unitprice, nullif(regexp_extract(tax, '([0-9]+)', 1), '') AS tax FROM {ITEMS}
 WHERE length(trim(regexp_replace(pricename, '[ |\\n\\t]+', ' ', 'g'), ' ')) >= 2 AND NOT regexp_matches(pricename, '经理|工程师|工人|主任|主管|专员|总监|总裁|董事长|秘书|助理|合同|协议|订单|项目 *名称|供应商|投标人|采购人|灵敏度|dB|MHz|GHz|指标 *要求|功能 *要求|验收测试|测试评审|联通测试|差旅|交通|住宿|会议内容|出差|^其他$|^无$|^备注$|^说明$|^小计$|硬件费用|软件费用|其他费用|有限公司|有限责任|公司|集团|大学|学院|研究所')
-AND regexp_matches(pricename, '^[一-鿿]+$') AND totalprice > 0 AND (unitprice IS NULL OR CAST(unitprice AS DECIMAL(20,2)) <= 1.5 * CAST(totalprice AS DECIMAL(20,2)))) GROUP BY file_id"""
+AND regexp_matches(pricename, '^[一-鿿]+$') AND NOT regexp_matches(pricename, '^(合计|总价|小计|总计)') AND totalprice > 0 AND (unitprice IS NULL OR CAST(unitprice AS DECIMAL(20,2)) <= 1.5 * CAST(totalprice AS DECIMAL(20,2)))) GROUP BY file_id"""
 )
 def rendered_items(spark, d):
     """Cost lines rendered as price tables of their files and read back; lines whose name is plain ideographs."""
@@ -308,12 +308,6 @@ def letter_people(spark, d):
     return people.extracted_people(pages, "person_id", "text", _family(spark, d)).where("field in ('authorized_rep', 'legal_rep', 'company')").select("person_id", "field", "value")
 
 
-@query()
-def file_people(spark, d):
-    """People and labelled fields in the texts of all files."""
-    return people.extracted_people(_once(spark, d, "summarize_file", "file_id").select("file_id", "text"), "file_id", "text", _family(spark, d))
-
-
 @query(
     f"""WITH p AS (SELECT person_id, id_numbers, emails, bank_accounts FROM {PEOPLE})
 SELECT DISTINCT person_id, 'id_number' AS kind, v AS value FROM (SELECT person_id, unnest(id_numbers) AS v FROM p) WHERE regexp_matches(v, '^[0-9]{{17}}[0-9X]$') AND substring(v, 7, 2) IN ('18', '19', '20') AND substring(v, 11, 2) BETWEEN '01' AND '12' AND substring(v, 13, 2) BETWEEN '01' AND '31'
