@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.functions.text import FOLD_FROM, FOLD_TO, SKIPPED, match_form
+from bidloom.session import materialize
 
 _DOTS = re.compile("[.．…]{2,}")
 _SKIP = re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SKIPPED[:-1]))
@@ -212,11 +213,11 @@ def segments_of_pairs(compared: DataFrame, least: int = 15) -> DataFrame:
 BINS = 48
 
 
-def _histogram(form: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def _histogram(form: pd.Series) -> pd.Series:
     """How many characters fall into each of a fixed number of bins; the smaller of two histograms bounds what two
     forms can have in common from above."""
-    codes = F.transform(F.split(form, ""), lambda c: F.pmod(F.ascii(c), F.lit(BINS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
+    return form.map(lambda f: np.bincount(np.frombuffer(f.encode("utf-32-le", "surrogatepass"), "<u4") % BINS, minlength=BINS).astype(np.int16))
 
 
 def paragraph_forms(texts: DataFrame, key: str, text: str, low: int = 40, high: int = 500) -> DataFrame:
@@ -255,10 +256,10 @@ def near_paragraphs(pairs: DataFrame, texts: DataFrame, key: str, text: str, low
     forms = paragraph_forms(texts, key, text)
     bands = paragraph_bands(pairs, forms).where("h1 <> h2")
     distinct = forms.groupBy("h").agg(F.first("form").alias("form"), F.first("n").alias("n"))
-    distinct = distinct.withColumn("bins", _histogram(F.col("form")))
+    distinct = distinct.withColumn("bins", _histogram("form"))
     a, b = (distinct.select(*[F.col(c).alias(f"{c}{i}") for c in distinct.columns]) for i in (1, 2))
     todo = bands.select("h1", "h2").distinct().join(a, "h1").join(b, "h2")
-    shared = F.aggregate(F.zip_with("bins1", "bins2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    shared = F.aggregate(F.zip_with("bins1", "bins2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
     possible = todo.where(2.0 * shared >= low * (F.col("n1") + F.col("n2"))).repartition(F.col("h2"))
     scored = possible.select("h1", "h2", _ratio("form1", "form2").alias("ratio")).where((F.col("ratio") >= low) & (F.col("ratio") < high))
     best = bands.join(scored, ["h1", "h2"]).groupBy("left", "right", "ord").agg(F.max_by(F.struct("h2", "ratio"), F.struct("ratio", "h2")).alias("b"))
@@ -281,18 +282,52 @@ def template_windows(texts: DataFrame, scope: str, group: str, text: str, width:
     return windows.groupBy("scope", "form").agg(F.countDistinct("group").alias("n_groups")).join(everyone, "scope").where(F.col("n_groups") >= F.greatest(F.lit(least), F.ceil(F.col("n_all") * ratio)))
 
 
-def containments(needles: DataFrame, hay: DataFrame, gram: int) -> DataFrame:
+def containments(needles: DataFrame, hay: DataFrame, gram: int, most: int = 1_000_000) -> DataFrame:
     """(needle, hay): ids of needles (id, form) that stand in a hay (id, form); needles shorter than ``gram`` in none.
 
-    An equi-join on the first ``gram`` characters of a needle and every place of a hay, then the whole needle is
-    compared at that place; neither side is collected, whatever its size.
+    The hash of the first ``gram`` characters of a needle meets that of every place of a hay, then the whole needle is
+    compared at that place. If the hay has at most ``most`` places their hashes are sent out and only needles that begin
+    like one go on; if at most ``most`` needles go on theirs are sent out and only places that hit are kept. Beyond both
+    bounds the two sides are joined. Forms are shuffled only for what hits.
     """
-    heads = needles.where(F.length("form") >= gram).select(F.col("id").alias("needle"), F.col("form").alias("nf"), F.xxhash64(F.substring("form", 1, gram)).alias("g"))
-    wanted = heads.select("g").distinct()
-    places = F.explode(F.sequence(F.lit(1), F.length("form") - (gram - 1)))
-    at = hay.where(F.length("form") >= gram).select(F.col("id").alias("hay"), "form", places.alias("p")).select("hay", "p", F.xxhash64(F.substring("form", F.col("p"), F.lit(gram))).alias("g"))
-    met = at.join(wanted, "g", "left_semi").join(heads, "g")
-    whole = met.join(hay.select(F.col("id").alias("hay"), "form"), "hay")
+    spark, needle_kind, hay_kind = hay.sparkSession, dict(needles.dtypes)["id"], dict(hay.dtypes)["id"]
+    hay = hay.where(F.length("form") >= gram).select("id", "form")
+
+    def sent(hashes: DataFrame) -> object | None:
+        some = hashes.limit(most + 1).toArrow().column(0).to_numpy()
+        return spark.sparkContext.broadcast(np.sort(some)) if len(some) <= most else None
+
+    def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+    def places(known: object | None):  # noqa: ANN202
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ids, at, grams = [], [], []
+                for k, form in zip(batch["id"], batch["form"], strict=True):
+                    h = gram_hashes(form, gram).view(np.int64)
+                    hit = np.arange(len(h)) if known is None else np.flatnonzero(among(h, known.value))
+                    ids += [k] * len(hit)
+                    at.append(hit + 1)
+                    grams.append(h[hit])
+                if ids:
+                    yield pd.DataFrame({"hay": ids, "p": np.concatenate(at).astype(np.int32), "g": np.concatenate(grams)})
+
+        return hay.mapInPandas(emit, f"hay {hay_kind}, p int, g long")
+
+    n_places = hay.agg(F.coalesce(F.sum(F.length("form") - (gram - 1)), F.lit(0)).alias("n")).first()["n"]
+    beginnings = sent(places(None).select("g").distinct()) if n_places <= most else None
+
+    def heads_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            g = np.array([gram_hashes(f[:gram], gram)[0] for f in batch["form"]], np.uint64).view(np.int64)
+            on = among(g, beginnings.value) if beginnings is not None else np.ones(len(g), bool)
+            if on.any():
+                yield pd.DataFrame({"needle": batch["id"][on], "nf": batch["form"][on], "g": g[on]})
+
+    heads = materialize(needles.where(F.length("form") >= gram).select("id", "form").mapInPandas(heads_of, f"needle {needle_kind}, nf string, g long"))
+    met = places(sent(heads.select("g").distinct())).join(heads, "g")
+    whole = met.join(hay.withColumnRenamed("id", "hay"), "hay")
     return whole.where(F.substring("form", F.col("p"), F.length("nf")) == F.col("nf")).select("needle", "hay").distinct()
 
 

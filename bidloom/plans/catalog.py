@@ -606,7 +606,7 @@ def sql_functions(spark, d):
 
 @query
 def contact_stream(spark, d):
-    """Contacts shared by groups as the stream finds them: the personnel files come in as a stream, batch by batch."""
+    """Contacts and people shared by groups as the stream finds them: personnel files come in as a stream, by batches."""
     from uuid import uuid4
 
     from bidloom.session import ensure_checkpoint_dir
@@ -616,7 +616,7 @@ def contact_stream(spark, d):
     at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid4().hex}"
     table = read(spark, d, "personnel")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
-    start(spark, f"{d}/personnel.parquet*", f"{at}/stored", f"{at}/links", f"{at}/checkpoint", schema).awaitTermination()
+    start(spark, f"{d}/personnel.parquet*", f"{at}/stored", f"{at}/links", f"{at}/checkpoint", schema, POOLS | {"names": "person"}, _named).awaitTermination()
     return spark.read.parquet(f"{at}/links/_batch=*").select("left", "right", "kind", "value").distinct()
 
 

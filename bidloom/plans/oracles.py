@@ -175,7 +175,7 @@ SELECT DISTINCT least(a.g, b.g) AS "left", greatest(a.g, b.g) AS "right", a.kind
     "shared_contact_pairs": f'''WITH t AS (SELECT * FROM {TIDY}), n AS (SELECT kind, value, count(DISTINCT "group") AS n_groups, min("group") AS first_group FROM t GROUP BY kind, value HAVING count(DISTINCT "group") >= 2), k AS (SELECT * FROM t JOIN n USING (kind, value))
 SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value, a.n_groups FROM k AS a JOIN k AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group" WHERE a.n_groups <= 50
 UNION ALL SELECT first_group, "group", kind, value, n_groups FROM k WHERE n_groups > 50 AND "group" <> first_group''',
-    "contact_stream": f'''WITH t AS (SELECT * FROM {TIDY} WHERE kind <> 'person') SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM t AS a JOIN t AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"''',
+    "contact_stream": f'''WITH t AS (SELECT * FROM {TIDY}) SELECT a."group" AS "left", b."group" AS "right", a.kind, a.value FROM t AS a JOIN t AS b ON a.kind = b.kind AND a.value = b.value AND a."group" < b."group"''',
     "name_mentions": "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM documents JOIN (SELECT DISTINCT item_id, regexp_extract(text, '^[^。.!?！？]+', 0) AS head FROM eval_items) AS i ON contains(documents.text, head) WHERE head <> '' GROUP BY item_id",
     "cost_name_mentions": "SELECT ref_id, count(DISTINCT doc_id) AS n_docs FROM documents JOIN (SELECT ref_id, unnest(list_append(coalesce(aliases, []), canon_name)) AS name FROM price_ref) AS r ON contains(documents.text, name) WHERE name <> '' GROUP BY ref_id",
     "typed_name_mentions": f"SELECT ref_id, count(DISTINCT item_id) AS n_items FROM {ITEMS} AS i JOIN (SELECT ref_id, unnest(list_append(coalesce(aliases, []), canon_name)) AS name FROM price_ref) AS r ON contains(i.pricename, name) WHERE name <> '' GROUP BY ref_id",

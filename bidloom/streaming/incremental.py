@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +28,9 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str, checkpoint: str, schema: str) -> StreamingQuery:
+def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str, checkpoint: str, schema: str, pools: dict[str, str] = POOLS, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Personnel files that arrive in ``incoming``: their links to all earlier ones go to ``links``, they themselves to
-    ``stored``. A batch that is run again replaces what it wrote, by its number."""
+    ``stored``. A batch that is run again replaces what it wrote, by its number. ``prepare`` adds what further pools need."""
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -36,7 +38,8 @@ def contact_stream(spark: SparkSession, incoming: str, stored: str, links: str,
         before = once.limit(0).withColumn("_batch", F.lit(0))
         if _exists(session, stored):  # any failure to read what is there must fail the batch, or its links are lost
             before = session.read.schema(f"{schema}, _batch int").parquet(stored).where(F.col("_batch") != number)
-        new_links(once, before).write.mode("overwrite").parquet(f"{links}/_batch={number}")
+        ready = prepare or (lambda df: df)
+        new_links(ready(once), ready(before), pools).write.mode("overwrite").parquet(f"{links}/_batch={number}")
         once.write.mode("overwrite").parquet(f"{stored}/_batch={number}")
 
     return spark.readStream.schema(schema).parquet(incoming).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
