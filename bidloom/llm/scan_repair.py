@@ -2,8 +2,10 @@
 
 Method: the lines of a text are labelled by a hidden Markov model as header, break (page number), table row, line that
 its paragraph continues after, or line that ends a paragraph, from layout features; paragraphs are put together
-accordingly. The model's probabilities are counted over all texts: first with labels that the features alone suggest,
-then with the labels that the model itself gives (one round of Viterbi training). Misread characters are repaired in
+accordingly. The model's probabilities are counted over all texts: first from the lines that are plain by themselves,
+then from all lines with the labels that the model itself gives (two rounds of Viterbi training); the lines that are not
+plain (short open lines, titles that stand once, lines before something that reads like a beginning) only the model
+decides. Misread characters are repaired in
 the joined text, from counts over all texts: words and characters in context that are rare become the look-alike that
 is frequent there. Identity numbers are repaired by the same marks (breaks, gaps, page numbers, letters read for digits).
 
@@ -14,6 +16,7 @@ A record is damaged exactly if the repair changes it.
 
 from __future__ import annotations
 
+import difflib
 import math
 import re
 from collections import Counter
@@ -56,46 +59,83 @@ def squeezed(line: str) -> str:
     return re.sub(r"[0O]", "o", re.sub(r"[1lI|]", "l", s)).lower().replace("c", "e")
 
 
-def observe(lines: list[str]) -> list[int]:
-    """The layout features of each line, as one number."""
+SIZES = (4, 3, 2, 3, 3, 4, 3, 2)  # values of each feature
+CONTINUES = re.compile(f"[a-z{HAN}]")
+MIXED = re.compile(f"[A-Za-z]{{2}}[{HAN}]|[{HAN}][A-Za-z]{{2}}")  # as inside a sentence
+BEGINS = re.compile(r"(?:第[一二三四五六七八九十\d]+[章节条]|[一二三四五六七八九十]{1,3}[、.]|\d{1,2}(?:\.\d{1,2})*[、.\s]|[（(][一二三四五六七八九十\d]{1,2}[)）])")
+
+
+def observe(lines: list[str]) -> list[tuple[int, ...]]:
+    """The layout features of each line: what it looks like (blank, page number, table row, text), whether it comes again in
+    the text (as it is, nearly so), whether it reads like a title, how it ends (closed, open, hyphen), how wide it is for its text, where on its
+    page it stands (first line, after or before a page number, elsewhere), how the next line begins (as a continuation,
+    as something new, not at all), whether marks of sentences stand inside it."""
     inner = [plain_form(x.rstrip("­¬")).strip() if x.isascii() is False else x.strip() for x in lines]
-    short = [bool(x) and len(x) <= 48 and "|" not in x and not PAGE.fullmatch(x) and not re.search(r"[。，,;；]", x) for x in inner]
-    again = Counter(squeezed(x) for x, s in zip(inner, short, strict=True) if s)
+    page = [bool(PAGE.fullmatch(x)) for x in inner]
+    short = [bool(x) and len(x) <= 48 and "|" not in x and not p and not re.search(r"[。，,;；]", x) for x, p in zip(inner, page, strict=True)]
+    bare = [squeezed(x) if s else "" for x, s in zip(inner, short, strict=True)]
+    again = Counter(b for b in bare if b)
+    near = _near_repeats(Counter(b for b in again if not MIXED.search(b)))
     widths = sorted(len(x) for x in inner if x and "|" not in x)
-    wide = widths[len(widths) * 3 // 4] * 0.75 if widths else 0
+    wide = widths[len(widths) * 3 // 4] if widths else 0
+    filled = [n for n, x in enumerate(inner) if x]
+    before = dict(zip(filled[1:], filled, strict=False))
+    after = dict(zip(filled, filled[1:], strict=False))
     out = []
     for n, (x, s) in enumerate(zip(inner, short, strict=True)):
-        shape = 0 if not x else 1 if PAGE.fullmatch(x) else 2 if x.count("|") else 3
-        repeats = s and again[squeezed(x)] > 1 and len(x) >= 4
-        title = s and bool(re.fullmatch(f"(?:\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,3}}\\s+)?[{HAN}A-Za-z0-9]{{2,24}}(?:\\s+[{HAN}A-Za-z0-9\\-]{{1,16}}){{1,5}}", x)) and not CLOSED.search(x)
-        opened = not CLOSED.search(x) or bool(HYPHEN.search(lines[n]))
-        out.append((((shape * 2 + repeats) * 2 + title) * 2 + opened) * 2 * 2 + (n == 0) * 2 + (len(x) >= wide))
+        shape = 0 if not x else 1 if page[n] else 2 if x.count("|") else 3
+        repeats = (2 if again[bare[n]] > 1 else 1 if bare[n] in near else 0) if s and len(x) >= 4 else 0
+        title = s and bool(re.fullmatch(f"(?:\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,3}}\\s+)?[{HAN}A-Za-z0-9]{{2,24}}(?:\\s+[{HAN}A-Za-z0-9\\-]{{1,16}}){{1,5}}", x)) and not CLOSED.search(x) and not MIXED.search(x)
+        end = 2 if HYPHEN.search(lines[n]) else 0 if CLOSED.search(x) or not x else 1
+        width = 2 if len(x) >= 0.75 * wide else 1 if len(x) >= 0.5 * wide else 0
+        place = 0 if n == 0 else 1 if n in before and page[before[n]] else 2 if n in after and page[after[n]] else 3
+        following = inner[after[n]] if n in after else ""
+        ahead = 0 if not following else 2 if BEGINS.match(following) else 1 if CONTINUES.match(following) else 0
+        out.append((shape, repeats, int(title), end, width, place, ahead, int(bool(re.search(r"[。，,;；]", x[:-1])))))
+    return out
+
+
+def _near_repeats(lines: Counter[str], least: float = 0.75) -> set[str]:
+    """The short lines that are nearly another one, as misread running headers are."""
+    out: set[str] = set()
+    by_length = sorted((b for b in lines if len(b) >= 4), key=len)
+    for i, a in enumerate(by_length):
+        for b in by_length[i + 1 :]:
+            if len(b) > len(a) * (2 - least) / least:
+                break
+            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            if (a not in out or b not in out) and m.quick_ratio() >= least and m.ratio() >= least:
+                out |= {a, b}
     return out
 
 
-def suggested(symbols: list[int]) -> list[int]:
-    """Labels that the features alone suggest."""
+def suggested(symbols: list[tuple[int, ...]]) -> list[int]:
+    """Labels of the lines that are plain by themselves, -1 for those that the model must learn to tell: open lines that
+    are short for their text, titles that do not come again, and lines before something that reads like a beginning."""
     out = []
-    for s in symbols:
-        first, opened, title, repeats, shape = s >> 1 & 1, s >> 2 & 1, s >> 3 & 1, s >> 4 & 1, s >> 5
+    for shape, repeats, title, end, width, place, ahead, _ in symbols:
         if shape == 1:
             out.append(BREAK)
         elif shape == 2:
             out.append(TABLE)
-        elif repeats and title or first and title:
+        elif repeats == 2 and title or title and place == 0:
             out.append(HEADER)
+        elif shape == 0 or end == 0:
+            out.append(ENDS)
+        elif title or width < 2 and end == 1 or ahead == 2:
+            out.append(-1)
         else:
-            out.append(GOES_ON if opened and shape else ENDS)
+            out.append(GOES_ON)
     return out
 
 
 @dataclass
 class Model:
-    """Counts of a hidden Markov model; unseen events have a small count."""
+    """Counts of a hidden Markov model whose features are independent given the label; unseen events have a small count."""
 
     start: list[float] = field(default_factory=lambda: [0.1] * 5)
     step: list[list[float]] = field(default_factory=lambda: [[0.1] * 5 for _ in range(5)])
-    emit: list[dict[int, float]] = field(default_factory=lambda: [{} for _ in range(5)])
+    emit: list[list[list[float]]] = field(default_factory=lambda: [[[0.1] * n for n in SIZES] for _ in range(5)])
 
     def add(self, kind: str, a: int, b: int, n: float) -> None:
         if kind == "start":
@@ -103,25 +143,34 @@ class Model:
         elif kind == "step":
             self.step[a][b] += n
         else:
-            self.emit[a][b] = self.emit[a].get(b, 0.0) + n
+            self.emit[a][b // 8][b % 8] += n
 
-    def logs(self) -> tuple[list[float], list[list[float]], list[dict[int, float]], list[float]]:
-        start = [math.log(x / sum(self.start)) for x in self.start]
-        step = [[math.log(x / sum(row)) for x in row] for row in self.step]
-        total = [sum(e.values()) + 32 * 0.01 for e in self.emit]
-        emit = [{o: math.log((n + 0.01) / t) for o, n in e.items()} for e, t in zip(self.emit, total, strict=True)]
-        return start, step, emit, [math.log(0.01 / t) for t in total]
+    def logs(self) -> tuple[list[float], list[list[float]], list[list[list[float]]]]:
+        log = lambda row: [math.log(x / sum(row)) for x in row]
+        return log(self.start), [log(row) for row in self.step], [[log(f) for f in of] for of in self.emit]
 
 
-def viterbi(symbols: list[int], logs: tuple) -> list[int]:
-    start, step, emit, floor = logs
+def viterbi(symbols: list[tuple[int, ...]], logs: tuple) -> list[int]:
+    start, step, emit = logs
     if not symbols:
         return []
-    score = [start[k] + emit[k].get(symbols[0], floor[k]) for k in range(5)]
+    seen: dict[tuple[int, ...], list[float]] = {}
+
+    def of(o: tuple[int, ...]) -> list[float]:
+        if o not in seen:
+            seen[o] = [sum(e[f][v] for f, v in enumerate(o)) for e in emit]
+            for label in range(5):  # page numbers and table rows show by their form, and a header reads like a title or comes again
+                possible = (label == BREAK) == (o[0] == 1) and (label == TABLE) == (o[0] == 2) and (label != HEADER or o[1] or o[2])
+                if not possible:
+                    seen[o][label] = -1e9
+        return seen[o]
+
+    score = [start[k] + of(symbols[0])[k] for k in range(5)]
     back = []
     for o in symbols[1:]:
+        e = of(o)
         best = [max(range(5), key=lambda j, k=k: score[j] + step[j][k]) for k in range(5)]
-        score = [score[best[k]] + step[best[k]][k] + emit[k].get(o, floor[k]) for k in range(5)]
+        score = [score[best[k]] + step[best[k]][k] + e[k] for k in range(5)]
         back.append(best)
     k = max(range(5), key=score.__getitem__)
     out = [k]
@@ -249,7 +298,7 @@ def repaired(text: str, logs: tuple, corpus: Corpus) -> str:
     lines = reread(whole, corpus).split("\n")
     symbols = observe(lines)
     for n, (line, s) in enumerate(zip(lines, symbols, strict=True)):
-        if s >> 5 == 3 and not s >> 3 & 1 and "|" not in line and CLOSED.search(line.strip()):
+        if s[0] == 3 and not s[2] and "|" not in line and CLOSED.search(line.strip()):
             lines[n] = GAP.sub("", line)
     return "\n".join(lines)
 
@@ -274,16 +323,18 @@ def _label_counts(logs: tuple | None):
             for text in batch["text"]:
                 symbols = observe(text.split("\n"))
                 labels = suggested(symbols) if logs is None else viterbi(symbols, logs)
-                c["start", labels[0], 0] += 1
-                c.update(("step", a, b) for a, b in zip(labels, labels[1:], strict=False))
-                c.update(("emit", a, o) for a, o in zip(labels, symbols, strict=True))
+                if labels[0] >= 0:
+                    c["start", labels[0], 0] += 1
+                c.update(("step", a, b) for a, b in zip(labels, labels[1:], strict=False) if a >= 0 and b >= 0)
+                c.update(("emit", a, 8 * f + v) for a, o in zip(labels, symbols, strict=True) if a >= 0 for f, v in enumerate(o))
         yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "a", "b", "n"])
 
     return count
 
 
-def line_model(texts: DataFrame, text: str, rounds: int = 1) -> Model:
-    """The model from all texts; its size does not depend on them (5 labels, at most 320 symbols)."""
+def line_model(texts: DataFrame, text: str, rounds: int = 2) -> Model:
+    """The model from all texts: first from the lines that are plain by themselves, then from all lines as the model labels
+    them. Its size does not depend on the texts (5 labels, 24 values of features)."""
     rows = texts.select(F.col(text).alias("text")).where("text is not null")
     model = None
     for _ in range(rounds + 1):

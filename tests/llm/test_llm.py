@@ -79,6 +79,18 @@ def test_identity_numbers_of_records(spark):
     assert tuples(scan_repair.repaired_numbers(rows, "id", "v").select("id", "damaged")) == [(1, True)]
 
 
+def test_the_line_model_tells_misread_headers(spark):
+    """A running header that is misread each time stands once as it is; no rule of the weak labels covers it."""
+    clean = clean_texts(120)
+    header = "某某水厂 技术标书"
+    scans = [(300 + i, f"{header}\n{wrapped(BODY)}\n— {i} —\n{header}\n{wrapped(BODY)}\n— {i + 1} —") for i in range(30)]
+    odd = f"{header}\n{BODY[:20]}\n— 3 —\n某某水广 技木标书\n{BODY[20:]}\n— 4 —"
+    labels = scan_repair.suggested(scan_repair.observe(odd.split("\n")))
+    assert labels[3] == -1
+    got = {r.id: r.repaired for r in scan_repair.repaired_texts(spark.createDataFrame([*clean, *scans, (900, odd)], "id long, text string"), "id", "text").collect()}
+    assert got[900] == f"{header}\n{BODY}" and all(got[i] == t for i, t in clean)
+
+
 # --- 2 shared spans
 
 
