@@ -293,12 +293,11 @@ def reread(text: str, corpus: Corpus) -> str:
 GAP = re.compile(f"(?<=[{HAN}])[ \t]+(?=[{HAN}])")
 
 
-def repaired(text: str, logs: tuple, corpus: Corpus) -> str:
-    whole = joined(text, logs)
+def reread_lines(whole: str, corpus: Corpus) -> str:
+    """The joined text with misread characters put right and gaps between ideographs closed in its sentences."""
     lines = reread(whole, corpus).split("\n")
-    symbols = observe(lines)
-    for n, (line, s) in enumerate(zip(lines, symbols, strict=True)):
-        if s[0] == 3 and not s[2] and "|" not in line and CLOSED.search(line.strip()):
+    for n, line in enumerate(lines):
+        if CLOSED.search(line.strip()) and "|" not in line and not PAGE.fullmatch(line.strip()):
             lines[n] = GAP.sub("", line)
     return "\n".join(lines)
 
@@ -316,17 +315,26 @@ def repaired_number(value: str) -> str:
     return bare if re.fullmatch(r"[\dA-Za-z*]+", bare) else value
 
 
+def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text the features of its lines, a number in base 8 for each line."""
+    for batch in batches:
+        yield pd.DataFrame({"symbols": [[sum(v << 3 * f for f, v in enumerate(o)) for o in observe(t.split("\n"))] for t in batch["text"]]})
+
+
 def _label_counts(logs: tuple | None):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter[tuple[str, int, int]] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                symbols = observe(text.split("\n"))
+            for packed in batch["symbols"]:
+                symbols = [tuple(int(p) >> 3 * f & 7 for f in range(len(SIZES))) for p in packed]
                 labels = suggested(symbols) if logs is None else viterbi(symbols, logs)
                 if labels[0] >= 0:
                     c["start", labels[0], 0] += 1
                 c.update(("step", a, b) for a, b in zip(labels, labels[1:], strict=False) if a >= 0 and b >= 0)
-                c.update(("emit", a, 8 * f + v) for a, o in zip(labels, symbols, strict=True) if a >= 0 for f, v in enumerate(o))
+                for (a, o), n in Counter(zip(labels, symbols, strict=True)).items():
+                    if a >= 0:
+                        for f, v in enumerate(o):
+                            c["emit", a, 8 * f + v] += n
         yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "a", "b", "n"])
 
     return count
@@ -334,8 +342,8 @@ def _label_counts(logs: tuple | None):
 
 def line_model(texts: DataFrame, text: str, rounds: int = 2) -> Model:
     """The model from all texts: first from the lines that are plain by themselves, then from all lines as the model labels
-    them. Its size does not depend on the texts (5 labels, 24 values of features)."""
-    rows = texts.select(F.col(text).alias("text")).where("text is not null")
+    them. Its size does not depend on the texts (5 labels, 24 values of features); features are taken once for all rounds."""
+    rows = materialize(texts.select(F.col(text).alias("text")).where("text is not null").mapInPandas(_symbols, "symbols array<int>"))
     model = None
     for _ in range(rounds + 1):
         counts = rows.mapInPandas(_label_counts(model.logs() if model else None), "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -345,32 +353,29 @@ def line_model(texts: DataFrame, text: str, rounds: int = 2) -> Model:
     return model
 
 
-def _term_counts(logs: tuple):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter[tuple[int, str]] = Counter()
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    c: Counter[tuple[int, str]] = Counter()
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "term", "n"])
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "term", "n"])
 
-        for batch in batches:
-            for text in batch["text"]:
-                whole = plain_form(joined(text, logs))
-                c.update((0, w) for w in WORD.findall(whole) if len(w) >= 3)
-                for _, a, x, b in contexts(whole, COUNTED):
-                    c.update(((1, a + x + b), (1, f"2{a}{x}"), (1, f"2{x}{b}")))
-            if len(c) > 500_000:
-                yield out()
-                c.clear()
-        yield out()
-
-    return count
+    for batch in batches:
+        for text in batch["text"]:
+            whole = plain_form(text)
+            c.update((0, w) for w in WORD.findall(whole) if len(w) >= 3)
+            for _, a, x, b in contexts(whole, COUNTED):
+                c.update(((1, a + x + b), (1, f"2{a}{x}"), (1, f"2{x}{b}")))
+        if len(c) > 500_000:
+            yield out()
+            c.clear()
+    yield out()
 
 
-def corpus_terms(texts: DataFrame, text: str, logs: tuple, least: int = 3, most: int = 4_000_000) -> Corpus:
-    """Words and characters in context that stand at least ``least`` times in all texts, whatever their number. More
+def corpus_terms(texts: DataFrame, text: str, least: int = 3, most: int = 4_000_000) -> Corpus:
+    """Words and characters in context of joined texts that stand at least ``least`` times in all texts, whatever their number. More
     than ``most`` of them are an error, never left out."""
     rows = texts.select(F.col(text).alias("text")).where("text is not null")
-    sums = rows.mapInPandas(_term_counts(logs), "kind int, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    sums = rows.mapInPandas(_term_counts, "kind int, term string, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
     table = sums.where(F.col("n") >= least).limit(most + 1).toArrow()
     if table.num_rows > most:
         raise SizeBoundExceeded(f"more than {most} frequent terms")
@@ -387,15 +392,21 @@ def repaired_texts(records: DataFrame, key: str, text: str) -> DataFrame:
     Null stays null and empty stays empty, undamaged; repeated records are repaired alike. Texts are handled whole,
     whatever their length.
     """
-    rows = materialize(records.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    logs = line_model(rows, "text").logs()
-    shared = rows.sparkSession.sparkContext.broadcast((logs, corpus_terms(rows, "text", logs)))
+    rows = records.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    shared_logs = rows.sparkSession.sparkContext.broadcast(line_model(rows, "text").logs())
+
+    @F.pandas_udf(T.StringType())
+    def join(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: joined(t, shared_logs.value) if t else t, na_action="ignore")
+
+    rows = materialize(rows.withColumn("whole", join("text")))
+    shared = rows.sparkSession.sparkContext.broadcast(corpus_terms(rows, "whole"))
 
     @F.pandas_udf(T.StringType())
     def repair(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: repaired(t, *shared.value) if t else t)
+        return s.map(lambda t: reread_lines(t, shared.value) if t else t, na_action="ignore")
 
-    out = rows.withColumn("repaired", repair("text"))
+    out = rows.withColumn("repaired", repair("whole"))
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "repaired", F.coalesce(F.col("text") != F.col("repaired"), F.lit(False)).alias("damaged"))
 
 
