@@ -1,8 +1,8 @@
 """Bid files as DataFrames: one row a line, in document order, read with binaryFile and decoded in Arrow batches.
 
-Only the standard library is needed for text, workbooks and word-processor files. Scanned pages and PDF pages are read
-through a plug-in, ``page_reader``, where the cluster has one installed; without it such files give no lines and an
-error that says so.
+Only the standard library is needed: for text, workbooks, word-processor files of both kinds and the text of PDF pages. A
+plug-in, ``page_reader``, takes the place of the page reader where the cluster has a fuller one or one for scans; a file
+of which no page shows any text gives an error that says so.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.functions.text import extension
+from bidloom.sources import legacy
+from bidloom.sources.legacy import MAGIC
+from bidloom.sources.pages import objects, read_pages
 
 SCHEMA = "path string, line_no int, kind string, text string, error string"
 KINDS = ("txt", "xlsx", "docx", "doc", "pdf")
@@ -148,11 +151,12 @@ def document_lines(content: bytes) -> list[Line]:
 
 def page_lines(content: bytes, page_reader: PageReader | None, most_pages: int | None = None, sampled: int = 50, empty_streak: int = 50) -> list[Line]:
     """Lines of each page; stops after ``empty_streak`` empty pages once ``sampled`` pages were read."""
-    if page_reader is None:
-        raise ValueError("no page reader is installed")
+    pages = (page_reader or read_pages)(content)[:most_pages]
+    if not any(p.strip() for p in pages):
+        raise ValueError("no page shows any text; scanned pages need a page reader")
     out: list[Line] = []
     streak = 0
-    for n, page in enumerate(page_reader(content)[:most_pages]):
+    for n, page in enumerate(pages):
         streak = 0 if page.strip() else streak + 1
         if n >= sampled and streak >= empty_streak:
             break
@@ -182,7 +186,9 @@ def file_lines(files: DataFrame, page_reader: PageReader | None = None) -> DataF
                         lines = text_lines(content)
                     elif kind == "xlsx":
                         lines = workbook_lines(content)
-                    elif kind == "docx":
+                    elif content[:8] == MAGIC:
+                        lines = legacy.document_lines(content)
+                    elif kind in ("docx", "doc"):
                         lines = document_lines(content)
                     else:
                         lines = page_lines(content, page_reader)
@@ -218,9 +224,10 @@ _PDF_FIELD = re.compile(rb"/(Title|Author|Subject|Creator|Producer|CreationDate|
 
 
 def pdf_properties(content: bytes) -> dict[str, str]:
-    """The fields of a PDF's information dictionary that stand uncompressed in it; dates as yyyy-mm-dd hh:mm:ss."""
+    """The fields of a PDF's information dictionary, also in compressed objects; dates as yyyy-mm-dd hh:mm:ss."""
     out: dict[str, str] = {}
-    for name, raw in _PDF_FIELD.findall(content):
+    packed = b"\n".join(b for b in objects(content).values() if b"stream" not in b) if b"/ObjStm" in content else b""
+    for name, raw in _PDF_FIELD.findall(content + packed):
         if raw[:1] == b"<":
             value = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode() + ("0" if len(re.sub(rb"\s", b"", raw[1:-1])) % 2 else ""))
         else:
@@ -241,7 +248,7 @@ def file_properties(files: DataFrame) -> DataFrame:
             rows = []
             for path, kind, content in zip(batch["path"], batch["kind"], batch["content"], strict=True):
                 try:
-                    found = pdf_properties(content) if kind == "pdf" else office_properties(content) if kind in ("docx", "xlsx") else {}
+                    found = pdf_properties(content) if kind == "pdf" else legacy.document_properties(content) if content[:8] == MAGIC else office_properties(content) if kind in ("docx", "xlsx", "doc") else {}
                 except Exception:  # a broken file has no properties
                     found = {}
                 rows.append((path, found))
