@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.functions.text import FOLD_FROM, FOLD_TO, SKIPPED, match_form
-from bidloom.session import materialize
+from bidloom.session import is_empty, materialize
 
 _DOTS = re.compile("[.．…]{2,}")
 _SKIP = re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SKIPPED[:-1]))
@@ -334,7 +334,7 @@ def containments(needles: DataFrame, hay: DataFrame, gram: int, most: int = 1_00
 def contained_in(segments: DataFrame, key: str, text: str, references: DataFrame, reference: str, least: int = 12) -> DataFrame:
     """(key) of segments whose match form stands in a reference text; forms shorter than ``least`` never do."""
     refs = references.select(match_form(F.col(reference)).alias("form")).where("form <> ''").distinct().withColumn("id", F.xxhash64("form"))
-    rows = segments.select(F.col(key), match_form(F.col(text)).alias("form")).where(F.length("form") >= least)
+    rows = materialize(segments.select(F.col(key), match_form(F.col(text)).alias("form")).distinct().where(F.length("form") >= least))
     found = containments(rows.select("form").distinct().withColumn("id", F.xxhash64("form")), refs, least)
     return rows.withColumn("needle", F.xxhash64("form")).join(found.select("needle").distinct(), "needle", "left_semi").select(key)
 
@@ -342,9 +342,12 @@ def contained_in(segments: DataFrame, key: str, text: str, references: DataFrame
 def in_template(segments: DataFrame, key: str, scope: str, text: str, windows: DataFrame, least: int = 20) -> DataFrame:
     """(key) of segments whose match form is a window of their scope's template, stands in one or holds one; the last two
     only from ``least`` characters. windows: (scope, form). The scope is part of what is compared."""
-    rows = segments.select(F.col(key).alias("key"), F.col(scope).alias("scope"), match_form(F.col(text)).alias("form")).where("scope is not null and form <> ''")
+    rows = materialize(segments.select(F.col(key).alias("key"), F.col(scope).alias("scope"), match_form(F.col(text)).alias("form")).where("scope is not null and form <> ''"))
+    windows = materialize(windows.select("scope", "form").distinct())
+    if is_empty(windows):
+        return rows.select(F.col("key").alias(key)).limit(0)
     own, other = (df.select("scope", "form").distinct().withColumn("id", F.xxhash64("scope", "form")) for df in (rows, windows))
-    same = rows.join(windows.select("scope", "form").distinct(), ["scope", "form"], "left_semi").select("key")
+    same = rows.join(windows, ["scope", "form"], "left_semi").select("key")
 
     def within_scope(found: DataFrame) -> DataFrame:
         a, b = own.select(F.col("id").alias("o"), F.col("scope").alias("s1")), other.select(F.col("id").alias("w"), F.col("scope").alias("s2"))

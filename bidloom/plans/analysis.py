@@ -1,4 +1,5 @@
-"""The whole comparison of a set of bids, as named DataFrames that are computed when they are used."""
+"""The whole comparison of a set of bids, as named DataFrames; the segments are found at once, since all that follows rests
+on them, the rest when it is used."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from bidloom.functions.contacts import extracted_contacts
 from bidloom.functions.names import FAMILY
 from bidloom.functions.rules import is_template, reason_tags, risk_level, substantiality
 from bidloom.operators import findings, items, layout, pairs, people, quotes, segments, summaries
+from bidloom.session import materialize
 
 
 @dataclass
@@ -57,8 +59,8 @@ def analyze(files: DataFrame, references: DataFrame | None = None, least: int =
     if comparisons is None:
         comparisons = segments.candidate_pairs(texts, "group", "text", least)
     compared = segments.compared_pairs(comparisons, texts, "group", "text")
-    found = segments.segments_of_pairs(compared, least).withColumn("ratio", F.lit(None).cast("double"))
-    near = segments.near_paragraphs(comparisons, texts, "group", "text")
+    found = materialize(segments.segments_of_pairs(compared, least).withColumn("ratio", F.lit(None).cast("double")))
+    near = materialize(segments.near_paragraphs(comparisons, texts, "group", "text"))
     found = levels(found, near, references, texts.join(scopes, "group"), scopes)
     counts = summaries.pair_counts(found.withColumn("pair", F.struct("left", "right")), "pair", "risk_level", "abnormal").select("pair.*", "total", "n_abnormal", "n_template", "n_substantial", "n_suspicious")
     origins = [F.count_if(F.col("origin") == o).alias(f"n_{o}") for o in ("reference", "rule", "global", "own", "near")]

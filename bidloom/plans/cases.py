@@ -107,3 +107,9 @@ BIDDER_FINDINGS: list[tuple[str, str, str, str, str, str]] = [
     ("people", "same_person", "丙", "乙", "赵六", "medium"),
     ("people", "same_person", "丙", "甲", "赵六", "medium"),
 ]
+# amount as written, its value
+AMOUNTS: list[tuple[str, float | None]] = [
+    ("￥12.5万元", 125000), ("１２３４５６", 123456), ("1 261 819.76", 1261819.76), ("1838529 5002800", 1838529), ("1O9,800", 109800), ("l2300", 12300), ("I00000", 100000), ("3500万", 35000000), ("1.2亿元", 120000000), ("12（万元）", 120000),
+    ("叁万元整", 30000), ("壹佰贰拾叁万元整", 1230000), ("壹亿贰仟陆佰壹拾捌万壹仟玖佰柒拾陆元叁角", 126181976.3), ("贰佰叁拾肆万伍仟陆佰柒拾捌元玖角", 2345678.9), ("壹佰貳拾萬元整", 1200000), ("伍角陆分", 0.56), ("一万亿", 1000000000000),
+    ("一二三", 6), ("拾贰", 12), ("无", None), ("/", None), ("", None),
+]

@@ -66,6 +66,13 @@ def price_cases(spark, d):
     return _texts(spark, [c[0] for c in cases.PRICES]).select("id").join(found, "id", "left").select("id", "in_tax", "ex_tax", "tax_rate", "quoted_rate")
 
 
+@query(values([(i, t, None if v is None else float(v)) for i, (t, v) in enumerate(cases.AMOUNTS)], "id written amount", "BIGINT VARCHAR DOUBLE"))
+def amount_cases(spark, d):
+    """Amounts as written, in figures and in numerals."""
+    rows = _texts(spark, [t for t, _ in cases.AMOUNTS])
+    return rows.select("id", F.col("text").alias("written"), F.round(amounts.parsed_amount_udf("text"), 2).alias("amount"))
+
+
 @query(values([(i, *r) for i, (_, want) in enumerate(cases.PEOPLE) for r in want], "id field value role", "BIGINT VARCHAR VARCHAR VARCHAR"))
 def people_cases(spark, d):
     """People and labelled fields of small texts."""
