@@ -429,25 +429,22 @@ def report_names(spark, d):
 # --- templates
 
 _FORM = lambda c: f"translate(regexp_replace(regexp_replace({c}, '{text.TOC_DOTS}', '', 'g'), '{text.SKIPPED}', '', 'g'), '{text.FOLD_FROM.replace(chr(39), chr(39) * 2)}', '{text.FOLD_TO.replace(chr(39), chr(39) * 2)}')"
-_WINDOWS = f"""f AS (SELECT tender_id AS scope, bid_group AS g, text FROM {FILES} WHERE tender_id IS NOT NULL AND bid_group IS NOT NULL AND text IS NOT NULL), n AS (SELECT scope, count(DISTINCT g) AS n_all FROM f GROUP BY scope),
-w AS (SELECT scope, form FROM (SELECT scope, g, {_FORM('substring(text, s + 1, 100)')} AS form FROM (SELECT scope, g, text, unnest(range(0, length(text) - 99, 50)) AS s FROM f WHERE length(text) >= 100)) JOIN n USING (scope) WHERE length(form) >= 30 GROUP BY scope, form, n_all HAVING count(DISTINCT g) >= greatest(2, ceil(n_all / 20)))"""
-
-
-def _windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of text that a twentieth of a tender's bidders have, and two of them."""
-    return segments.template_windows(_once(spark, d, "summarize_file", "file_id"), "tender_id", "bid_group", "text", least=2, ratio=0.05).select("scope", "form")
+_LINE_FORMS = f"(SELECT source, doc_id, {_FORM('line')} AS form FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))"
 
 
 @query(
-    f"""WITH {_WINDOWS}, l AS (SELECT DISTINCT tender_id AS scope, {_FORM('line')} AS form FROM (SELECT tender_id, unnest(string_split(text, chr(10))) AS line FROM {FILES} WHERE text IS NOT NULL AND tender_id IS NOT NULL) WHERE length({_FORM('line')}) >= 20)
-SELECT l.scope AS tender_id, count(*) AS n_lines FROM l WHERE EXISTS (SELECT 1 FROM w WHERE w.scope = l.scope AND (contains(w.form, l.form) OR contains(l.form, w.form))) GROUP BY l.scope"""
+    f"""WITH l AS (SELECT * FROM {_LINE_FORMS}), w AS (SELECT source, form FROM l WHERE length(form) >= 30 GROUP BY source, form HAVING count(DISTINCT doc_id) >= 3), s AS (SELECT DISTINCT source, form FROM l WHERE length(form) >= 20)
+SELECT source, count(*) AS n_lines, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM w WHERE w.source = s.source AND (contains(w.form, s.form) OR contains(s.form, w.form)))) AS n_template FROM s GROUP BY source"""
 )
 def template_subtraction(spark, d):
-    """Lines of each tender's files that are part of its template, or hold a part of it."""
-    rows = layout.lines(_once(spark, d, "summarize_file", "file_id").where("tender_id is not null").withColumn("k", F.struct("tender_id", "file_id")), "k", "text")
-    lines = rows.select(F.col("k.tender_id").alias("tender_id"), text.match_form(F.col("line")).alias("line")).where(F.length("line") >= 20).distinct().withColumn("id", F.struct("tender_id", "line"))
-    found = segments.in_template(lines, "id", "tender_id", "line", _windows(spark, d))
-    return found.groupBy("id.tender_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    """Different lines of each source's documents, and how many of them are lines that three of its documents have, stand in
+    such a line or hold one."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text", "source")).where("text is not null and source is not null")
+    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).select("source", "doc_id", text.match_form(F.col("line")).alias("form")).where(F.length("form") >= 20)
+    windows = lines.where(F.length("form") >= 30).groupBy("source", "form").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3").withColumnRenamed("source", "scope")
+    rows = lines.select("source", "form").distinct().withColumn("id", F.struct("source", "form"))
+    held = segments.in_template(rows, "id", "source", "form", windows).select("id.source", "id.form").withColumn("held", F.lit(1))
+    return rows.join(held, ["source", "form"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_lines"), F.count("held").alias("n_template"))
 
 
 def queries() -> dict[str, object]:
