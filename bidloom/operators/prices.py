@@ -120,8 +120,11 @@ def item_clusters(items: DataFrame, scope: str, item_id: str, name: str, most_ro
     no task ever holds a whole scope. Items without a name are left out; unlike names are clusters of their own.
     """
     rows = items.select(F.col(scope).alias("scope"), F.col(item_id).alias("item_id"), item_name(F.col(name)).alias("form")).where("scope is not null and form <> ''").distinct()
-    forms = materialize(rows.groupBy("scope", "form").agg(F.min("item_id").alias("id")))
-    edges = materialize(alike_pairs(forms))
+    forms = materialize(rows.groupBy("scope", "form").agg(F.min("item_id").alias("id")).withColumn("g", F.xxhash64("form")))
+    once = forms.select(F.lit(0).alias("scope"), F.col("g").alias("id"), "form").distinct()  # a name is compared once, not once a scope
+    alike = materialize(alike_pairs(once).select(F.col("id1").alias("g1"), F.col("id2").alias("g2")))
+    a, b = forms.select("scope", F.col("g").alias("g1"), F.col("id").alias("a")), forms.select("scope", F.col("g").alias("g2"), F.col("id").alias("b"))
+    edges = materialize(alike.join(a, "g1").join(b, ["scope", "g2"]).select("scope", F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2")))
     left = edges.select("scope", F.col("id2").alias("id")).unionByName(edges.select("scope", F.col("id1").alias("id"))).distinct()
     open_edges, firsts = edges, None
     for _ in range(most_rounds):
