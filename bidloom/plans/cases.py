@@ -113,3 +113,8 @@ AMOUNTS: list[tuple[str, float | None]] = [
     ("叁万元整", 30000), ("壹佰贰拾叁万元整", 1230000), ("壹亿贰仟陆佰壹拾捌万壹仟玖佰柒拾陆元叁角", 126181976.3), ("贰佰叁拾肆万伍仟陆佰柒拾捌元玖角", 2345678.9), ("壹佰貳拾萬元整", 1200000), ("伍角陆分", 0.56), ("一万亿", 1000000000000),
     ("一二三", 6), ("拾贰", 12), ("无", None), ("/", None), ("", None),
 ]
+# text, what becomes of it
+DIGITS: list[tuple[str, str]] = [("139 1234 5678", "13912345678"), ("1O9 与 l2", "109 与 l2"), ("1391234\n5678", "13912345678"), ("3l5", "315"), ("甲 1 乙", "甲 1 乙")]
+BROKEN_NAMES: list[tuple[str, str]] = [("本人张\n某某系的法人", "本人张某某系的法人"), ("张 某某", "张 某某"), ("本人 李林 \n三、授权委托书", "本人 李林 \n三、授权委托书"), ("负责人：张\n三丰", "负责人：张三丰")]
+PADDED: list[tuple[str, str]] = [("投标人 ： 张三（ 盖单位章 ）", "投标人： 张三（盖单位章）"), ("电话 ：　010-12345678", "电话： 010-12345678")]
+PROJECTS: list[tuple[str, list[str]]] = [("项目名称：某某水厂工程（盖章）", ["某某水厂工程"]), ("项目名称：\n另一个工程", ["另一个工程"]), ("项目名称 | 第三个工程 | 编号", ["第三个工程"]), ("无", [])]

@@ -7,13 +7,16 @@ back, so their SQL states what was recorded.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.functions import amounts, contacts, names, rules, text
 from bidloom.operators import findings, items, layout, pairs, people, prices, quotes, segments, summaries
-from bidloom.plans import cases
+from bidloom.plans import cases, small_files
 from bidloom.session import read, spread
+from bidloom.sources import files
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -93,13 +96,35 @@ def rule_cases(spark, d):
 
 
 @query(
-    values([("name", i, n, str(ok).lower()) for i, (n, ok) in enumerate(cases.NAMES)] + [("company", i, *c) for i, c in enumerate(cases.COMPANIES)] + [("phone", i, *c) for i, c in enumerate(cases.PHONES)], "kind id given form", "VARCHAR BIGINT VARCHAR VARCHAR")
+    values([("name", i, n, str(ok).lower()) for i, (n, ok) in enumerate(cases.NAMES)] + [("company", i, *c) for i, c in enumerate(cases.COMPANIES)] + [("phone", i, *c) for i, c in enumerate(cases.PHONES)] + [("digits", i, *c) for i, c in enumerate(cases.DIGITS)] + [("broken", i, *c) for i, c in enumerate(cases.BROKEN_NAMES)] + [("padded", i, *c) for i, c in enumerate(cases.PADDED)], "kind id given form", "VARCHAR BIGINT VARCHAR VARCHAR")
 )
 def cleaner_cases(spark, d):
     """Names told apart, companies and phones cleaned."""
     parts = (("name", [n for n, _ in cases.NAMES], names.is_person_name(F.col("text")).cast("string")), ("company", [c for c, _ in cases.COMPANIES], names.clean_company_column(F.col("text"))), ("phone", [p for p, _ in cases.PHONES], contacts.clean_phone(F.col("text"))))
+    parts += tuple((kind, [t for t, _ in of], form) for kind, of, form in (("digits", cases.DIGITS, text.joined_digits(F.col("text"))), ("broken", cases.BROKEN_NAMES, text.joined_names(F.col("text"))), ("padded", cases.PADDED, text.tightened(F.col("text")))))
     out = [_texts(spark, given).select(F.lit(kind).alias("kind"), "id", F.col("text").alias("given"), form.alias("form")) for kind, given, form in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(values([(i, n) for i, (_, want) in enumerate(cases.PROJECTS) for n in want], "id candidate", "BIGINT VARCHAR"))
+def project_cases(spark, d):
+    """Project names that small texts state."""
+    lines = layout.lines(_texts(spark, [t for t, _ in cases.PROJECTS]), "id", "text")
+    return layout.project_names(lines, "id").select("id", "candidate")
+
+
+@query(values(small_files.LINES, "path line_no kind text", "VARCHAR INT VARCHAR VARCHAR"))
+def file_lines_cases(spark, d):
+    """Lines of small files of each kind, in document order."""
+    held = spark.createDataFrame([(n, bytearray(b)) for n, b in small_files.FILES], "path string, content binary")
+    return files.file_lines(held).where("error is null").select("path", "line_no", "kind", "text")
+
+
+@query(values(small_files.PROPERTIES, "path name value", "VARCHAR VARCHAR VARCHAR"))
+def file_property_cases(spark, d):
+    """What small files of each kind say about themselves."""
+    held = spark.createDataFrame([(n, bytearray(b)) for n, b in small_files.FILES], "path string, content binary")
+    return files.file_properties(held).select("path", F.explode("properties").alias("name", "value"))
 
 
 def _bidders(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
