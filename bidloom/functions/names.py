@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The commonest family names, single and double.
 FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩邓冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤康易乔赖樊兰殷施洪翟安倪牛温芦季俞章鲁葛伍申尤毕聂柴焦关阎欧庞颜梅庄凌祝童甘岳单滕项管华齐柳左纪霍阮包钭宓岑庾晏祁费耿卜苗路尚舒"
@@ -95,23 +97,34 @@ def function_label(role: str) -> str:
 
 
 # Words of forms around the name of a company.
-FORM_WORDS = "投标人名称|供应商名称|单位名称|公司名称|企业名称|单位负责人|盖单位章|盖章|公章|单位章|签章|签字|全称"
-FORM_START = "投标人名称|供应商名称|招标人名称|单位名称|公司名称|企业名称|投标人|供应商|招标人"
+FORM_WORDS = frozenset(("投标人名称", "供应商名称", "单位名称", "公司名称", "企业名称", "单位负责人", "盖单位章", "盖章", "公章", "单位章", "签章", "签字", "全称", "单位公章", "签字或盖章"))
+FORM_STARTS = ("投标人名称", "供应商名称", "招标人名称", "单位名称", "公司名称", "企业名称", "投标人", "供应商", "招标人")
+_FILL = "_＿ 　\t\n：:"
 
 
 def clean_company(value: str) -> str:
-    """A company's name without labels, form words in brackets (closed or not) and fill."""
-    value = re.sub(rf"[（(]\s*(?:{FORM_WORDS})\s*[）)]|[（(][^）)]*$", "", value)
-    value = re.sub(rf"^[（(]|^(?:{FORM_START})[（(：:＿_\s]+", "", value.strip("_＿ 　\t\n"))
-    return value.strip("_＿ 　\t\n）)")
-
-
-def clean_company_column(c: Column) -> Column:
-    """The same as a column expression."""
-    fill = "[_＿ 　\t\n]+"
-    c = F.regexp_replace(c, rf"[（(][ \t]*(?:{FORM_WORDS})[ \t]*[）)]|[（(][^）)]*\z", "")
-    c = F.regexp_replace(F.regexp_replace(c, f"^{fill}", ""), rf"^[（(]|^(?:{FORM_START})(?:[（(：:＿_ 　\t\n])+", "")
-    return F.regexp_replace(F.regexp_replace(c, f"^{fill}", ""), "[_＿ 　\t\n）)]+\\z", "")
+    """A company's name without labels in front, form words in brackets and fill. The text outside brackets stays, and so
+    does what stands in closed brackets and is no form word (a place, as in 某某（北京）公司)."""
+    kept, open_at, depth = [], 0, 0
+    for i, c in enumerate(value):
+        if c in "（(":
+            kept += [value[open_at:i]] if not depth else []
+            open_at, depth = (i, 1) if not depth else (open_at, depth + 1)
+        elif c in "）)" and depth:
+            depth -= 1
+            if not depth:
+                inside = value[open_at + 1 : i].strip(_FILL)
+                kept += [value[open_at : i + 1]] if inside and inside not in FORM_WORDS else []
+                open_at = i + 1
+    kept += [value[open_at:]] if not depth else []
+    name = "".join(kept).strip(_FILL + "）)")
+    start = next((w for w in FORM_STARTS if name.startswith(w) and name[len(w) : len(w) + 1] in tuple(_FILL)), "")
+    return name[len(start) :].strip(_FILL)
+
+
+@F.pandas_udf(T.StringType())
+def clean_company_column(s: pd.Series) -> pd.Series:
+    return s.map(clean_company, na_action="ignore")
 
 
 def clean_name(value: str) -> str:

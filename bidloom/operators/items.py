@@ -46,7 +46,8 @@ COST_WORDS = (
 NO_COST = re.compile("项目预计成本|预计成本|小计|合计|总价|总计|委员会|协会|公司|有限|集团|事务所|证监会|财政部|(?:师|人|员|专家)$|成立于|于$|成为|自$|见后附|次会议|授权|证书|编号|注册|登记|代码|序列|评估项目|\\d{4}")
 PAST_WORK = re.compile("合同金额|合同价款|签约合同价|业绩一览|类似项目|项目业绩|业绩证明")
 _NUMBER = r"\d[\d,]*(?:\.\d+)?"
-_COST = re.compile(rf"^\s*(?:[（(][一二三四五六七八九十\d]+[）)]\s*|\d+(?:\.\d+)*[.、]?\s+|\d+[.、]\s*)?(?:本项目)?(?P<name>[一-鿿]{{0,20}}?(?:{COST_WORDS})[一-鿿]{{0,6}}?)(?P<mid>[ \t]*为|[ \t]*\||)(?:[ \t]*[：:]?[ \t]*|\s*\n\s*(?={_NUMBER}[ \t]*万?元?[ \t]*$))(?P<n>{_NUMBER})[ \t]*(?P<u>万)?(?P<y>元)?", re.M)
+_COST_WORD = re.compile(COST_WORDS)
+_FIRST_HAN, _HAN = re.compile("[一-鿿]"), re.compile("[一-鿿]+")
 
 
 def column_of(header: Column) -> Column:
@@ -166,24 +167,43 @@ def flattened_items(text: str) -> Iterator[tuple[str, float | None, float | None
             yield name, row.get("qty"), row.get("unit_price"), row.get("total_ex"), row.get("total_in"), row.get("tax")
 
 
+def _numbered(head: str) -> bool:
+    """Whether what stands before a name is nothing but numbering: figures, numerals and marks."""
+    return len(head) <= 8 and not head.strip(" \t0123456789.、()（）一二三四五六七八九十")
+
+
 def cost_lines(text: str) -> Iterator[tuple[int, str, float, bool]]:
-    """(place, name, amount, whether it is income) of lines that name a cost and its amount, each name once. Tables of
-    earlier work, years, days, small figures and names of bodies or people are none; an amount needs its currency on the
-    line or in the next 30 characters, unless bars or the words 本项目 … 为 mark it as a cell."""
+    """(place, name, amount, whether it is income) of lines that name a cost and its amount, each name once. The amount
+    stands behind the name, or alone on the next line. Tables of earlier work, years, days, small figures and names of
+    bodies or people are none; an amount needs its currency on the line or in the next 30 characters, unless bars or the
+    words 本项目 … 为 mark it as a cell."""
+    lines = text.split("\n")
     seen: set[str] = set()
-    for m in _COST.finditer(text):
-        name = re.sub("为$", "", m["name"])
-        value = (parsed_amount(m["n"]) or 0.0) * (10_000 if m["u"] else 1)
-        if name in seen or NO_COST.search(name) or len(name) > 15:
+    place = 0
+    for line, following in zip(lines, [*lines[1:], ""], strict=True):
+        at, place = place, place + len(line) + 1
+        bare = re.sub(r"^\s*[（(][一二三四五六七八九十\d]+[）)]|^\s*\d+(?:\.\d+)*[.、]?", "", line)
+        first = _FIRST_HAN.search(bare)
+        if not first or not _numbered(bare[: first.start()]):
+            continue
+        run = _HAN.match(bare, first.start())[0]
+        rest = bare[first.start() + len(run) :]
+        name = run.removeprefix("本项目").removesuffix("为")
+        if name in seen or len(name) > 15 or not _COST_WORD.search(name) or NO_COST.search(name):
+            continue
+        alone = not rest.strip(" \t：:")
+        m = re.match(rf"[ \t]*(?P<bar>\|?)[ \t：:]*(?P<n>{_NUMBER})[ \t]*(?P<u>万?)(?P<y>元?)", following if alone else rest)
+        if not m or alone and following[m.end() :].strip():
             continue
-        cell = m["mid"].strip() in ("|", "为")
-        plain = not m["u"] and not cell
-        bad = is_day(value) and not m["u"] or plain and (len(re.sub(r"\D", "", m["n"])) < 4 or 1990 <= value <= 2030 or 500 <= value <= 999)
-        stated = m["u"] or m["y"] or cell or re.search("[元万￥¥]|CNY|RMB", text[m.end() : m.end() + 30])
-        if bad or not stated or value < 100 or PAST_WORK.search(text, max(0, m.start() - 300), m.start()):
+        value = parsed_amount(m["n"] + m["u"]) or 0.0
+        cell = bool(m["bar"]) or run.startswith("本项目") and run.endswith("为")
+        behind = (following if alone else rest)[m.end() :] + ("\n" + following if not alone else "")
+        stated = m["u"] or m["y"] or cell or re.search("[元万￥¥]|CNY|RMB", behind[:30])
+        small = not m["u"] and not cell and (len(re.sub(r"\D", "", m["n"])) < 4 or 1990 <= value <= 2030 or 500 <= value <= 999)
+        if small or not stated or value < 100 or is_day(value) and not m["u"] or PAST_WORK.search(text, max(0, at - 300), at):
             continue
         seen.add(name)
-        yield m.start(), name, value, bool(re.search("收益|利润", name))
+        yield at, name, value, "收益" in name or "利润" in name
 
 
 def text_items(texts: DataFrame, key: str, text: str) -> DataFrame:

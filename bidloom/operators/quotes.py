@@ -41,30 +41,72 @@ PRICE_WORDS = re.compile("元|人民币|CNY|RMB|￥|¥|报价|价格|税前|税
 _FIGURES = r"(?<![\d.,])(?:\d{1,3}(?: \d{3})+(?!\d)|\d[\d,]*)(?:\.\d+)?"
 _NUMERALS = rf"[{NUMERALS}](?:\s*[{NUMERALS}])*(?:\s*[元圆]\s*[整正]?(?:\s*[{NUMERALS}]\s*[角毛])?(?:\s*零?\s*[{NUMERALS}]\s*分)?\s*[整正]?|[整正])?"
 AMOUNT = re.compile(rf"(?P<n>{_FIGURES})[ \t]*(?P<u>[万亿])?[ \t]*(?P<y>元)?|(?P<cn>{_NUMERALS})")
-_LABELS = "|".join(sorted(TOTAL_LABELS, key=len, reverse=True))
-_FILL = r"[_＿：:=\s]"
-_REMARK = r"(?:[（(][^（）()]{0,12}[）)])?"
-# (channel, strength, cue that ends right before the amount, which writing it is for)
-CUES = (
-    (1, 0, re.compile(r"(?:CNY|RMB|USD|[￥¥])\s*[￥¥]?\s*[：:]?[_＿\s]*$"), "both"),
-    (1, 1, re.compile(r"人民币[：:]?[_＿ \t]*$"), "both"),
-    (2, 1, re.compile(r"小写\s*(?:金额)?\s*[）)]?\s*[￥¥：:＿_\s]*[（(]?\s*$"), "figures"),
-    (2, 2, re.compile(rf"(?:{_LABELS})\s*{_REMARK}(?:{_FILL}+|为|是)$"), "both"),
-    (2, 3, re.compile(r"(?:总价|总计|合计)\s*(?:金额)?\s*[：:][_＿\s]*$"), "both"),
-    (2, 4, re.compile(r"(?:金额|报价)[（(]元[）)]\s*[：:][_＿\s]*$"), "figures"),
-    (3, 0, re.compile(rf"(?:{_LABELS}|总价|总计|合计)\s*[（(]\s*(?:单位\s*[：:]?\s*)?(?:人民币\s*)?(?P<unit>万元?|元)\s*[）)]\s*[：:]?[_＿\s]*$"), "both"),
-    (4, 0, re.compile(r"大写\s*[）)]?\s*(?:金额)?\s*[）)]?\s*[：:]?[_＿\s]*[（(]?\s*$"), "numerals"),
-    (8, 0, re.compile(r"(?:含税|税后)(?:总价格|总价|价格|金额|价)款?\s*[：:][_＿\s]*$"), "both"),
-)
-BEFORE_TAX = re.compile(r"(?:不含税|税前)(?:总价格|总价|价格|金额|价)款?\s*[：:][_＿\s]*$")
+FILL = "_＿ \t\n：:="
+PLAIN_TOTALS = ("总价", "总计", "合计")
+TAXED, UNTAXED, TAX_NOUNS = ("含税", "税后"), ("不含税", "税前"), ("总价格", "总价", "价格", "金额", "价")
+RATE_LABELS = ("下浮率", "下浮比例", "下浮幅度", "优惠率", "优惠幅度", "折扣率", "费率", "投标报价下浮", "下浮")
+RATE_UNITS = re.compile(r"[_＿\s]*(%|％|‰|个?百分点)")
 _TOTAL_ROW = re.compile(r"^\s*(?:总价|报价|金额)?合\s*计\s*(?:金额)?\s*[：:]?")
-RATES = (  # quoted rates: label, then the figure and its unit
-    re.compile(r"(?:下浮率|下浮比例|下浮幅度|优惠率|优惠幅度|折扣率)[（(]?[^）)：:\d\n]*[）)]?\s*[：:]?[_＿\s]*(?P<n>[\d.]+)[_＿\s]*(?P<u>[%％‰]|个百分点)"),
-    re.compile(r"费率[（(]?[^）)：:\d\n]*[）)]?\s*[：:]?[_＿\s]*(?P<n>[\d.]+)[_＿\s]*(?P<u>[%％‰]|个百分点)"),
-    re.compile(r"投标报价\s*下浮\s*(?P<n>[\d.]+)\s*(?P<u>[%％])"),
-    re.compile(r"投标报价\s*[（(]\s*[%％]\s*[）)]\s*[：:]?[_＿\s]*(?P<n>[\d.]+)(?P<u>)"),
-    re.compile(r"(?:下浮|费率)\s*(?P<n>[\d.]+)\s*(?P<u>个?百分点)"),
-)
+
+
+@dataclass(frozen=True)
+class Label:
+    """What stands right before an amount: the words, a remark in brackets after them, and how they are joined to it."""
+
+    words: str
+    remark: str
+    joint: str
+
+    @classmethod
+    def before(cls, text: str, joints: str = FILL) -> Label:
+        core = text.rstrip(joints)
+        joint, remark = text[len(core) :], ""
+        if core.endswith(("）", ")")) and 0 <= (at := max(core.rfind("（"), core.rfind("("))) and len(core) - at <= 14:
+            core, remark = core[:at].rstrip(), core[at + 1 : -1]
+        return cls(core, remark, joint)
+
+
+def cue_of(before: str, written: str) -> tuple[int, int, int] | None:
+    """(channel, strength, factor) of an amount by what stands before it on its line or the one above, the first that holds:
+    a currency sign; the word for the smaller writing; a label of the bid's total; a plain total with a colon; a label whose
+    remark gives the unit; the word for the larger writing; a price with tax."""
+    sign = before.rstrip("_＿ \t\n：:")
+    if sign.endswith(("￥", "¥", "CNY", "RMB", "USD")):
+        return 1, 0, 1
+    if before.rstrip("_＿ \t：:").endswith("人民币"):  # on its own line only
+        return 1, 1, 1
+    writing = before.rstrip(FILL + "￥¥（()）").removesuffix("金额").rstrip(" （()）")
+    if writing.endswith("小写") and written == "figures":
+        return 2, 1, 1
+    label = Label.before(before, FILL + "为是")
+    if label.words.endswith(TOTAL_LABELS) and label.joint and "万" not in label.remark:
+        return 2, 2, 1
+    colon = "：" in label.joint or ":" in label.joint
+    if label.words.removesuffix("金额").endswith(PLAIN_TOTALS) and colon and not label.remark:
+        return 2, 3, 1
+    unit = label.remark.replace("单位", "").replace("人民币", "").strip("：: ")
+    if unit == "元" and label.words.endswith(("金额", "报价")) and colon:
+        return 2, 4, 1
+    if unit in ("万", "万元", "元") and label.words.endswith(TOTAL_LABELS + PLAIN_TOTALS):
+        return 3, 0, 10_000 if "万" in unit else 1
+    if writing.endswith("大写") and written == "numerals":
+        return 4, 0, 1
+    if colon and _tax_price(label.words, TAXED):
+        return 8, 0, 1
+    return None
+
+
+def _tax_price(words: str, kinds: tuple[str, ...]) -> bool:
+    words = words.removesuffix("款")
+    noun = next((n for n in TAX_NOUNS if words.endswith(n)), None)
+    return noun is not None and words.removesuffix(noun).endswith(kinds)
+
+
+def rate_label(before: str) -> bool:
+    label = Label.before(before)
+    return label.words.replace(" ", "").endswith(RATE_LABELS)
+
+
 GLOBAL_NOTE = "总价来自全文兜底匹配，置信度较低，建议人工复核"
 SCHEMA = "kind string, channel int, strength int, outside boolean, place int, value double, other double, rate double, written string, near boolean"
 
@@ -122,25 +164,34 @@ def mentions(text: str) -> list[Mention]:
     return out
 
 
-def summary_section(text: str) -> tuple[int, int] | None:
+def summary_section(text: str, found: list[Mention]) -> tuple[int, int] | None:
     """Where the bid's price summary stands: the first heading of the most telling kind that is neither an entry of a
     table of contents nor a mention, and that a price follows; up to the next section or 3,000 characters."""
-    heads = [(SECTION_HEADS.index(m[0]), m.start()) for m in re.finditer(f"(?=({'|'.join(SECTION_HEADS)}))", text) for m in [re.compile("|".join(SECTION_HEADS)).match(text, m.start())] if m]
-    for kind, at in sorted(heads):
+    starts = [m.start for m in found]
+
+    def priced(lo: int, hi: int) -> bool:
+        return any(m.written == "numerals" and m.value >= 100 or m.unit or m.value >= 1000 or cue_of(text[max(0, m.start - 20) : m.start], m.written) for m in found[bisect_right(starts, lo - 1) : bisect_right(starts, hi)])
+
+    places = sorted((kind, at) for kind, head in enumerate(SECTION_HEADS) for at in _occurrences(text, head))
+    for kind, at in places:
         line = text[text.rfind("\n", 0, at) + 1 : at].strip()
-        after = text[at + len(SECTION_HEADS[kind]) :][:5].strip()
-        dots = re.search(r"\.{3,}", text[max(0, at - 40) : at])
-        listed = re.search(r"^(?:[A-Za-z\d]|[一二三四五六七八九十]{1,2})[．.]$|[（(]\d+[）)]$", line)
-        quoted = line.endswith(("《", "〈", "“", "‘", "\"")) or after.startswith(("；", "。"))
-        priced = re.search(r"[小大]写\s*[：:]|[￥¥]|\d{5,}|\d[，,]\d{3}|[壹贰叁肆伍陆柒捌玖][佰仟万亿]", text[at : at + 400])
-        if dots or listed or quoted or not priced:
+        after = text[at + len(SECTION_HEADS[kind]) : at + len(SECTION_HEADS[kind]) + 5].strip()
+        in_contents = "..." in text[max(0, at - 40) : at]
+        in_list = line.endswith(("．", ".")) and len(line) <= 3 and line[:1] not in "第" or line.endswith(("）", ")")) and line[:-1].lstrip("（(").isdigit() or after.startswith(("；", "。"))
+        quoted = line.endswith(("《", "〈", "“", "‘", "\""))
+        if in_contents or in_list or quoted or not priced(at, at + 400):
             continue
-        end = min([at + 3000, len(text)] + [e for w in SECTION_ENDS if (e := text.find(w, at + 30)) > at])
-        if re.search(rf"(?:人民币|CNY|RMB|[￥¥元])\s*[\d{NUMERALS}]|[{NUMERALS}]\s*元|[\d.]\s*万|\d{{1,3}} \d{{3}}|(?<!\d)[\d,]{{5,}}(?![\d,])", text[at:end]):
-            return at, end
+        return at, min([at + 3000, len(text)] + [e for w in SECTION_ENDS if (e := text.find(w, at + 30)) > at])
     return None
 
 
+def _occurrences(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
 def _near_price(text: str, m: Mention, window: int = 200) -> bool:
     """Whether price wording stands around an amount that is not labelled as somebody else's."""
     before = text[max(0, m.start - 30) : m.start]
@@ -201,11 +252,29 @@ def _taxes(text: str, found: list[Mention], lo: int, hi: int) -> Iterator[Row]:
             yield Row("tax", 0, 0, False, a.start, c.value, a.value, b.value)
         elif 1 <= c.value <= 30 and c.value == int(c.value) and c.end - c.start <= 2 and a.value >= 10_000 and b.value >= 10_000 and max(a.value, b.value) / min(a.value, b.value) <= 1.25 and not is_day(a.value) and not is_day(b.value):
             yield Row("tax", 1, 0, False, a.start, b.value, a.value, c.value)
-    section = text[lo:hi]
-    for strength, pattern in enumerate((r"税率\s*[（(]\s*%[）)]?\s*.{0,100}?(\d{1,2})(?:\s|$)", r"\d{4,}(?:\.\d+)?[^\d]{0,40}?(?<!\d)(\d{1,2})\s*(?:增值税|专用|普通|发票)", r"(?<![\d.])(\d{1,2})\s*[%％](?!\d)")):
-        if m := re.search(pattern, section):
-            if 1 <= int(m[1]) <= 30:
-                yield Row("tax", 2, strength, False, lo + m.start(), None, None, float(m[1]))
+    for i, m in enumerate(own):  # a small whole number by itself
+        if not 1 <= m.value <= 30 or m.value != int(m.value) or m.end - m.start > 2:
+            continue
+        after = text[m.end : m.end + 12].lstrip()
+        amount_near = any(x.value >= 1000 and m.start - x.end <= 100 for x in own[max(0, i - 3) : i])
+        if amount_near and after.startswith(("增值税", "专用", "普通", "发票")):
+            yield Row("tax", 2, 1, False, m.start, None, None, m.value)
+        elif after.startswith(("%", "％")):
+            yield Row("tax", 2, 2, False, m.start, None, None, m.value)
+        elif re.search("税率[（(]%", text[max(lo, m.start - 110) : m.start].replace(" ", "")) and not after[:1].isdigit():
+            yield Row("tax", 2, 0, False, m.start, None, None, m.value)
+
+
+def _quoted_rates(text: str, found: list[Mention], lo: int, hi: int) -> Iterator[Row]:
+    """Rates that the bid quotes: a number with its unit behind it, or in the remark of its label."""
+    for m in found:
+        if not lo <= m.start < hi or m.written != "figures" or not 0 < m.value < 100:
+            continue
+        before = text[max(0, m.start - 40) : m.start].rsplit("\n", 1)[-1]
+        unit = RATE_UNITS.match(text, m.end)
+        label = Label.before(before)
+        if unit and rate_label(before) or not unit and label.remark in ("%", "％") and label.words.endswith("投标报价"):
+            yield Row("quote", 0, 0, False, m.start, m.value, written="‰" if unit and unit[1] == "‰" else "%")
 
 
 def _pairs(text: str, found: list[Mention]) -> Iterator[Row]:
@@ -214,7 +283,7 @@ def _pairs(text: str, found: list[Mention]) -> Iterator[Row]:
         if m.written != "numerals" or m.value <= 1000 or not re.search("[元圆整角分万亿]", text[m.start : m.end]):
             continue
         for other in found[i + 1 : i + 4] + found[max(0, i - 1) : i]:
-            if other.written == "figures" and other.value > 1000 and abs(other.start - m.start) <= 150 and CUES[2][2].search(text[max(0, other.start - 30) : other.start]):
+            if other.written == "figures" and other.value > 1000 and abs(other.start - m.start) <= 150 and cue_of(text[max(0, other.start - 30) : other.start], "figures") == (2, 1, 1):
                 yield Row("pair", 0, 0, False, m.start, m.value, other.value)
                 return
 
@@ -224,7 +293,7 @@ def price_rows(raw: str) -> list[Row]:
     text = readable(raw)
     found = mentions(text)
     starts = [m.start for m in found]
-    section = summary_section(text) or (0, 0)
+    section = summary_section(text, found) or (0, 0)
     out: list[Row] = []
     deposits = {round(n.value, 2) for d in DEPOSIT.finditer(text) for n in found[bisect_right(starts, d.end() - 1) : bisect_right(starts, d.end() + 30)] if n.unit and n.value >= 100}
     for m in found:
@@ -238,29 +307,27 @@ def price_rows(raw: str) -> list[Row]:
             continue
         outside = not section[0] <= m.start < section[1]
         near = _near_price(text, m)
-        if BEFORE_TAX.search(before):
+        label = Label.before(before)
+        if ("：" in label.joint or ":" in label.joint) and _tax_price(label.words, UNTAXED):
             out.append(Row("ex_tax", 8, 0, outside, m.start, m.value, near=near))
             continue
         echo = any(abs(m.value - d) < 1 for d in deposits)
         voucher = bool(VOUCHER.search(text, max(0, m.start - 160), min(len(text), m.end + 160)))
-        for channel, strength, cue, written in CUES:
-            if written not in ("both", m.written) or not (c := cue.search(before)):
-                continue
-            value = m.value * (10_000 if channel == 3 and "万" in c["unit"] and not m.unit else 1)
-            if channel <= 3 and (voucher or echo) or value < (1000 if channel == 4 else 100):
-                continue
-            kind = "scaled" if value != m.value else m.written
-            out.append(Row("total", channel, strength, outside, m.start, value, value if channel < 8 else None, None, kind, near or kind != "figures"))
-            break
+        cue = cue_of(before, m.written)
+        if cue is None:
+            continue
+        channel, strength, factor = cue
+        value = m.value * (factor if not m.unit else 1)
+        if channel <= 3 and (voucher or echo) or value < (1000 if channel == 4 else 100):
+            continue
+        kind = "scaled" if value != m.value else m.written
+        out.append(Row("total", channel, strength, outside, m.start, value, value if channel < 8 else None, None, kind, near or kind != "figures"))
     out += _quote_rows(text, section)
     out += _rows_of_totals(text, found, starts)
     lo, hi = section if section[1] else (0, len(text))
     out += _taxes(text, found, lo, hi)
     out += _pairs(text, found)
-    for strength, pattern in enumerate(RATES):
-        if (q := pattern.search(text, lo, hi)) and re.fullmatch(r"\d+(?:\.\d+)?", q["n"]) and 0 < float(q["n"]) < 100:
-            out.append(Row("quote", 0, strength, False, q.start(), float(q["n"]), written="‰" if q["u"] == "‰" else "%"))
-            break
+    out += _quoted_rates(text, found, lo, hi)
     return out
 
 
