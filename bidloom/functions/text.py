@@ -122,10 +122,23 @@ def tightened(c: Column) -> Column:
 BROKEN_AFTER = "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢唐宋韩冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹易常武乔"
 
 
-def joined_names(c: Column) -> Column:
-    """Names put together that a line end splits after the family name, unless a numbered heading follows."""
-    pattern = f"([{BROKEN_AFTER}])[ \t]*\n[ \t\n]*([\\x{{4E00}}-\\x{{9FFF}}]{{1,2}}+)(?![、，。：:.])"
-    return F.regexp_replace(F.regexp_replace(c, pattern, "$1$2"), pattern, "$1$2")
+def whole_names(text: str) -> str:
+    """Names put together that a line end splits after the family name: a line that ends with one takes up the next, unless
+    that begins with a mark, or with a numeral and a mark as numbered headings do."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        start = line.lstrip()
+        given = len(start[:2]) if all("一" <= c <= "鿿" for c in start[:2]) else 1 if "一" <= start[:1] <= "鿿" else 0
+        if out and given and out[-1].rstrip()[-1:] in set(BROKEN_AFTER) and start[given : given + 1] not in set("、，。：:."):
+            out[-1] = out[-1].rstrip() + start
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def joined_names(s: pd.Series) -> pd.Series:
+    return s.map(whole_names, na_action="ignore")
 
 
 # Traditional numerals and their simple forms.
