@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.operators.pairs import cross_attribute_pairs, mentions, overlap_rates, sharing_pairs, tidy_fields
+from bidloom.operators.pairs import cross_attribute_pairs, mentions, overlap_rates, shared_values, sharing_pairs, tidy_fields
+from bidloom.session import materialize
 
 # Properties that are compared, with their labels, and names of programs that stand in place of people.
 PROPERTIES = {
@@ -127,14 +128,18 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def shared_rows(tidy: DataFrame) -> DataFrame:
-    """(place, kind, value, n_groups): values in several groups, by kind and then by how many groups share them."""
-    from pyspark.sql import Window
-
-    from bidloom.operators.pairs import shared_values
+    """(kind_order, place, kind, value, n_groups): values in several groups, by kind and then by how many groups share them.
 
+    Places are given without a task that holds a whole kind: the rows are sorted into ranges, numbered in each, and the
+    numbers of rows of the ranges before are added.
+    """
     kinds = F.when(F.col("kind") == "person", 0).when(F.col("kind") == "phone", 1).when(F.col("kind") == "id_number", 2).when(F.col("kind") == "email", 3).otherwise(4)
-    ranked = shared_values(tidy).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n_groups"), "value")))
-    return ranked.select(kinds.alias("kind_order"), "place", "kind", "value", "n_groups")
+    order = [F.desc("n_groups"), F.col("value")]
+    ranges = materialize(shared_values(tidy).select(kinds.alias("kind_order"), "kind", "value", "n_groups").orderBy("kind_order", "kind", *order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranges.groupBy("kind", "_p").agg(F.count(F.lit(1)).alias("_n"))  # at most one row a kind and range
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("kind").orderBy("_p")) - F.col("_n")).select("kind", "_p", "_before")
+    numbered = ranges.withColumn("_k", F.row_number().over(Window.partitionBy("kind", "_p").orderBy(*order)))
+    return numbered.join(before, ["kind", "_p"]).select("kind_order", (F.col("_k") + F.col("_before")).alias("place"), "kind", "value", "n_groups")
 
 
 def report_name(project: Column, level: Column, at: Column) -> Column:

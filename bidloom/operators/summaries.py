@@ -34,10 +34,12 @@ def timeline(runs: DataFrame, at: str, value: str, high: float) -> DataFrame:
 
 
 def totals(runs: DataFrame, value: str, steps: list[float]) -> DataFrame:
-    """One row: number, mean, maximum and a histogram by the given steps; nulls count apart."""
+    """One row: number, mean, maximum, share in percent of the highest bin and a histogram by the given steps; nulls count
+    apart."""
     edges = [float("-inf"), *steps, float("inf")]
     bins = [F.count_if((F.col(value) >= a) & (F.col(value) < b)).alias(f"bin_{i}") for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return runs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("n_null"), F.round(F.avg(value), 4).alias("average"), F.max(value).alias("highest"), *bins)
+    top = F.round(F.count_if(F.col(value) >= edges[-2]) * 100.0 / F.count(F.col(value)), 4)
+    return runs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("n_null"), F.round(F.avg(value), 4).alias("average"), F.max(value).alias("highest"), top.alias("highest_pct"), *bins)
 
 
 def pivot(rows: DataFrame, by: str, across: str, names: list[str], value: Column) -> DataFrame:

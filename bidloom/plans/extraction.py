@@ -430,18 +430,25 @@ def representative_findings(spark, d):
 _TIDY = f"(SELECT DISTINCT g, kind, value FROM (SELECT bid_group AS g, 'phone' AS kind, unnest(phones) AS value FROM {PEOPLE} UNION ALL SELECT bid_group, 'email', unnest(emails) FROM {PEOPLE}) WHERE g IS NOT NULL AND trim(value, ' ') <> '')"
 
 
-@query(f"SELECT CASE kind WHEN 'phone' THEN 1 ELSE 3 END AS kind_order, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS place, kind, value, n AS n_groups FROM (SELECT kind, value, count(*) AS n FROM {_TIDY} GROUP BY kind, value HAVING count(*) > 1)")
+_TIDY_PEOPLE = f"(SELECT DISTINCT g, kind, value FROM (SELECT g, kind, value FROM {_TIDY} UNION ALL SELECT bid_group, 'person', {_KEY} FROM {PEOPLE} WHERE person_name IS NOT NULL AND bid_group IS NOT NULL))"
+
+
+@query(f"SELECT CASE kind WHEN 'person' THEN 0 WHEN 'phone' THEN 1 ELSE 3 END AS kind_order, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS place, kind, value, n AS n_groups FROM (SELECT kind, value, count(*) AS n FROM {_TIDY_PEOPLE} GROUP BY kind, value HAVING count(*) > 1)")
 def shared_value_order(spark, d):
-    """Shared phones and addresses in the order a reader sees them: by kind, then by how many bidders share them."""
-    tidy = pairs.tidy_pools(_once(spark, d, "personnel", "person_id"), "bid_group", {"phones": "phone", "emails": "email"})
-    return findings.shared_rows(tidy).withColumn("place", F.col("place").cast("long"))
+    """Shared names, phones and addresses in the order a reader sees them: by kind, then by how many bidders share them."""
+    return findings.shared_rows(_tidy_people(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+def _tidy_people(spark: SparkSession, d: str) -> DataFrame:
+    rows = _once(spark, d, "personnel", "person_id").withColumn("names", F.array(text.person_key(F.col("person_name"))))
+    return pairs.tidy_pools(rows, "bid_group", {"phones": "phone", "emails": "email", "names": "person"})
 
 
-@query(f"""SELECT 'same_' || kind AS type, value, min(l) AS "left", count(*) AS n_pairs FROM (SELECT x.kind, x.value, x.g AS l, y.g AS r FROM {_TIDY} AS x JOIN {_TIDY} AS y ON x.kind = y.kind AND x.value = y.value AND x.g < y.g) GROUP BY kind, value""")
+@query(f"""SELECT 'same_' || kind AS type, value, min(l) AS "left", count(*) AS n_pairs FROM (SELECT x.kind, x.value, x.g AS l, y.g AS r FROM {_TIDY_PEOPLE} AS x JOIN {_TIDY_PEOPLE} AS y ON x.kind = y.kind AND x.value = y.value AND x.g < y.g) GROUP BY kind, value, CASE WHEN kind = 'person' THEN l || r END""")
 def first_pair_findings(spark, d):
-    """Of each shared contact the first pair of bidders, and how many pairs share it."""
-    tidy = pairs.tidy_pools(_once(spark, d, "personnel", "person_id"), "bid_group", {"phones": "phone", "emails": "email"})
-    return findings.first_pairs(findings.contact_findings(tidy)).select("type", "value", "left", "n_pairs")
+    """Of each shared contact the first pair of bidders and how many pairs share it; shared names by pair."""
+    found = findings.contact_findings(_tidy_people(spark, d))
+    return findings.first_pairs(found).select("type", "value", "left", "n_pairs")
 
 
 @query(f"SELECT file_id, '围串标风险识别分析报告_' || substring(display_name, 1, 40) || '_' || strftime(modified_at, '%Y%m%d_%H%M%S') || '.docx' AS name FROM {FILES} WHERE regexp_matches(display_name, '^[一-鿿A-Za-z0-9_.]+$') AND modified_at IS NOT NULL")

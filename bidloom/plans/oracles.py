@@ -159,7 +159,7 @@ SELECT header, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (SELECT t
 n AS (SELECT ref_id, count(*) AS n FROM g GROUP BY ref_id), b AS (SELECT x.ref_id AS id1, y.ref_id AS id2, count(*) AS c FROM g AS x JOIN g AS y ON x.g = y.g AND x.ref_id < y.ref_id GROUP BY 1, 2)
 SELECT id1, id2, round(c / (p.n + r.n - c), 6) AS jaccard FROM b JOIN n AS p ON p.ref_id = id1 JOIN n AS r ON r.ref_id = id2 WHERE c / (p.n + r.n - c) >= 0.3""",
     "channel_priority": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, event_id) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1",
-    "stats_totals": f"SELECT count(*) AS n, count(*) FILTER (WHERE total_matches IS NULL) AS n_null, round(avg(total_matches), 4) AS average, max(total_matches) AS highest, count(*) FILTER (WHERE total_matches < 1) AS bin_0, count(*) FILTER (WHERE total_matches >= 1 AND total_matches < 2) AS bin_1, count(*) FILTER (WHERE total_matches >= 2 AND total_matches < 4) AS bin_2, count(*) FILTER (WHERE total_matches >= 4 AND total_matches < 8) AS bin_3, count(*) FILTER (WHERE total_matches >= 8) AS bin_4 FROM {RUNS}",
+    "stats_totals": f"SELECT count(*) AS n, count(*) FILTER (WHERE total_matches IS NULL) AS n_null, round(avg(total_matches), 4) AS average, max(total_matches) AS highest, round(count(*) FILTER (WHERE total_matches >= 8) * 100.0 / count(total_matches), 4) AS highest_pct, count(*) FILTER (WHERE total_matches < 1) AS bin_0, count(*) FILTER (WHERE total_matches >= 1 AND total_matches < 2) AS bin_1, count(*) FILTER (WHERE total_matches >= 2 AND total_matches < 4) AS bin_2, count(*) FILTER (WHERE total_matches >= 4 AND total_matches < 8) AS bin_3, count(*) FILTER (WHERE total_matches >= 8) AS bin_4 FROM {RUNS}",
     "stats_timeline": f"SELECT CAST(run_at AS DATE) AS day, count(*) AS n, round(avg(total_matches), 4) AS average, count(*) FILTER (WHERE total_matches >= 3) AS n_high FROM {RUNS} WHERE run_at IS NOT NULL GROUP BY 1",
     "stats_dimensions": f"SELECT dimension, count(*) FILTER (WHERE n > 0) AS n_hit, CAST(sum(n) AS BIGINT) AS total FROM (SELECT 'total_matches' AS dimension, total_matches AS n FROM {RUNS} UNION ALL SELECT 'abnormal_count', abnormal_count FROM {RUNS} UNION ALL SELECT 'template_count', template_count FROM {RUNS}) GROUP BY dimension",
     "stats_recent": f"SELECT pair_id, total_matches FROM {RUNS} WHERE run_at IS NOT NULL ORDER BY run_at DESC, pair_id DESC LIMIT 8",
