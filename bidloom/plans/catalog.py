@@ -439,10 +439,10 @@ def forward_fill_cells(spark, d):
 
 @query
 def wrapped_row_islands(spark, d):
-    """Events of each user merged into rows that begin with a view."""
-    rows = read(spark, d, "events").select("user_id", "event_id", "event_type")
-    merged = layout.wrapped_rows(rows, ["user_id"], ["event_id"], F.col("event_type") == "view", "event_type")
-    return merged.select("user_id", F.col("row_no").cast("long").alias("row_no"), "event_type", "n_rows")
+    """Lines of file texts merged into rows that begin with a line with bars; what stands before the first is row 0."""
+    rows = layout.lines(_files(spark, d), "file_id", "text")
+    merged = layout.wrapped_rows(rows, ["file_id"], ["line_no"], F.contains(F.col("line"), F.lit(" | ")), "line")
+    return merged.select("file_id", F.col("row_no").cast("long").alias("row_no"), F.md5("line").alias("digest"), "n_rows")
 
 
 @query
@@ -513,9 +513,10 @@ def price_spread(spark, d):
 
 @query
 def comparison_pivot(spark, d):
-    """Lines by flag and status, with whether the statuses agree."""
-    out = summaries.pivot(read(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], F.count(F.lit(1)))
-    return out.select("l_returnflag", F.col("F").alias("f"), F.col("O").alias("o"), F.col("n_values").cast("long").alias("n_values"), "same_all")
+    """Segments by level and whether they are abnormal, with whether both numbers agree."""
+    rows = _segments(spark, d).select(F.coalesce(summaries.level(F.col("risk_level")), F.lit("none")).alias("level"), F.col("abnormal").cast("string").alias("abnormal"))
+    out = summaries.pivot(rows, "level", "abnormal", ["true", "false"], F.count(F.lit(1)))
+    return out.select("level", F.col("true").alias("n_true"), F.col("false").alias("n_false"), F.col("n_values").cast("long").alias("n_values"), "same_all")
 
 
 @query
@@ -554,10 +555,12 @@ def item_clusters(spark, d):
 
 @query
 def channel_priority(spark, d):
-    """Of each user the first event of the kind that counts most."""
-    rows = read(spark, d, "events").where("user_id is not null")
-    order = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    return pairs.ranked(rows, ["user_id"], [order, F.col("event_id")], 1).select("user_id", "event_id", "event_type")
+    """Of each file the price from the channel that counts most: with tax, as written, revenue, cost."""
+    rows = read(spark, d, "prices").dropDuplicates(["price_id"])
+    channels = (F.col("totalpriceintax"), amounts.arabic_amount(F.col("totalprice")), F.col("revenue"), F.col("cost_total"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("channel"), c.alias("value")) for i, c in enumerate(channels)]))
+    found = rows.select("file_id", "price_id", each.alias("x")).select("file_id", "price_id", "x.*").where("value is not null and file_id is not null")
+    return pairs.ranked(found, ["file_id"], [F.col("channel"), F.col("price_id")], 1).select("file_id", "channel", "value")
 
 
 # --- history and statistics

@@ -143,7 +143,7 @@ SELECT scope, md5(form) AS digest, count(DISTINCT g) AS n_groups, n_all FROM w J
 v AS (SELECT doc_id, region, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS value FROM r WHERE row_no > 1)
 SELECT header, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (SELECT trim(names[i], ' ') AS header, trim(value, ' ') AS value FROM v JOIN h USING (doc_id, region)) WHERE header IS NOT NULL AND header <> '' GROUP BY header""",
     "forward_fill_cells": f"SELECT file_id, item_id, last_value(CASE WHEN trim(unit, ' ') <> '' THEN unit END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS unit FROM {ITEMS}",
-    "wrapped_row_islands": "SELECT user_id, CAST(row_no AS BIGINT) AS row_no, string_agg(coalesce(event_type, ''), ' ' ORDER BY event_id) AS event_type, count(*) AS n_rows FROM (SELECT *, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS row_no FROM events) GROUP BY user_id, row_no",
+    "wrapped_row_islands": f"SELECT file_id, CAST(row_no AS BIGINT) AS row_no, md5(string_agg(coalesce(line, ''), ' ' ORDER BY line_no)) AS digest, count(*) AS n_rows FROM (SELECT *, sum(CASE WHEN contains(line, ' | ') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS row_no FROM {FILE_LINES}) GROUP BY file_id, row_no",
     "empty_line_streaks": f"SELECT doc_id, count(DISTINCT g) AS n_streaks, count(*) AS n_empty FROM (SELECT doc_id, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM {DOC_LINES} WHERE trim(line, ' ') = '') GROUP BY doc_id",
     "section_slices": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no, line_no AS first_line, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), last + 1) - line_no AS n_lines FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM {DOC_LINES}) WHERE regexp_matches(line, '^(问[0-9]+：|[0-9]+\\. )')",
     "trigger_reach_lines": f"WITH l AS (SELECT * FROM {FILE_LINES}) SELECT file_id, count(DISTINCT l.line_no) AS n_lines FROM l JOIN (SELECT file_id, line_no AS hit FROM l WHERE regexp_matches(line, '{TRIGGER}')) AS h USING (file_id) WHERE l.line_no BETWEEN hit - 2 AND hit + 8 GROUP BY file_id",
@@ -151,14 +151,14 @@ SELECT header, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (SELECT t
     "amount_parse": f"SELECT price_id, CASE WHEN n <> '' THEN CAST(n AS DOUBLE) * CASE u WHEN '万' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1.0 END END AS amount FROM (SELECT price_id, regexp_extract(s, '([0-9]+(\\.[0-9]+)?)', 1) AS n, regexp_extract(s, '[0-9](元)?([万亿])', 2) AS u FROM (SELECT DISTINCT price_id, {AMOUNT_TEXT} AS s FROM prices WHERE totalprice IS NOT NULL))",
     "bid_totals_tax": f"SELECT price_id, round(r, 6) AS rate, CAST(round(CAST(CAST(totalpriceintax AS DECIMAL(20,2)) / (1 + CAST(r AS DECIMAL(10,6))) AS DECIMAL(20,6)), 2) AS DOUBLE) AS ex_tax FROM (SELECT *, {RATE} AS r FROM {PRICES})",
     "price_spread": f"SELECT tender_id, pricename, count(*) AS n, count(DISTINCT file_id) AS n_who, count(DISTINCT v) AS n_distinct, CAST(min(v) AS DOUBLE) AS lowest, CAST(max(v) AS DOUBLE) AS highest, CAST(round((max(v) - min(v))::DOUBLE / min(v)::DOUBLE * 100, 2) AS DOUBLE) AS spread_pct FROM (SELECT *, CAST(unitprice AS DECIMAL(20,2)) AS v FROM {ITEMS} WHERE unitprice > 0 AND pricename IS NOT NULL AND tender_id IS NOT NULL) GROUP BY tender_id, pricename HAVING count(*) > 1",
-    "comparison_pivot": "SELECT l_returnflag, f, o, CAST((f IS NOT NULL)::INT + (o IS NOT NULL)::INT AS BIGINT) AS n_values, coalesce(f = o, true) AS same_all FROM (SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY l_returnflag)",
+    "comparison_pivot": f"SELECT level, n_true, n_false, CAST((n_true IS NOT NULL)::INT + (n_false IS NOT NULL)::INT AS BIGINT) AS n_values, coalesce(n_true = n_false, true) AS same_all FROM (SELECT coalesce({LEVEL}, 'none') AS level, nullif(count(*) FILTER (WHERE abnormal), 0) AS n_true, nullif(count(*) FILTER (WHERE NOT abnormal), 0) AS n_false FROM {SEGMENTS} GROUP BY 1)",
     "sum_vs_total": f"SELECT file_id, n_items, CAST(s AS DOUBLE) AS item_sum, CAST(t AS DOUBLE) AS total, abs(s - t)::DOUBLE > t::DOUBLE * 0.05 AS off FROM (SELECT file_id, count(*) AS n_items, sum(CAST(totalprice AS DECIMAL(20,2))) AS s FROM {ITEMS} WHERE totalprice IS NOT NULL GROUP BY file_id) JOIN (SELECT file_id, CAST(max(cost_total) AS DECIMAL(20,2)) AS t FROM prices GROUP BY file_id) USING (file_id) WHERE t > 0",
     "plausible_items": f"SELECT file_id, count(*) AS n, CAST(sum(CAST(totalprice AS DECIMAL(20,2))) AS DOUBLE) AS total FROM {ITEMS} WHERE pricename IS NOT NULL AND length(trim(pricename, ' ')) BETWEEN 2 AND 15 AND NOT regexp_matches(trim(pricename, ' '), '[0-9]{{4,}}|合计|总计|小计|^[-/. \\t\\n]+\\z|税金') AND totalprice >= 100 AND (unitprice IS NULL OR unitprice <= 1.5 * totalprice) GROUP BY file_id",
     "bond_echo_exclusion": f"SELECT file_id, count(*) AS n FROM {ITEMS} AS i WHERE NOT EXISTS (SELECT 1 FROM (SELECT file_id AS f, unnest([revenue, cost_total]) AS o FROM prices) AS x WHERE x.f = i.file_id AND abs(i.totalprice - x.o) < 1) GROUP BY file_id",
     "item_jaccard": f"""WITH f AS (SELECT DISTINCT ref_id, form FROM (SELECT ref_id, {NAME.replace('pricename', 'canon_name')} AS form FROM price_ref) WHERE length(form) >= 4), g AS (SELECT DISTINCT ref_id, substring(form, i, 2) AS g FROM f, unnest(range(1, length(form))) AS t(i)),
 n AS (SELECT ref_id, count(*) AS n FROM g GROUP BY ref_id), b AS (SELECT x.ref_id AS id1, y.ref_id AS id2, count(*) AS c FROM g AS x JOIN g AS y ON x.g = y.g AND x.ref_id < y.ref_id GROUP BY 1, 2)
 SELECT id1, id2, round(c / (p.n + r.n - c), 6) AS jaccard FROM b JOIN n AS p ON p.ref_id = id1 JOIN n AS r ON r.ref_id = id2 WHERE c / (p.n + r.n - c) >= 0.3""",
-    "channel_priority": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, event_id) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1",
+    "channel_priority": f"SELECT file_id, channel, value FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY channel, price_id) AS k FROM (SELECT file_id, price_id, 0 AS channel, totalpriceintax AS value FROM {PRICES} UNION ALL SELECT file_id, price_id, 1, CASE WHEN n <> '' THEN CAST(n AS DOUBLE) * CASE u WHEN '万' THEN 1e4 WHEN '亿' THEN 1e8 ELSE 1.0 END END FROM (SELECT file_id, price_id, regexp_extract(s, '([0-9]+(\\.[0-9]+)?)', 1) AS n, regexp_extract(s, '[0-9](元)?([万亿])', 2) AS u FROM (SELECT file_id, price_id, {AMOUNT_TEXT} AS s FROM {PRICES})) UNION ALL SELECT file_id, price_id, 2, revenue FROM {PRICES} UNION ALL SELECT file_id, price_id, 3, cost_total FROM {PRICES}) WHERE value IS NOT NULL AND file_id IS NOT NULL) WHERE k = 1",
     "stats_totals": f"SELECT count(*) AS n, count(*) FILTER (WHERE total_matches IS NULL) AS n_null, round(avg(total_matches), 4) AS average, max(total_matches) AS highest, round(count(*) FILTER (WHERE total_matches >= 8) * 100.0 / count(total_matches), 4) AS highest_pct, count(*) FILTER (WHERE total_matches < 1) AS bin_0, count(*) FILTER (WHERE total_matches >= 1 AND total_matches < 2) AS bin_1, count(*) FILTER (WHERE total_matches >= 2 AND total_matches < 4) AS bin_2, count(*) FILTER (WHERE total_matches >= 4 AND total_matches < 8) AS bin_3, count(*) FILTER (WHERE total_matches >= 8) AS bin_4 FROM {RUNS}",
     "stats_timeline": f"SELECT CAST(run_at AS DATE) AS day, count(*) AS n, round(avg(total_matches), 4) AS average, count(*) FILTER (WHERE total_matches >= 3) AS n_high FROM {RUNS} WHERE run_at IS NOT NULL GROUP BY 1",
     "stats_dimensions": f"SELECT dimension, count(*) FILTER (WHERE n > 0) AS n_hit, CAST(sum(n) AS BIGINT) AS total FROM (SELECT 'total_matches' AS dimension, total_matches AS n FROM {RUNS} UNION ALL SELECT 'abnormal_count', abnormal_count FROM {RUNS} UNION ALL SELECT 'template_count', template_count FROM {RUNS}) GROUP BY dimension",
