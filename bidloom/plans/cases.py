@@ -118,3 +118,8 @@ DIGITS: list[tuple[str, str]] = [("139 1234 5678", "13912345678"), ("1O9 与 l2"
 BROKEN_NAMES: list[tuple[str, str]] = [("本人张\n某某系的法人", "本人张某某系的法人"), ("张 某某", "张 某某"), ("本人 李林 \n三、授权委托书", "本人 李林 \n三、授权委托书"), ("负责人：张\n三丰", "负责人：张三丰")]
 PADDED: list[tuple[str, str]] = [("投标人 ： 张三（ 盖单位章 ）", "投标人： 张三（盖单位章）"), ("电话 ：　010-12345678", "电话： 010-12345678")]
 PROJECTS: list[tuple[str, list[str]]] = [("项目名称：某某水厂工程（盖章）", ["某某水厂工程"]), ("项目名称：\n另一个工程", ["另一个工程"]), ("项目名称 | 第三个工程 | 编号", ["第三个工程"]), ("无", [])]
+# tender, bidder, total; and what must be found: kind, tender, value, number of bidders or totals
+TOTALS: list[tuple[str | None, str, float | None]] = [
+    ("t", "a", 1950000.0), ("t", "b", 2000000.0), ("t", "c", 2050000.0), ("t", "c", None), ("u", "a", 5000.0), ("u", "b", 5000.0), ("u", "c", 7000.0), ("v", "a", 1.0), ("v", "b", 2.0), ("v", "c", 4.0), (None, "x", 5000.0), ("w", "a", 10.0), ("w", "a", 10.0),
+]
+TOTALS_FOUND: list[tuple[str, str, float, int]] = [("ladder", "t", 50000.0, 3), ("equal", "u", 5000.0, 2)]

@@ -196,6 +196,15 @@ def equal_totals(spark, d):
     return prices.equal_totals(rows, "tender_id", "bid_group", "total").select(F.col("scope").alias("tender_id"), F.col("total").cast("double").alias("total"), "n_groups", "n_pairs")
 
 
+@query(values(cases.TOTALS_FOUND, "kind tender value n", "VARCHAR VARCHAR DOUBLE BIGINT"))
+def total_cases(spark, d):
+    """Equal and evenly spaced totals among those of small tenders."""
+    rows = spark.createDataFrame(cases.TOTALS, "tender string, bidder string, total double")
+    ladders = prices.ladders(rows.where("tender is not null"), ["tender"], "total").select(F.lit("ladder").alias("kind"), "tender", F.col("gap").cast("double").alias("value"), "n")
+    equal = prices.equal_totals(rows, "tender", "bidder", "total").select(F.lit("equal").alias("kind"), F.col("scope").alias("tender"), F.col("total").cast("double").alias("value"), F.col("n_groups").alias("n"))
+    return ladders.unionByName(equal)
+
+
 def _tender_totals(spark: SparkSession, d: str) -> DataFrame:
     files = _once(spark, d, "summarize_file", "file_id").select("file_id", "tender_id")
     return _once(spark, d, "prices", "price_id").select("file_id", "bid_group", "totalpriceintax", "taxrate", "bidrate").join(files, "file_id")
