@@ -142,7 +142,7 @@ def shared_rows(tidy: DataFrame) -> DataFrame:
     return numbered.join(before, ["kind", "_p"]).select("kind_order", (F.col("_k") + F.col("_before")).alias("place"), "kind", "value", "n_groups")
 
 
-def report_name(project: Column, level: Column, at: Column) -> Column:
+def report_name(project: Column, level: Column, at: Column, title: str = "投标文件比对报告") -> Column:
     """The name of a report file: title, project, level and time, each part left out if there is none; characters that
     file systems do not take are away and a part has at most 40."""
 
@@ -151,4 +151,4 @@ def report_name(project: Column, level: Column, at: Column) -> Column:
         bare = F.substring(F.regexp_replace(bare, r"^[. ]+|[. ]+\z", ""), 1, 40)
         return F.when(bare != "", F.trim(bare))
 
-    return F.concat(F.concat_ws("_", F.lit("围串标风险识别分析报告"), part(project), part(level), F.date_format(at, "yyyyMMdd_HHmmss")), F.lit(".docx"))
+    return F.concat(F.concat_ws("_", F.lit(title), part(project), part(level), F.date_format(at, "yyyyMMdd_HHmmss")), F.lit(".docx"))

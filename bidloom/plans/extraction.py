@@ -460,7 +460,7 @@ def first_pair_findings(spark, d):
     return findings.first_pairs(found).select("type", "value", "left", "n_pairs")
 
 
-@query(f"SELECT file_id, '围串标风险识别分析报告_' || substring(display_name, 1, 40) || '_' || strftime(modified_at, '%Y%m%d_%H%M%S') || '.docx' AS name FROM {FILES} WHERE regexp_matches(display_name, '^[一-鿿A-Za-z0-9_.]+$') AND modified_at IS NOT NULL")
+@query(f"SELECT file_id, '投标文件比对报告_' || substring(display_name, 1, 40) || '_' || strftime(modified_at, '%Y%m%d_%H%M%S') || '.docx' AS name FROM {FILES} WHERE regexp_matches(display_name, '^[一-鿿A-Za-z0-9_.]+$') AND modified_at IS NOT NULL")
 def report_names(spark, d):
     """The names that reports about all files would have."""
     rows = _once(spark, d, "summarize_file", "file_id").where(F.col("display_name").rlike("^[一-鿿A-Za-z0-9_.]+$") & F.col("modified_at").isNotNull())
