@@ -12,33 +12,33 @@ sentences consist of words that are rare as a whole and of high PMI, whereas key
 English it is the other way round inside a keyword phrase, so there its repetition tells. Figures at the end of a Chinese
 word are not part of it; a link is one word.
 
-Counts are taken over all documents, at a fixed resolution: a word or pair that is rarer than one in ``floor``
-characters of the corpus counts as half of that, whatever its number, so a pair of two frequent words that met once or
-twice by chance in a very large corpus is worth the same as in a small one, and the thresholds hold at every size (an
-exact count of rare pairs lets PMI sink as the corpus grows; on 100,000 documents it flagged 185 pages of content more).
-At most ``floor`` words and pairs are above that resolution whatever the size, which bounds what is sent to the
-executors. Below two million characters the counts themselves are the resolution.
+Counts are exact and taken over all documents: documents go into blocks, each block's words and pairs are summed with those
+of all other blocks, and each block gets the sums of its own back. ``mean_pmi`` is the PMI of these counts. For the
+thresholds each count is raised by the same share of the corpus (``added`` a character, one in ten million), whatever its
+size: without it the PMI of a pair that is seen once sinks as the corpus grows, and on 100,000 documents 39 pages of
+content more were flagged.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.session import SizeBoundExceeded
-
 LINK = re.compile(r'<a href="[^"]*">|</a>|(?:https?://|www\.)[^\s)\]<>"，。；]+')
 LINK_WORD, LINK_WEIGHT = 0xE000, 4
 STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 SEP, HAN, LETTER, DIGIT = 0, 1, 2, 3
+ALL = np.uint64(0)  # stands for any word among the hashes
+BLOCK = 8_000_000  # characters
 
 
 @lru_cache(1)
@@ -130,58 +130,55 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return h, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, h, n): 0 all words, 1 of each word, 2 of each pair; one row a hash and task, unless a task is huge."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-    size, total = 0, 0
+def _counted(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, numbers) of the words, of the pairs and of all words."""
+    return [np.unique(w.hash, return_counts=True), np.unique(w.pairs()[1], return_counts=True), (np.array([ALL]), np.array([len(w.hash)]))]
 
-    def out() -> pd.DataFrame:
-        merged = {k: _merge(v) for k, v in held.items() if v}
-        for v in held.values():
-            v.clear()
-        return pd.DataFrame({"kind": np.concatenate([np.full(len(h), k, np.int32) for k, (h, _) in merged.items()]), "h": np.concatenate([h.view(np.int64) for h, _ in merged.values()]), "n": np.concatenate([n for _, n in merged.values()])})
 
-    for batch in batches:
-        for texts in blocks(list(batch["text"])):
-            w = Words(texts)
-            if not len(w.hash):
-                continue
-            total += len(w.hash)
-            for k, h in ((1, w.hash), (2, w.pairs()[1])):
-                held[k].append(np.unique(h, return_counts=True))
-                size += len(held[k][-1][0])
-            if size > 2_000_000:
-                yield out()
-                size = 0
-    if size:
-        yield out()
-    yield pd.DataFrame({"kind": np.array([0], np.int32), "h": np.array([0], np.int64), "n": np.array([total], np.int64)})
-
-
-def corpus_counts(documents: DataFrame, text: str, floor: int) -> dict[str, np.ndarray | float]:
-    """Words and pairs that are at least as frequent as one in ``floor`` characters of all documents, and half of that
-    number for all others."""
-    rows = documents.select(F.col(text).alias("text")).where("text is not null")
-    least = (rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0) / floor
-    sums = rows.mapInPandas(_count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    most = 2 * floor + 1
-    table = sums.where((F.col("kind") == 0) | (F.col("n") >= least)).limit(most + 1).toArrow()
-    if table.num_rows > most:
-        raise SizeBoundExceeded(f"more than {most} frequent words and pairs")
-    kind, n, h = (table[c].to_numpy() for c in ("kind", "n", "h"))
-    out: dict[str, np.ndarray | float] = {"all": float(max(1, n[kind == 0].sum())), "rare": max(1.0, least / 2)}
-    for number, name in ((1, "word"), (2, "pair")):
-        mine = kind == number
-        order = np.argsort(h[mine].view(np.uint64))
-        out[name], out[f"{name}_n"] = h[mine].view(np.uint64)[order], n[mine][order].astype(np.float64)
-    return out
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h, n) of each word and pair of a block; one row a hash and block, unless a block is huge."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
 
+    def out(block: int) -> pa.RecordBatch:
+        h, n = _merge(held.pop(block))
+        return pa.record_batch({"block": np.full(len(h), block, np.int32), "h": h.view(np.int64), "n": n})
 
-def _look_up(h: np.ndarray, known: np.ndarray, n: np.ndarray, rare: float) -> np.ndarray:
-    if not len(known):
-        return np.full(len(h), rare)
-    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[i] == h, n[i], rare)
+    for batch in batches:
+        of, texts = batch.column("block").to_numpy(), np.array(batch.column("text").to_pylist(), object)
+        for block in np.unique(of).tolist():
+            for some in blocks(list(texts[of == block])):
+                held[block] += _counted(Words(some))
+            if sum(len(h) for h, _ in held[block]) > 4_000_000:
+                yield out(block)
+    for block in list(held):
+        yield out(block)
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h, n): the sum over all blocks for each block that has the hash, unless it has all of them itself."""
+    parts = [tuple(b.column(c).to_numpy() for c in ("block", "h", "n")) for b in batches]
+    if parts:
+        block, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, inverse = np.unique(h, return_inverse=True)
+        total = np.bincount(inverse, n).astype(np.int64)[inverse]
+        more = total != n
+        yield pa.record_batch({"block": block[more], "h": h[more], "n": total[more]})
+
+
+def _corpus_counts(words: list[Words], sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a block's words and pairs and their numbers in the whole corpus."""
+    h, n = _merge([part for w in words for part in _counted(w)])
+    more = sums["h"].to_numpy().view(np.uint64)
+    i = np.searchsorted(h, more)
+    if len(more) and (i.max() == len(h) or (h[i] != more).any()):
+        raise ValueError("the documents are not the same when they are read again")
+    n[i] = sums["n"].to_numpy()
+    return h, n.astype(np.float64)
+
+
+def _even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that a repartition into ``n`` puts into one partition each."""
+    return [r.k for r in spark.range(40 * n).selectExpr("int(id) k").groupBy(F.expr(f"pmod(hash(k), {n})")).agg(F.min("k").alias("k")).collect()]
 
 
 def _windows(of: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
@@ -195,17 +192,19 @@ def _windows(of: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
     return (np.cumsum(count) - count)[text] + np.minimum(at // size, count[text] - 1)
 
 
-def text_scores(w: Words, n_texts: int, counts: dict[str, np.ndarray | float], low_pmi: float, low_latin: float = 1.8, half: int = 4) -> dict[str, np.ndarray]:
+def text_scores(w: Words, n_texts: int, known: np.ndarray, numbers: np.ndarray, added: float, low_pmi: float, low_latin: float = 1.8, half: int = 4) -> dict[str, np.ndarray]:
     """Of each text: mean PMI of its neighbouring words, share of text of low local PMI, share of repeated collocations,
-    share flagged in all."""
+    share flagged in all. ``known`` has the hashes of all its words and pairs, sorted; ``added`` is what each number is
+    raised by for the shares."""
     n = len(w.hash)
     weight = np.bincount(w.of, w.length, n_texts)
     out = {"pmi": np.full(n_texts, np.nan), "low": np.zeros(n_texts), "repeated": np.zeros(n_texts), "flagged": np.zeros(n_texts)}
     if not n:
         return out
     i, h = w.pairs()
-    single = _look_up(w.hash, counts["word"], counts["word_n"], counts["rare"])
-    pmi = np.log(_look_up(h, counts["pair"], counts["pair_n"], counts["rare"]) * counts["all"] / (single[i] * single[i + 1])) if len(i) else np.zeros(0)
+    everything, single, both = (numbers[np.searchsorted(known, x)] for x in (ALL, w.hash, h))
+    exact = np.log(both * everything / (single[i] * single[i + 1]))
+    pmi = np.log((both + added) * everything / ((single[i] + added) * (single[i + 1] + added)))
     low = np.zeros(n, bool)
     latin = w.latin[i] & w.latin[i + 1]
     for chosen, limit, here in ((latin, low_latin, w.latin), (~latin, low_pmi, ~w.latin)):  # pairs of English among themselves
@@ -221,7 +220,7 @@ def text_scores(w: Words, n_texts: int, counts: dict[str, np.ndarray | float], l
         low |= (local < limit) & here & (having[final] - having[first] >= 10)  # too few pairs say nothing
     repeated = _repeated_words(w) | _repeated_pairs(w, i[latin & (pmi >= low_pmi)], h[latin & (pmi >= low_pmi)])
     all_pairs = np.bincount(w.of[i], minlength=n_texts)
-    out["pmi"] = np.where(all_pairs > 0, np.bincount(w.of[i], pmi, n_texts) / np.maximum(1, all_pairs), np.nan)
+    out["pmi"] = np.where(all_pairs > 0, np.bincount(w.of[i], exact, n_texts) / np.maximum(1, all_pairs), np.nan)
     for name, marked in (("low", low), ("repeated", repeated), ("flagged", low | repeated)):
         out[name] = np.bincount(w.of, w.length * marked, n_texts) / np.maximum(1, weight)
     return out
@@ -264,7 +263,7 @@ def _repeated_pairs(w: Words, i: np.ndarray, h: np.ndarray, size: int = 120, lea
     return out
 
 
-def spam_scores(documents: DataFrame, doc_id: str, text: str, floor: int = 2_000_000, low_pmi: float = 4.4, low_latin: float = 1.8) -> DataFrame:
+def spam_scores(documents: DataFrame, doc_id: str, text: str, added: float = 1e-7, low_pmi: float = 4.4, low_latin: float = 1.8) -> DataFrame:
     """(doc_id, mean_pmi, low_share, repeated_share, flagged_share) of each document; spam from a flagged_share of 0.5.
 
     ``low_pmi`` is for corpora of some ten thousand words and more. PMI cannot exceed the logarithm of the number of
@@ -273,13 +272,23 @@ def spam_scores(documents: DataFrame, doc_id: str, text: str, floor: int = 2_000
     and of 1.3 at most, but for one in a hundred, in the same words shuffled.
 
     Null texts are left out; texts without words have shares of 0 and no mean. Texts are judged whole, whatever their
-    length; documents are not shuffled.
+    length. Documents are shuffled once, into blocks of about ``BLOCK`` characters by their place, so that many equal rows
+    are no large block; nothing is collected.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(corpus_counts(documents, text, floor))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [text_scores(Words(t), len(t), shared.value, low_pmi, low_latin) for t in blocks(list(batch["text"]))]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **{new: np.concatenate([p[old] for p in parts]) for old, new in (("pmi", "mean_pmi"), ("low", "low_share"), ("repeated", "repeated_share"), ("flagged", "flagged_share"))}})
-
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").mapInPandas(score, "doc_id long, mean_pmi double, low_share double, repeated_share double, flagged_share double")
+    spark = documents.sparkSession
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    chars = rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
+    n = max(spark.sparkContext.defaultParallelism, round(chars / BLOCK))
+    keys = _even_keys(spark, n)
+    placed = rows.withColumn("block", F.expr(f"array({','.join(map(str, keys))})[int(pmod(xxhash64(monotonically_increasing_id()), {len(keys)}))]")).repartition(n, "block")
+    counts = placed.mapInArrow(_count, "block int, h long, n long").repartition(n, "h")
+    sums = counts.mapInArrow(_total, "block int, h long, n long").repartition(n, "block")
+    more = chars * added
+
+    def score(mine: pa.Table, of_all: pa.Table) -> pa.Table:
+        parts = [(Words(t), len(t)) for t in blocks(mine["text"].to_pylist())]
+        known, numbers = _corpus_counts([w for w, _ in parts], of_all)
+        got = [text_scores(w, size, known, numbers, more, low_pmi, low_latin) for w, size in parts]
+        return pa.table({"doc_id": mine["doc_id"], **{new: pa.array(np.concatenate([p[old] for p in got]), from_pandas=True) for old, new in (("pmi", "mean_pmi"), ("low", "low_share"), ("repeated", "repeated_share"), ("flagged", "flagged_share"))}})
+
+    return placed.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "doc_id long, mean_pmi double, low_share double, repeated_share double, flagged_share double")

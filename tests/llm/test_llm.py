@@ -1,6 +1,8 @@
+import math
 import os
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -512,6 +514,20 @@ def test_word_hashes_are_those_of_equal_words():
     assert w.hash[0] == w.hash[7] and w.hash[3] == w.hash[8] and w.hash[5] == w.hash[9] and len(set(w.hash.tolist())) == 7
 
 
+def test_rare_words_and_pairs_have_their_own_counts_in_a_large_corpus(spark):
+    rng = random.Random(6)
+    words = ["".join(chr(0x4E00 + rng.randint(0, 2000)) for _ in range(3)) for _ in range(150)]
+    texts = [[words[min(int(rng.expovariate(0.04)), 149)] for _ in range(12)] for _ in range(40)]  # words and pairs seen once to some ten times
+    rows = [(i, "，".join(t)) for i, t in enumerate(texts)] + [(None, "，".join(texts[0])), ((1 << 60) + 1, "，".join(texts[1]))]
+    df = spark.createDataFrame(rows, "d long, t string").unionByName(spark.range(10_000).selectExpr("-1 - id d", "repeat('.', 1000) t"))
+    got = {r.doc_id: r.mean_pmi for r in spam.spam_scores(df, "d", "t").where("doc_id is null or doc_id >= 0").collect()}
+    texts += texts[:2]
+    single, pair = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
+    assert min(single.values()) == min(pair.values()) == 1 < max(pair.values())
+    pmi = [sum(math.log(pair[p] * 12 * len(texts) / (single[p[0]] * single[p[1]])) for p in zip(t, t[1:], strict=False)) / 11 for t in texts]
+    assert got == pytest.approx(dict(zip([d for d, _ in rows], pmi, strict=True)))
+
+
 # --- queries
 
 
